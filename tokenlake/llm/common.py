@@ -74,3 +74,27 @@ def numbered(df: DataFrame, order: list[Column], scratch: Scratch, name: str = "
         .withColumn("rank", F.col("_i") + F.col("_before"))
         .drop("_range", "_i", "_before")
     )
+
+
+def map_texts(docs: DataFrame, work, out: str, keep: list[str], text: bool = False) -> DataFrame:
+    """Run ``work(texts) -> list of Arrow arrays`` on batches of docs.text.
+
+    Gives columns ``row`` (struct of the kept columns), ``out`` (struct of the
+    made ones) and, on demand, ``text``. Structs keep names from clashing.
+    """
+    import pyarrow as pa
+
+    fields = [x.split() for x in out.split(",")]
+    names = [n for n, _ in fields]
+    row = F.struct(*[docs[c] for c in keep]) if keep else F.struct(F.lit(True).alias("_"))
+    df = docs.select(row.alias("row"), docs["text"].cast("string").alias("text"))
+    schema = f"row {df.schema['row'].dataType.simpleString()}, " + ("text string, " if text else "") + f"out struct<{','.join(f'{n}:{t}' for n, t in fields)}>"
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                made = pa.StructArray.from_arrays(work(b.column("text")), names)
+                kept = [b.column("row")] + ([b.column("text")] if text else [])
+                yield pa.record_batch([*kept, made], names=["row"] + ["text"] * text + ["out"])
+
+    return df.mapInArrow(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, url_filter
+from . import decontaminate, html_pages, html_tree, ivfpq, minhash, mixing, url_filter
 from .common import Scratch, table
 
 #: The contract's rules; they outrank the method's own.
@@ -18,6 +18,12 @@ URL_RULES = (
 )
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = html_tree.train(html_pages.labelled_pages())
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return pages.select("page_id", "url", html_tree.extract(F.col("html"), model).alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = url_filter.filter_urls(pages, "url", URL_RULES + url_filter.DEFAULT_RULES)
@@ -36,10 +42,27 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs, Scratch(spark, "op4")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), ["doc_id"])
+    out = F.col("out")
+    return judged.select(
+        "row.doc_id", *[out[c].alias(c) for c in ("n_words", "n_hit", "n_items", "items_sha256")], decontaminate.contaminated(out).alias("contaminated"),
+        *[out[c].alias(c) for c in ("longest", "longest_item", "longest_at", "matches")],
+    )
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivfpq.search(table(spark, sf_dir, "embeddings"), Scratch(spark, "op10"), is_query=lambda i: i % 100 == 0)
+
+
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_url_filters": op2_url_filters,
     "op3_mixing": op3_mixing,
     "op4_minhash_dedup": op4_minhash_dedup,
+    "op5_decontamination": op5_decontamination,
+    "op10_ann": op10_ann,
 }
 
 _WORDS = ", ".join(f"'{r.name}'" for r in url_filter.DEFAULT_RULES)

@@ -42,7 +42,7 @@ def powers(n: int, _kept: list = [np.ones(1, U64)]) -> np.ndarray:  # noqa: B006
     return _kept[0]
 
 
-def blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(texts: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) of runs of whole texts; null is empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if isinstance(texts, pa.ChunkedArray):
@@ -55,7 +55,7 @@ def blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offs, offs[i] + BLOCK, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + size, "right")) - 1)
         j = min(j, n)
         yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
