@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_pages, html_tree, ivfpq, minhash, mixing, url_filter
+from . import decontaminate, html_pages, html_tree, ivfpq, minhash, mixing, toxicity, url_filter
 from .common import Scratch, table
 
 #: The contract's rules; they outrank the method's own.
@@ -52,6 +52,15 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select("row.doc_id", "out.score").select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivfpq.search(table(spark, sf_dir, "embeddings"), Scratch(spark, "op10"), is_query=lambda i: i % 100 == 0)
 
@@ -62,6 +71,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_decontamination": op5_decontamination,
+    "op6_toxicity": op6_toxicity,
     "op10_ann": op10_ann,
 }
 
