@@ -5,18 +5,19 @@
 2. Texts of equal sets form a class; all that follows runs on classes, so
    thousands of copies cost as much as one.
 3. Minima are cut into 32 bands of 4. In each bucket (band and values) every
-   class is paired with one class only, the bucket's smallest or largest id:
-   as many pairs as members. Two sets of similarity 0.75 share no bucket
-   with probability (1 - 0.75^4)^32 = 5e-6.
+   class is paired with one class only, the bucket's hub: the member that
+   shares most buckets with others. That makes as many pairs as members. Two
+   sets of similarity 0.75 share no bucket with probability
+   (1 - 0.75^4)^32 = 5e-6.
 4. A pair counts as a link after two checks: at least MIN_AGREE of the 128
-   minima agree (a pair of 0.75 fails that with probability under 1e-9), and
-   the full sets meet 100 * intersection >= 75 * union. Each class first
-   checks the partner it shares most buckets with; of the others only those
-   that lie in another component then.
+   minima agree (a pair of 0.75 fails that with probability 1e-6), and the
+   full sets meet 100 * intersection >= 75 * union. Each class first checks
+   the hub it shares most buckets with; of the other hubs only those that lie
+   in another component then.
 5. Buckets whose members are still in different components could hold links
-   that no star showed. Their members are compared in blocks, on the
-   minima, and the pairs that agree are checked on full sets too. Pairs
-   within a component are never made, and no bucket is capped.
+   that no hub showed. Their members are compared in blocks, minima first,
+   then full sets; only links that join components come out. Pairs within a
+   component are not looked at, and no bucket is capped.
 6. Components come from alternating large-star and small-star.
 
 Edge cases: without words or text a document has an empty set, is linked
@@ -42,8 +43,8 @@ from .components import components
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
 HASHES = BANDS * ROWS
-MIN_AGREE = 65
-BLOCK_MEMBERS = 1024
+MIN_AGREE = 72
+BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 2_000_000
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -112,23 +113,71 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([b.column("u").filter(keep), b.column("v").filter(keep)], names=["u", "v"])
 
 
-def _block_pairs(pdf):
-    """Of two blocks of one bucket: pairs in different components whose minima agree."""
+def _meet(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of blocks of the incidence matrix."""
+    n = len(sets)
+    which = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[col]
+    which, col = which[keep], number[col[keep]]
+    by = np.argsort(col, kind="stable")
+    which, col = which[by], col[by]
+    out = np.zeros((n, n), np.float64)
+    for c in range(0, int(shared.sum()), 2048):
+        lo, hi = np.searchsorted(col, (c, c + 2048))
+        m = np.zeros((n, 2048), np.float32)
+        m[which[lo:hi], col[lo:hi] - c] = 1
+        out += m @ m.T
+    return out
+
+
+def _block_links(pdf):
+    """Of one or two blocks of a bucket: links that join different components, no more than join them.
+
+    A pair is looked at only in the first band in which its minima agree.
+    """
     import pandas as pd
 
-    ids, comp, half = pdf["id"].to_numpy(), pdf["root"].to_numpy(), pdf["half"].to_numpy()
-    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(-1, HASHES)
-    alone = bool((pdf["x"] == pdf["y"]).iloc[0])
+    ids, roots, half = pdf["id"].to_numpy(), pdf["root"].to_numpy(), pdf["half"].to_numpy()
+    band, alone = int(pdf["band"].iloc[0]), bool(pdf["x"].iloc[0] == pdf["y"].iloc[0])
+    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(-1, BANDS, ROWS)
     left = np.arange(len(ids)) if alone else np.flatnonzero(half == 0)
     right = left if alone else np.flatnonzero(half == 1)
-    us, vs = [], []
+    pairs = []
     for i in left:
-        agree = (sig[right] == sig[i]).sum(axis=1)
-        hit = right[(agree >= MIN_AGREE) & (comp[right] != comp[i])]
-        if alone:
-            hit = hit[ids[hit] > ids[i]]
-        us.extend([ids[i]] * len(hit))
-        vs.extend(ids[hit])
+        other = right[(roots[right] != roots[i]) & (ids[right] > ids[i] if alone else True)]
+        same = sig[other] == sig[i]
+        close = same.sum(axis=(1, 2)) >= MIN_AGREE
+        other, same = other[close], same[close]
+        other = other[same.all(axis=2).argmax(axis=1) == band]
+        if len(other):
+            pairs.append((i, other))
+    us, vs = [], []
+    if pairs:
+        some = np.unique(np.concatenate([np.array([i for i, _ in pairs]), *[o for _, o in pairs]]))
+        inflate, sets = zstandard.ZstdDecompressor(), []
+        for z in pdf["ztext"].to_numpy()[some]:
+            data = np.frombuffer(inflate.decompress(z), np.uint8)
+            sets.append(tb.shingles(tb.words(data, np.array([0, len(data)]), tb.NOT_BLANK)[0], SHINGLE))
+        meet, size = _meet(sets), np.array([len(s) for s in sets])
+        top: dict[int, int] = {}
+
+        def find(r: int) -> int:
+            while top.get(r, r) != r:
+                r = top[r]
+            return r
+
+        for i, other in pairs:
+            a, b = np.searchsorted(some, i), np.searchsorted(some, other)
+            both = meet[a, b]
+            for j in other[100 * both >= 75 * (size[a] + size[b] - both)]:
+                p, q = find(int(roots[i])), find(int(roots[j]))
+                if p != q:
+                    top[max(p, q)] = min(p, q)
+                    us.append(ids[i])
+                    vs.append(ids[j])
     return pd.DataFrame({"u": np.array(us, np.int64), "v": np.array(vs, np.int64)})
 
 
@@ -174,7 +223,8 @@ def near_duplicates_of(rows: DataFrame, scratch: Scratch) -> DataFrame:
     some = made.where(F.col("n_shingles") > 0)
 
     members = some.select("row_id", "d1", "d2", "n_shingles")
-    classes = members.groupBy("d1", "d2", "n_shingles").agg(F.min("row_id").alias("class"))
+    # aggregates are written before they are joined, so that Spark can split hot keys in the join
+    classes = scratch.write(members.groupBy("d1", "d2", "n_shingles").agg(F.min("row_id").alias("class")), "sets")
     member_of = scratch.write(
         members.join(classes.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n_shingles").alias("e3"), "class"), (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n_shingles") == F.col("e3"))).select("row_id", "class"),
         "classes",
@@ -185,17 +235,16 @@ def near_duplicates_of(rows: DataFrame, scratch: Scratch) -> DataFrame:
     sig_of_rep = scratch.write(some.select("row_id", "sig").join(reps, F.col("row_id") == F.col("class"), "left_semi"), "sigs")
     cls.sigs = sig_of_rep
 
-    def bands(df: DataFrame, *more: str) -> DataFrame:
-        width = 2 * ROWS
-        keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)) for b in range(BANDS)])
-        return df.select(F.col("row_id").alias("id"), *more, F.explode(keys).alias("key"))
-
-    buckets = scratch.write(
-        bands(sig_of_rep).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where(F.col("lo") < F.col("hi")), "buckets"
-    )
-    rep = F.when(F.col("key") % 2 == 0, F.col("lo")).otherwise(F.col("hi"))
+    width = 2 * ROWS
+    keys = [F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), F.substring("sig", b * width + 1, width)).alias("key")) for b in range(BANDS)]
+    bands = sig_of_rep.select(F.col("row_id").alias("id"), F.explode(F.array(*keys)).alias("k")).select("id", "k.*")
+    sizes = scratch.write(bands.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1), "buckets")
+    held = scratch.write(bands.join(sizes, ["band", "key"]), "held")
+    # the member that meets most others is the most likely to be linked with all of a bucket
+    central = held.groupBy("id").agg(F.sum("n").alias("w"))
+    hubs = scratch.write(held.join(central, "id").groupBy("band", "key").agg(F.max_by("id", F.struct("w", "id")).alias("v")), "hubs")
     pairs = scratch.write(
-        bands(sig_of_rep).join(buckets, "key").select(F.col("id").alias("u"), rep.alias("v")).where(F.col("u") != F.col("v")).groupBy("u", "v").agg(F.count("*").alias("shared")),
+        held.join(hubs, ["band", "key"]).select(F.col("id").alias("u"), "v").where(F.col("u") != F.col("v")).groupBy("u", "v").agg(F.count("*").alias("shared")),
         "pairs",
     )
     best = pairs.groupBy("u").agg(F.max_by("v", F.struct("shared", "v")).alias("v"))
@@ -210,18 +259,20 @@ def near_duplicates_of(rows: DataFrame, scratch: Scratch) -> DataFrame:
     roots = scratch.write(components(links, scratch), "roots")
 
     # buckets that still hold several components
-    held = scratch.write(_rooted(bands(sig_of_rep).join(buckets.select("key"), "key", "left_semi"), roots, "id", "root"), "held")
-    open_ = held.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where((F.col("a") != F.col("b")) & (F.col("n") > 2))
-    open_ = open_.select("key", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int").alias("parts"))
-    part = (F.xxhash64("id") % F.col("parts") + F.col("parts")) % F.col("parts")
-    mine = held.join(open_, "key").withColumn("p", part.cast("int"))
-    dealt = mine.select(
-        "key", "id", "root", "p",
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("p", q).alias("x"), F.greatest("p", q).alias("y")))).alias("xy"),
-    ).select("key", "id", "root", "xy.x", "xy.y", F.when(F.col("p") == F.col("xy.x"), 0).otherwise(1).alias("half"))
-    withsig = dealt.join(sig_of_rep.withColumnRenamed("row_id", "id"), "id")
-    rest = withsig.groupBy("key", "x", "y").applyInPandas(_block_pairs, "u long, v long").distinct()
-    found = cls.linked(rest, "links")
+    rooted = scratch.write(
+        _rooted(held.select("band", "key", "id"), roots, "id", "root").join(some.select(F.col("row_id").alias("id"), F.col("n_shingles")), "id"), "rooted"
+    )
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+    open_ = rooted.groupBy("band", "key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n"), parts.alias("parts"))
+    open_ = open_.where((F.col("a") != F.col("b")) & (F.col("n") > 2)).select("band", "key", "parts")
+    open_ = scratch.write(open_, "open")
+    mine = rooted.join(open_, ["band", "key"]).withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("p", q).alias("x"), F.greatest("p", q).alias("y")))
+    dealt = mine.select("band", "key", "id", "root", "p", F.explode(meets).alias("xy")).select(
+        "band", "key", "id", "root", "xy.x", "xy.y", F.when(F.col("p") == F.col("xy.x"), 0).otherwise(1).alias("half")
+    )
+    rest = dealt.join(some.select(F.col("row_id").alias("id"), "sig", "ztext"), "id").groupBy("band", "key", "x", "y").applyInPandas(_block_links, "u long, v long")
+    found = scratch.write(rest.distinct(), "links")
     if found.limit(1).count():
         links = scratch.write(links.union(found), "links")
         roots = scratch.write(components(links, scratch), "roots")
