@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_pages, html_tree, ivfpq, minhash, mixing, toxicity, url_filter
+from . import decontaminate, html_pages, html_tree, ivfpq, minhash, mixing, pii, toxicity, url_filter
 from .common import Scratch, table
 
 #: The contract's rules; they outrank the method's own.
@@ -61,6 +61,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace(docs, Scratch(spark, "op9")).select("row.doc_id", "text", "n_entities")
+
+
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivfpq.search(table(spark, sf_dir, "embeddings"), Scratch(spark, "op10"), is_query=lambda i: i % 100 == 0)
 
@@ -72,6 +77,7 @@ QUERIES = {
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
+    "op9_pii": op9_pii,
     "op10_ann": op10_ann,
 }
 
