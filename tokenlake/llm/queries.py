@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_pages, html_tree, ivfpq, minhash, mixing, pii, toxicity, url_filter
+from . import decontaminate, html_pages, html_tree, ivfpq, langmodel, minhash, mixing, pii, toxicity, url_filter
 from .common import Scratch, table
 
 #: The contract's rules; they outrank the method's own.
@@ -61,6 +61,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langmodel.score(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op8"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.replace(docs, Scratch(spark, "op9")).select("row.doc_id", "text", "n_entities")
@@ -77,6 +81,7 @@ QUERIES = {
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_pii": op9_pii,
     "op10_ann": op10_ann,
 }
