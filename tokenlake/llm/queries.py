@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_pages, html_tree, ivfpq, langmodel, minhash, mixing, pii, toxicity, url_filter
+from . import decontaminate, html_pages, html_tree, ivfpq, langmodel, minhash, mixing, pii, suffix_dedup, toxicity, url_filter
 from .common import Scratch, table
 
 #: The contract's rules; they outrank the method's own.
@@ -61,6 +61,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.repeated_spans(docs, Scratch(spark, "op7"), ["doc_id"]).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langmodel.score(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op8"))
 
@@ -81,6 +86,7 @@ QUERIES = {
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_pii": op9_pii,
     "op10_ann": op10_ann,
