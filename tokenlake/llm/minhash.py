@@ -211,7 +211,7 @@ def _rooted(df: DataFrame, roots: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and row_id, a row for each row of docs (doc_id, text)."""
+    """row_id, doc_id, n_shingles, component_id, kept and first (one row of each component), a row for each row of docs."""
     ids = docs.select("doc_id", "text").withColumn("row_id", F.monotonically_increasing_id())
     return near_duplicates_of(ids, scratch)
 
@@ -280,7 +280,22 @@ def near_duplicates_of(rows: DataFrame, scratch: Scratch) -> DataFrame:
     of_row = _rooted(member_of, roots, "class", "root").select(F.col("row_id").alias("_row"), "root")
     named = made.select("row_id", "doc_id", "n_shingles").join(of_row, F.col("row_id") == F.col("_row"), "left").drop("_row")
     named = scratch.write(named.withColumn("root", F.coalesce("root", "row_id")), "rows")
-    first = named.groupBy("root").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("root", "_root")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")
+    first = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min_by("row_id", order).alias("_first")).withColumnRenamed("root", "_root")
+    first = scratch.write(first, "names")
     return named.join(first, F.col("root") == F.col("_root")).select(
-        "row_id", "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept")
-    )
+        "row_id", "doc_id", "n_shingles", "component_id",
+        F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"),
+        (F.col("row_id") == F.col("_first")).alias("first"),
+    )
+
+
+def one_of_each(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of docs, one for each component: the smallest id's, or of equal ids the first.
+
+    docs must be stored (a table or files), as its rows are numbered twice.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("row_id"))
+    judged = near_duplicates_of(rows.select("row_id", "row.doc_id", "row.text"), scratch)
+    first = scratch.write(judged.where("first").select("row_id"), "first")
+    return rows.join(first, "row_id", "left_semi").select("row.*")

@@ -91,22 +91,27 @@ def _joined(docs: DataFrame, by_source: DataFrame, small: bool, how: str = "inne
     return docs.join(right, docs["source"].eqNullSafe(right["_source"]), how).drop("_source")
 
 
-def mix(docs: DataFrame, scratch: Scratch, *, keep: list[str], weights: tuple[int, ...] = (1, 2, 3), max_epochs: float = 3.0, seed: int = 17) -> DataFrame:
-    """``keep`` columns of docs with source, size, source_size, target, taken.
+def _hash(seed: int) -> Column:
+    none = F.lit("")
+    content = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), none), F.lit("|"), F.coalesce("text", none))
+    return F.conv(F.substring(F.md5(content), 1, 15), 16, 10).cast("long")  # 60 bits
+
+
+def mix(docs: DataFrame, scratch: Scratch, *, keep: list[str], text: bool = False, weights: tuple[int, ...] = (1, 2, 3), max_epochs: float = 3.0, seed: int = 17) -> DataFrame:
+    """Columns row (struct of the kept ones), text on demand, size, source_size, target, taken.
 
     docs has doc_id, text, source. ``taken`` is the number of words of the
     document in the mix, all repetitions counted.
     """
-    none = F.lit("")
-    content = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), none), F.lit("|"), F.coalesce("text", none))
-    h = F.conv(F.substring(F.md5(content), 1, 15), 16, 10).cast("long")  # 60 bits
-    sized = scratch.write(docs.select(*keep, *[c for c in ("source",) if c not in keep], sizes(docs).alias("size"), h.alias("h")), "sizes")
+    row = F.struct(*[docs[c] for c in keep]).alias("row")
+    df = docs.select(row, docs["source"], docs["doc_id"], docs["text"].cast("string").alias("text")).withColumns({"size": sizes(docs), "h": _hash(seed)})
+    sized = scratch.write(df.drop("text"), "sizes")
     by_source = scratch.write(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "by-source")
     weighed = scratch.write(cycle_weights(by_source, scratch, weights), "weights")
     n, total = weighed.agg(F.count("*"), F.sum("source_size")).first()
     small = n <= BROADCAST_SOURCES
     targets = water_fill(weighed, float(total or 0), max_epochs)
-    cut = scratch.write(thresholds(sized.where(F.col("size") > 0), targets, small), "thresholds")
+    cut = scratch.write(thresholds(sized.where(F.col("size") > 0).select("source", "size", "h"), targets, small), "thresholds")
     right = targets.select("source", "source_size", "target").join(
         cut.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left"
     ).drop("_s")
@@ -117,4 +122,15 @@ def mix(docs: DataFrame, scratch: Scratch, *, keep: list[str], weights: tuple[in
         .otherwise(F.floor(F.col("size") * F.col("part")))
     )
     taken = F.when(F.col("size") == 0, F.lit(0)).otherwise(whole * F.col("size") + extra).cast("long")
-    return _joined(sized, right, small).withColumn("taken", taken).drop("h", "threshold", "part")
+    # with texts, sizes and hashes are computed again rather than the texts written
+    out = _joined(df if text else sized, right, small).withColumn("taken", taken)
+    return out.select("row", *["text"] * text, "size", "source_size", "target", "taken")
+
+
+def repetitions(mixed: DataFrame) -> DataFrame:
+    """A row for each repetition of a document in mix(text=True): row, text, repetition, words; the last may be a part."""
+    n = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    rows = mixed.where(F.col("taken") > 0).withColumn("repetition", F.explode(F.sequence(F.lit(1), n)))
+    words = F.least(F.col("size"), F.col("taken") - F.col("size") * (F.col("repetition") - 1))
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), F.lit(1), words.cast("int")), " ")
+    return rows.select("row", F.when(words < F.col("size"), part).otherwise(F.col("text")).alias("text"), "repetition", words.alias("words"))

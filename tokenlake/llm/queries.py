@@ -34,7 +34,7 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix(docs, Scratch(spark, "op3"), keep=["doc_id"])
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
