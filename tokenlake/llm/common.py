@@ -21,6 +21,17 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
+#: Rows of text in one Arrow batch, so that a Python worker holds few megabytes at a time.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to BATCH_ROWS; it counts when a query is planned, so it stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 class Scratch:
     """Tables written under the cluster's shared checkpoint folder, to cut lineage.
 
@@ -84,6 +95,7 @@ def map_texts(docs: DataFrame, work, out: str, keep: list[str], text: bool = Fal
     """
     import pyarrow as pa
 
+    bounded_batches(docs.sparkSession)
     fields = [x.split() for x in out.split(",")]
     names = [n for n, _ in fields]
     row = F.struct(*[docs[c] for c in keep]) if keep else F.struct(F.lit(True).alias("_"))

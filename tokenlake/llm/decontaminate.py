@@ -32,7 +32,7 @@ from . import textbytes as tb
 from .common import map_texts
 
 WINDOW = 13
-SHARD = 6_000_000
+SHARD = 2_500_000
 BENCH_BLOCK = 16_000_000
 
 FIELDS = "n_words long, n_hit long, n_items long, items_sha256 string, longest long, longest_item long, longest_at long, matches long"

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import Scratch
+from .common import Scratch, bounded_batches
 from .components import components
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
@@ -218,6 +218,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def near_duplicates_of(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """The same for rows that have a row_id already (row_id, doc_id, text)."""
+    bounded_batches(rows.sparkSession)
     fields = "row_id long, doc_id long, n_shingles long, d1 long, d2 long, sig binary, ztext binary"
     made = scratch.write(rows.select("row_id", F.col("doc_id").cast("long"), "text").mapInArrow(_features, fields), "features")
     some = made.where(F.col("n_shingles") > 0)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import Scratch
+from .common import Scratch, bounded_batches
 
 LENGTH, WINDOW, GRAM = 400, 128, 16
 PIECE = 1 << 20
@@ -212,6 +212,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, keep: list[str]) -> DataFrame:
     """Columns row (struct of the kept columns), n_bytes, n_removed, n_spans, kept_sha256, spans."""
+    bounded_batches(docs.sparkSession)
     raw = F.encode(F.coalesce(docs["text"].cast("string"), F.lit("")), "UTF-8")
     df = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), raw.alias("bytes")).withColumns({"id": F.xxhash64("bytes"), "len": F.octet_length("bytes")})
     texts = df.where(F.col("len") >= LENGTH).select("id", "len", "bytes")

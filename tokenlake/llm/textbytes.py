@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 U64 = np.uint64
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
