@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tokenlake.plans import queries
+from tokenlake.plans import decoder_queries, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,8 +27,9 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL | decoder_queries.ORACLE_SQL))
 def test_query(spark, duck, name):
-    mine, theirs = queries.QUERIES[name](spark, SF).toPandas(), duck.sql(queries.ORACLE_SQL[name]).df()
+    all_, sql = queries.QUERIES | decoder_queries.QUERIES, queries.ORACLE_SQL | decoder_queries.ORACLE_SQL
+    mine, theirs = all_[name](spark, SF).toPandas(), duck.sql(sql[name]).df()
     assert sorted(mine.columns) == sorted(theirs.columns)
     assert _rows(mine) == _rows(theirs)
