@@ -46,10 +46,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), ["doc_id"])
     out = F.col("out")
-    return judged.select(
-        "row.doc_id", *[out[c].alias(c) for c in ("n_words", "n_hit", "n_items", "items_sha256")], decontaminate.contaminated(out).alias("contaminated"),
-        *[out[c].alias(c) for c in ("longest", "longest_item", "longest_at", "matches")],
-    )
+    return judged.select("row.doc_id", *[out[c].alias(c) for c in ("n_words", "n_hit", "n_items", "items_sha256")], decontaminate.contaminated(out).alias("contaminated"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,4 +128,32 @@ ORACLE_SQL: dict[str, str] = {
                     THEN floor(d.size * ((c.goal - (c.run - c.words)) / c.words)) ELSE 0 END END AS BIGINT) AS taken
         FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.h = c.h
     """,
+    "op4_minhash_dedup": r"""
+        WITH RECURSIVE d AS (
+          SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT r, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+        l AS (SELECT a.r AS u, b.r AS v FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r
+              HAVING 100 * count(*) >= 75 * ((SELECT n FROM n WHERE r = a.r) + (SELECT n FROM n WHERE r = b.r) - count(*))),
+        reach AS (SELECT r AS u, r AS v FROM d UNION SELECT reach.u, l.v FROM reach JOIN l ON reach.v = l.u),
+        c AS (SELECT reach.u, min(d.doc_id) AS component_id FROM reach JOIN d ON reach.v = d.r GROUP BY reach.u)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+        FROM d JOIN c ON d.r = c.u LEFT JOIN n ON n.r = d.r
+    """,
+    "op5_decontamination": r"""
+        WITH d AS (
+          SELECT row_number() OVER () AS r, doc_id,
+                 coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        bw AS (SELECT DISTINCT item_id, least(13, len(w)) AS k, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') AS g
+               FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 11))) AS i FROM b WHERE len(w) > 0)),
+        dw AS (SELECT r, k, i, array_to_string(w[i : i + k - 1], ' ') AS g
+               FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM bw) WHERE len(w) >= k)),
+        m AS (SELECT dw.r, dw.i, dw.k, bw.item_id FROM dw JOIN bw ON dw.k = bw.k AND dw.g = bw.g),
+        h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM m) GROUP BY r),
+        t AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY r)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items, sha256(coalesce(t.ids, '')) AS items_sha256,
+               coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
+        FROM d LEFT JOIN h ON d.r = h.r LEFT JOIN t ON d.r = t.r
+    """,
 }
