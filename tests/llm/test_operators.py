@@ -308,6 +308,16 @@ def test_pii_collisions(spark):
     assert len({r["surrogate"] for r in out}) == 8 and not {r["surrogate"] for r in out} & {r["canon"] for r in out}
 
 
+def test_pii_many_short_names(spark):
+    # far more names of 2 to 4 letters than a fixed ending after one syllable can tell apart
+    letters = "abcdefghijklmnop"
+    names = [a + b + c for a in letters for b in letters for c in ("", *letters[:11])]
+    known = spark.createDataFrame([("family:n", w) for w in names], "kind string, canon string")
+    out = {r["canon"]: r["surrogate"] for r in pii.assign(known, "k", Scratch(spark, "t")).collect()}
+    assert set(out) == set(names) and len(names) == 3072
+    assert len(set(out.values())) == len(names) and not set(out.values()) & set(names)
+
+
 # 10 -----------------------------------------------------------------------
 
 

@@ -14,7 +14,9 @@ format there: a phone number's new digits fill the places of the old ones.
 
 Collision checks: surrogates that two entities of a type share, or that are
 real entities of that type, are drawn again until none is left, so distinct
-entities stay distinct. After LENGTHEN_AFTER draws a surrogate may grow.
+entities stay distinct. From draw LENGTHEN_AFTER on, each draw's surrogates are
+one syllable (or two digits) longer than the draw's before, so that short names,
+however many, find a free one.
 
 Only documents with entities are joined with anything; one entity in very many
 documents is a hot key of a plain join, which Spark may split.
@@ -27,12 +29,14 @@ are carried along.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
-LENGTHEN_AFTER, MOST_DRAWS = 12, 40
+LENGTHEN_AFTER = 12
 
 # Titles and common given names, by gender.
 TITLES = {
@@ -178,8 +182,16 @@ def _surrogate() -> Column:
         .when(kind.like("given%") | (kind == "family:n"), _name_like(kind, canon, s))
         .otherwise(_like(canon, s))
     )
-    tail = F.when(draw < LENGTHEN_AFTER, "").when(kind.like("given%") | (kind == "family:n"), F.concat(_pick("aeiou", _byte(s, F.lit(40))), _pick("lmnrst", _byte(s, F.lit(41)))))
-    return F.concat(made, tail.otherwise(F.concat(_pick(_DIGITS, _byte(s, F.lit(40))), _pick(_DIGITS, _byte(s, F.lit(41))))))
+    is_name = kind.like("given%") | (kind == "family:n")
+
+    def syllable(i: Column) -> Column:
+        a, b = _byte(s, 40 + 2 * i), _byte(s, 41 + 2 * i)
+        return F.when(is_name, F.concat(_pick("aeiou", a), _pick("lmnrst", b))).otherwise(F.concat(_pick(_DIGITS, a), _pick(_DIGITS, b)))
+
+    longer = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), draw - LENGTHEN_AFTER)), syllable), "")
+    tail = F.when(draw < LENGTHEN_AFTER, "").otherwise(longer)
+    # an address grows before its @
+    return F.when(kind == "email", F.concat(F.substring_index(made, "@", 1), tail, F.lit("@"), F.substring_index(made, "@", -1))).otherwise(F.concat(made, tail))
 
 
 def assign(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
@@ -187,7 +199,7 @@ def assign(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     known = scratch.write(entities.select("kind", "canon").distinct(), "entities")
     settled = None
     open_ = known
-    for draw in range(MOST_DRAWS):
+    for draw in itertools.count():
         # a domain is mapped on its own, so that addresses of one site stay together
         site = F.expr("substring(canon, instr(canon, '@') + 1)")
         streams = {"draw": F.lit(draw), "stream": _stream(key, F.col("kind"), F.col("canon"), F.lit(draw)), "site_stream": _stream(key, F.lit("site"), site, F.lit(0))}
@@ -203,7 +215,6 @@ def assign(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
         open_ = known.join(settled.select("kind", "canon"), ["kind", "canon"], "left_anti")
         if not open_.limit(1).count():
             return settled
-    raise ValueError(f"no free surrogate after {MOST_DRAWS} draws")
 
 
 def _kind(match: Column) -> Column:
@@ -251,7 +262,7 @@ def _fill(surface: Column, fresh: Column, digit: str) -> Column:
     at = F.transform(chars, lambda c, i: F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: F.regexp_like(x, F.lit(digit)))))
     return F.concat(
         F.array_join(F.zip_with(chars, at, lambda c, k: F.when(F.regexp_like(c, F.lit(digit)), F.substring(fresh, k, F.lit(1))).otherwise(c)), ""),
-        F.substring(fresh, F.size(F.filter(chars, lambda x: F.regexp_like(x, F.lit(digit)))) + 1, F.lit(64)),
+        F.substring(fresh, F.size(F.filter(chars, lambda x: F.regexp_like(x, F.lit(digit)))) + 1, F.char_length(fresh)),
     )
 
 
