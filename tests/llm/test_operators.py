@@ -1,5 +1,6 @@
 """Each operator against brute force or a round trip, with nulls, empty and long texts, ties and repeated rows."""
 
+import ipaddress
 import math
 import random
 import zlib
@@ -318,6 +319,28 @@ def test_pii_many_short_names(spark):
     assert len(set(out.values())) == len(names) and not set(out.values()) & set(names)
 
 
+def test_pii_leaves_no_part(spark):
+    long = "".join("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"[i * i % 61] for i in range(700))
+    values = [
+        "token=" + long, f"eyJ{long}.{long}.{long}", f"token = eyJ{long}.{long}.{long}", "0123456789abcdef" * 40, "gh" + "p_" + long[:300].replace("_", ""), "sk-" + long,
+        "AKIA" + "ABCDEFGHIJKLMNOP", "ghp_" + "abcdefghij" * 4, "sk-" + "abcdefghij" * 3, "abcdef" * 6, "ABCDEF" * 6, "12345678901abcdef" * 3,
+        "2001:db8::1", "fe80::1", "::1", "2001:DB8::", "::ffff:192.0.2.128", "1:2:3:4:5:6:7::", "2001:db8:0:0:0:0:0:1", "fe80::abcd:0:0:1",
+    ]
+    df = spark.createDataFrame([(i, f"see {v} here") for i, v in enumerate(values)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.replace(df, Scratch(spark, "t")).select("row.doc_id", "text", "n_entities").collect()}
+    for i, v in enumerate(values):
+        new = out[i]["text"].removeprefix("see ").removesuffix(" here")
+        assert out[i]["n_entities"] == 1 and new != v, v[:40]
+        # no long piece of the value is left, wherever it stood
+        assert not any(new[k : k + 12] in v for k in range(6, len(new) - 12)), v[:40]
+    new = [out[i]["text"].removeprefix("see ").removesuffix(" here") for i in range(12, 20)]
+    assert len({str(ipaddress.ip_address(x)) for x in new}) == 7 and ipaddress.ip_address(new[0]) == ipaddress.ip_address(new[6])
+    assert all("::" in x for k, x in enumerate(new) if k != 6) and new[3].upper() == new[3]
+    kept = ["std::vector", "a :: Int", "at 12:30", "std::add(x)", "x ::= y"]
+    df = spark.createDataFrame(list(enumerate(kept)), "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in pii.replace(df, Scratch(spark, "t")).select("row.doc_id", "text").collect()} == dict(enumerate(kept))
+
+
 # 10 -----------------------------------------------------------------------
 
 

@@ -58,30 +58,33 @@ GIVEN = {
 }
 
 _ANY = r"[\p{L}\p{N}]"
-_CAP = r"\p{Lu}[\p{L}'’-]{1,40}"
+_CAP = r"\p{Lu}[\p{L}'’-]++"
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 _GIVEN = "|".join(n for ns in GIVEN.values() for n in ns)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_IP4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)"
+_HEX4 = "[0-9A-Fa-f]{1,4}"
 # the first characters are tried before any list of words
 _SECRET_HEAD = r"(?=[aAcCpPsStT])(?i:api[_-]?key|access[_-]?key|auth[_-]?token|client[_-]?secret|private[_-]?key|secret|token|password|passwd|pwd)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 
 #: Kind, pattern; in order of preference.
 KINDS = (
-    ("secret", rf"{_SECRET_HEAD}[A-Za-z0-9_+/=.~-]{{8,512}}"),
+    ("secret", rf"{_SECRET_HEAD}[A-Za-z0-9_+/=.~-]{{8,}}+"),
     ("email", r"(?<![._%+-])[\p{L}\p{N}._%+-]{1,128}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,8}\.\p{L}{2,24}"),
     ("iban", rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?!{_ANY})"),
-    ("ip6", r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
-    ("ip4", rf"(?<![.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)"),
+    ("ip6", rf"(?={_HEX4}:[0-9A-Fa-f:]|::[0-9A-Fa-f])(?:(?:{_HEX4}:){{7}}{_HEX4}|(?:{_HEX4}:){{6}}{_IP4}|(?:{_HEX4}(?::{_HEX4}){{0,6}})?::(?:(?:{_HEX4}:){{0,6}}(?:{_IP4}|{_HEX4}))?)(?!{_ANY}|:[0-9A-Fa-f:])"),
+    ("ip4", rf"(?<![.]){_IP4}"),
+    # before the kinds of digits, which would take the first digits of a hexadecimal key
+    ("key", rf"(?:AKIA[0-9A-Z]{{16}}|gh[a-z]_[A-Za-z0-9]{{30,}}+|sk-[A-Za-z0-9_-]{{20,}}+|eyJ[\w-]{{10,}}+\.[\w-]{{10,}}+\.[\w-]{{10,}}+|[0-9a-f]{{32,}}+|[0-9A-F]{{32,}}+)(?!{_ANY})"),
     ("ssn", r"(?<!-)\d{3}-\d{2}-\d{4}(?!-?\d)"),
     ("phone", r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)|\d{10,11}(?!\d)"),
     ("card", r"\d(?:[ -]?\d){12,18}(?!\d)"),
-    ("key", rf"(?:AKIA[0-9A-Z]{{16}}|gh[a-z]_[A-Za-z0-9]{{30,80}}|sk-[A-Za-z0-9_-]{{20,120}}|eyJ[\w-]{{10,512}}\.[\w-]{{10,512}}\.[\w-]{{10,512}}|[0-9a-f]{{32,128}}|[0-9A-F]{{32,128}})(?!{_ANY})"),
     ("titled", rf"(?=[\p{{Lu}}гκ])(?:{_TITLE})\.? {_CAP}(?: {_CAP})?"),
     ("named", rf"(?=\p{{Lu}})(?:{_GIVEN}) {_CAP}"),
 )
 PATTERN = rf"(?<!{_ANY})(?:" + "|".join(p for _, p in KINDS) + ")"
 #: A text that this does not fit holds no entity.
-GATE = rf"[0-9@]|(?=[\p{{Lu}}гκ])(?<!{_ANY})(?:{_TITLE}|{_GIVEN})\.? \p{{Lu}}|[=:](?<=[a-zA-Z][\"'\s]{{0,4}}[=:])"
+GATE = rf"[0-9@]|(?=[\p{{Lu}}гκ])(?<!{_ANY})(?:{_TITLE}|{_GIVEN})\.? \p{{Lu}}|[=:](?<=[a-zA-Z][\"'\s]{{0,4}}[=:])|::[A-Fa-f]|AKIA|gh[a-z]_|sk-|eyJ|[a-f]{{32}}|[A-F]{{32}}"
 
 _DIGITS = "0123456789"
 _ALPHABETS = (
@@ -170,14 +173,16 @@ def _surrogate() -> Column:
     octets = F.transform(F.split(canon, r"\."), lambda o, i: (_byte(s, i) % 254 + 1).cast("string"))
     at = F.instr(canon, "@")
     top = F.element_at(F.split(canon, r"\."), -1)
+    # zero groups stay, so that a short address stays short; all are drawn where too few addresses are of that shape
+    sparse = (draw < LENGTHEN_AFTER) & F.regexp_like(canon, F.lit("[1-9a-f]"))
     made = (
         F.when(kind == "email", F.concat(_like(F.substring(canon, F.lit(1), at - 1), s), F.lit("@"), _like(F.expr("regexp_replace(substring(canon, instr(canon, '@') + 1), '[.][^.]*$', '')"), site_stream), F.lit("."), top))
         .when(kind == "ip4", F.array_join(octets, "."))
         .when(kind == "card", _card_like(canon, s))
         .when(kind == "phone", F.concat(F.substring(canon, 1, 1), _like(F.expr("substring(canon, 2)"), s)))
         .when(kind == "iban", F.concat(F.substring(canon, 1, 2), _like(F.expr("substring(canon, 3)"), s)))
-        .when(kind.isin("secret", "key", "ip6") & F.regexp_like(canon, F.lit("^(?:[0-9a-f]+|[0-9A-F]+)$")), _hex_like(canon, s))
-        .when(kind == "ip6", F.array_join(F.transform(F.split(canon, ":"), lambda g, i: F.lower(F.hex(_byte(s, i) + 256 * _byte(s, i + 20)))), ":"))
+        .when(kind.isin("secret", "key") & F.regexp_like(canon, F.lit("^(?:[0-9a-f]+|[0-9A-F]+)$")), _hex_like(canon, s))
+        .when(kind == "ip6", F.array_join(F.transform(F.split(canon, ":"), lambda g, i: F.when((g == "0") & sparse, g).otherwise(F.lower(F.hex((_byte(s, i) + 256 * _byte(s, i + 20)) % 65535 + 1)))), ":"))
         .when(kind == "key", F.concat(F.regexp_extract(canon, "^(?:AKIA|gh[a-z]_|sk-|eyJ)?", 0), _like(F.expr("regexp_replace(canon, '^(?:AKIA|gh[a-z]_|sk-|eyJ)', '')"), s)))
         .when(kind.like("given%") | (kind == "family:n"), _name_like(kind, canon, s))
         .otherwise(_like(canon, s))
@@ -189,7 +194,7 @@ def _surrogate() -> Column:
         return F.when(is_name, F.concat(_pick("aeiou", a), _pick("lmnrst", b))).otherwise(F.concat(_pick(_DIGITS, a), _pick(_DIGITS, b)))
 
     longer = F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), draw - LENGTHEN_AFTER)), syllable), "")
-    tail = F.when(draw < LENGTHEN_AFTER, "").otherwise(longer)
+    tail = F.when((draw < LENGTHEN_AFTER) | (kind == "ip6"), "").otherwise(longer)
     # an address grows before its @
     return F.when(kind == "email", F.concat(F.substring_index(made, "@", 1), tail, F.lit("@"), F.substring_index(made, "@", -1))).otherwise(F.concat(made, tail))
 
@@ -225,6 +230,28 @@ def _kind(match: Column) -> Column:
     return out
 
 
+def _ip6_groups(surface: Column) -> Column:
+    """All groups of an address, in lower case and without leading zeros, joined by colons."""
+    text = F.lower(surface)
+    octets = F.transform(F.split(F.regexp_extract(text, r"[0-9.]*$", 0), r"\."), lambda o: o.try_cast("int"))
+    pair = lambda i: F.lower(F.hex(F.get(octets, F.lit(i)) * 256 + F.get(octets, F.lit(i + 1))))
+    text = F.when(F.contains(text, F.lit(".")), F.concat(F.regexp_replace(text, r"[0-9.]*$", ""), pair(0), F.lit(":"), pair(2))).otherwise(text)
+    of = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
+    head, rest = of(F.element_at(F.split(text, "::"), 1)), of(F.coalesce(F.get(F.split(text, "::"), F.lit(1)), F.lit("")))
+    zeros = F.array_repeat(F.lit("0"), F.when(F.contains(text, F.lit("::")), F.greatest(F.lit(0), 8 - F.size(head) - F.size(rest))).otherwise(0))
+    return F.array_join(F.transform(F.concat(head, zeros, rest), lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
+
+
+def _ip6_short(groups: Column) -> Column:
+    """The first of the longest runs of zero groups as ::."""
+    out = None
+    for n in range(8, 0, -1):
+        run = rf"^(|.*?:)0(?::0){{{n - 1}}}(|:.*)$"
+        fits, short = F.regexp_like(groups, F.lit(run)), F.regexp_replace(groups, run, "$1$2")
+        out = F.when(fits, short) if out is None else out.when(fits, short)
+    return F.regexp_replace(out.otherwise(groups), "^:(?!:)|(?<!:):$|^$", "::")
+
+
 def _parts(kind: Column, surface: Column) -> Column:
     """The (kind, canonical form) of each part of an entity."""
 
@@ -247,7 +274,7 @@ def _parts(kind: Column, surface: Column) -> Column:
         .when(kind.isin("ssn", "card"), F.array(part(kind, digits)))
         .when(kind == "email", F.array(part("email", F.lower(surface))))
         .when(kind == "iban", F.array(part("iban", F.regexp_replace(surface, " ", ""))))
-        .when(kind == "ip6", F.array(part("ip6", F.lower(surface))))
+        .when(kind == "ip6", F.array(part("ip6", _ip6_groups(surface))))
         .when(kind == "secret", F.array(part("secret", value)))
         .when(kind == "named", F.array(part(F.concat(F.lit("given:"), F.when(first.isin(*GIVEN["m"]), "m").otherwise("f")), F.lower(first)), part("family:n", last)))
         .when((kind == "titled") & (F.size(words) > 2), F.array(part(F.concat(F.lit("given:"), own), mid), part("family:n", last)))
@@ -278,12 +305,13 @@ def _written(kind: Column, surface: Column, fresh: Column) -> Column:
     two = F.concat(_cased(F.element_at(words, -2), one), F.lit(" "), _cased(F.element_at(words, -1), last))
     head = F.regexp_extract(surface, rf"^{_SECRET_HEAD}", 0)
     digits = F.regexp_replace(surface, r"\D", "")
+    ip6 = F.when(F.contains(surface, F.lit("::")), _ip6_short(one)).otherwise(one)
     code = F.when(F.char_length(digits) > F.char_length(one), F.substring(digits, F.lit(1), F.char_length(digits) - F.char_length(one))).otherwise("")
     return (
         F.when(kind.isin("ssn", "phone", "card"), _fill(surface, F.concat(code, one), "[0-9]"))
         .when(kind == "iban", _fill(surface, one, "[A-Z0-9]"))
         .when(kind == "email", F.when(F.upper(surface) == surface, F.upper(one)).otherwise(one))
-        .when(kind == "ip6", F.when(F.upper(surface) == surface, F.upper(one)).otherwise(one))
+        .when(kind == "ip6", F.when(F.upper(surface) == surface, F.upper(ip6)).otherwise(ip6))
         .when(kind == "secret", F.concat(head, one))
         .when(kind == "named", two)
         .when((kind == "titled") & (F.size(words) > 2), F.concat(F.element_at(words, 1), F.lit(" "), two))
