@@ -270,6 +270,19 @@ def test_language_model_is_a_distribution():
     assert total.sum() == pytest.approx(10 ** m.log10(base, np.array([0, 7]))[0], rel=1e-3)
 
 
+def test_language_model_learns_from_long_documents(spark):
+    text = " ".join(f"word{i}" for i in range(30_000))
+    df = spark.createDataFrame([(i, text + f" {i}") for i in range(4)] + [(4, "short one"), (5, None)], "doc_id long, text string")
+    out = [tuple(r) for r in langmodel.sample(df, 6).select("text", "ends").collect()]
+    assert sorted(t for t, _ in out if len(t) < 20) == ["", "short one"]
+    long = [(t, e) for t, e in out if len(t) >= 20]
+    words = set(text.split()) | set("0123")
+    assert len(long) == 4 and len({t[:20] for t, _ in long}) > 1
+    assert all(langmodel.SAMPLE_BYTES * 0.9 < len(t) <= langmodel.SAMPLE_BYTES and (set(t.split()) <= words) for t, _ in long)
+    ids, begin = langmodel._without_ends(np.array([1, 2, 9, 3, 9, 9]), np.array([0, 3, 5, 6]), np.array([False, True, False]))
+    assert ids.tolist() == [1, 2, 3, 9, 9] and begin.tolist() == [0, 2, 4, 5]
+
+
 # 9 ------------------------------------------------------------------------
 
 
