@@ -34,7 +34,16 @@ def numbered(events: DataFrame, after: int = 0) -> DataFrame:
 
 
 def price_changes_since(states: DataFrame, known: DataFrame, commit: int, fields: list[str]) -> DataFrame:
-    """known events up to a commit, and the events after it, as price_changes() would give them."""
+    """known events up to a commit, and the events after it, as price_changes() would give them.
+
+    All events are made anew where known can't be continued: its sequence has
+    gaps or repeats, or it or its commit is not of these states' commits.
+    """
+    commits = states.select("commit_seq").distinct()
+    n, distinct, least, most, newest = known.agg(F.count("*"), F.countDistinct("sequence"), F.min("sequence"), F.max("sequence"), F.max("commit_seq")).first()
+    sound = n == 0 or (n == distinct == most and least == 1 and newest <= commit)
+    if not sound or not commits.where(F.col("commit_seq") == commit).count() or known.select("commit_seq").join(commits, "commit_seq", "left_anti").limit(1).count():
+        return price_changes(states, fields).select(*[F.col(c).cast(known.schema[c].dataType) for c in known.columns])
     seed = latest_state(known, fields).select(*ROUTE, F.lit(commit).alias("commit_seq"), F.lit(None).cast("timestamp").alias("ts"), F.lit(True).alias("present"), *fields)
     later = states.where(F.col("commit_seq") > commit)
     w = Window.partitionBy(*ROUTE).orderBy("commit_seq")

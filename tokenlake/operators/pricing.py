@@ -80,20 +80,38 @@ def choose_routes(pairs: DataFrame, events: DataFrame, families: DataFrame, offi
     return df.select("provider", "model", "canonical", F.coalesce("r1", "r2", "r3", "o1", "o2").alias("route"), own.alias("official_route"))
 
 
-def price_usage(usage: DataFrame, events: DataFrame, families: DataFrame, official: DataFrame) -> DataFrame:
-    """usage (with canonical) with ``provider_price`` and ``official_price``, structs of RATES."""
+def _static_prices(routes: DataFrame, official: DataFrame, static: DataFrame | None, kind) -> DataFrame:
+    """routes with ``static_price`` and ``static_official``, null where static has none."""
+    if static is None:
+        return routes.withColumns({"static_price": F.lit(None).cast(kind), "static_official": F.lit(None).cast(kind)})
+    norm = lambda c: F.lower(F.trim(F.col(c)))
+    # as in the history, no price of a record without a model
+    df = routes.join(official.select(F.col("canonical").alias("_c"), norm("official").alias("_o")), F.col("canonical") == F.col("_c"), "left").drop("_c")
+    for provider, name in ((norm("provider"), "_own"), (F.col("_o"), "static_official")):
+        p = static.select(norm("provider").alias("_p"), norm("model").alias("_m"), F.struct(*RATES).cast(kind).alias(name))
+        df = df.join(p, F.col("model").isNotNull() & (provider == F.col("_p")) & (F.col("canonical") == F.col("_m")), "left").drop("_p", "_m")
+    return df.withColumn("static_price", F.coalesce("_own", "static_official")).drop("_own", "_o")
+
+
+def price_usage(usage: DataFrame, events: DataFrame, families: DataFrame, official: DataFrame, static: DataFrame | None = None) -> DataFrame:
+    """usage (with canonical) with ``provider_price`` and ``official_price``, structs of RATES.
+
+    static: prices without a time (provider, model, RATES), for pairs without a
+    route in the history: of (provider, canonical), else of (official, canonical).
+    """
     upserts = events.where(F.col("op") == "upsert").withColumn("price", F.struct(*RATES))
     pairs = usage.select("provider", "model", "canonical").distinct()
     routes = choose_routes(pairs, upserts, families, official)
-    routes = routes.select(F.col("provider").alias("_p"), F.col("model").alias("_m"), F.col("route"), F.col("official_route"))
+    routes = _static_prices(routes, official, static, upserts.select("price").schema["price"].dataType)
+    routes = routes.select(F.col("provider").alias("_p"), F.col("model").alias("_m"), "route", "official_route", "static_price", "static_official")
     rows = usage.join(routes, F.col("provider").eqNullSafe(F.col("_p")) & F.col("model").eqNullSafe(F.col("_m")), "left").drop("_p", "_m")
-    for route, price in (("route", "provider_price"), ("official_route", "official_price")):
+    for route, price, fixed in (("route", "provider_price", "static_price"), ("official_route", "official_price", "static_official")):
         ev = upserts.select(F.col("provider").alias("_rp"), F.col("model").alias("_rm"), "ts", "sequence", F.col("price").alias(price))
         dealt = rows.withColumns({"_rp": F.col(f"{route}.provider"), "_rm": F.col(f"{route}.model")})
         some, none = dealt.where(F.col("_rp").isNotNull()), dealt.where(F.col("_rp").isNull())
         priced = asof(some, ev, ["_rp", "_rm"], price, ["sequence"])
-        rows = priced.unionByName(none.withColumn(price, F.lit(None).cast(priced.schema[price].dataType))).drop("_rp", "_rm")
-    return rows.drop("route", "official_route")
+        rows = priced.unionByName(none.withColumn(price, F.col(fixed))).drop("_rp", "_rm")
+    return rows.drop("route", "official_route", "static_price", "static_official")
 
 
 def policy(usage: DataFrame, policies: DataFrame) -> DataFrame:

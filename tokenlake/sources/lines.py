@@ -11,6 +11,11 @@ def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Non-blank lines of whole files; a log file is a session's, and fits a task."""
     files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), "value")
     every = files.select("source_file", F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
+    return with_offsets(every)
+
+
+def with_offsets(every: DataFrame) -> DataFrame:
+    """The non-blank ones of all lines of files (source_file, line_no, value), with ``byte_offset``."""
     w = Window.partitionBy("source_file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     every = every.withColumn("byte_offset", F.coalesce(F.sum(F.octet_length("value") + 1).over(w), F.lit(0)).cast("long"))
     return every.where(F.trim("value") != "").select("source_file", "line_no", "byte_offset", "value")

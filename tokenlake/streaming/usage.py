@@ -11,14 +11,13 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.scalars import display_input, display_output
 from ..functions.storage import stored
 from ..operators.incremental import reconcile, snapshot
-from ..sources.lines import file_status
+from ..sources.lines import file_status, with_offsets
 
 
 def file_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of arriving log files; files must not change once they are there."""
+    """All lines of arriving log files, blank ones too, for ingest(); files must not change once they are there."""
     files = spark.readStream.format("text").schema("value string").option("wholetext", "true").load(path)
-    each = files.select(F.col("_metadata.file_path").alias("source_file"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
-    return each.where(F.trim("value") != "").withColumn("byte_offset", F.col("line_no").cast("long"))
+    return files.select(F.col("_metadata.file_path").alias("source_file"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
 
 
 def ingest(lines: DataFrame, decode: Callable[[DataFrame], DataFrame], table: str, checkpoint: str) -> StreamingQuery:
@@ -26,7 +25,7 @@ def ingest(lines: DataFrame, decode: Callable[[DataFrame], DataFrame], table: st
 
     def batch(rows: DataFrame, _: int) -> None:
         spark = rows.sparkSession
-        made = stored(rows, "lines")
+        made = stored(with_offsets(rows), "lines")
         new = decode(made)
         old = spark.table(table) if spark.catalog.tableExists(table) else new.limit(0)
         after = stored(snapshot(reconcile(old, new, file_status(made))).select(*new.columns), "usage")
