@@ -1,6 +1,6 @@
 """Exact substring dedup: removes every byte of a ``LENGTH``-byte string that starts elsewhere too.
 
-Distributed prefix doubling on sampled suffixes. A suffix array over all bytes
+Anchor fingerprints, in place of prefix doubling, on sampled suffixes. A suffix array over all bytes
 would shuffle some 16 bytes for each byte; here only anchors are ranked. The
 anchor of a start is the first least 16-byte fingerprint in the WINDOW
 positions from it. It lies within the string of LENGTH bytes from the start
