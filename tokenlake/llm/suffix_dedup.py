@@ -5,22 +5,24 @@ would shuffle some 16 bytes for each byte; here only anchors are ranked. The
 anchor of a start is the first least 16-byte fingerprint in the WINDOW
 positions from it. It lies within the string of LENGTH bytes from the start
 and depends on these bytes only, so equal strings have equal anchors; and
-some 64 starts in a row share one. A rank at an offset is the fingerprint of
+some 64 starts in a row share one. A name at an offset is the fingerprint of
 that many bytes:
 
-1. offset LENGTH - WINDOW, from the anchors: Spark groups positions by rank,
-   and runs of starts whose anchor's rank is unique leave;
-2. offset LENGTH, from the first start of each surviving run, which is now
-   known to be repeated or not. Where two neighbouring runs both begin with a
-   repeated start, all between is covered;
+1. offset LENGTH - WINDOW, from the anchors: Spark groups positions by name,
+   and runs of starts whose anchor's name is unique leave;
+2. offset LENGTH, from the first start of each surviving run: the run is named
+   anew by the pair of both names, and its first start is now known to be
+   repeated or not. Where two neighbouring runs both begin with a repeated
+   start, all between is covered;
 3. in the other surviving runs (the ends of repeated passages), every start is
-   ranked at LENGTH, together with all runs whose anchors have the same rank
+   named by the pair, together with all runs whose anchors have the same name
    of step 1, so that both copies are in the count.
 
-The starts with ranks that occur twice give the covered bytes exactly. Ranks
-are 64-bit polynomial fingerprints. Texts are named by hash and length; of a
-text's copies in one task one is ranked, and any text with two rows is
-removed whole if it has LENGTH bytes.
+The starts with pairs that occur twice give the covered bytes. A name is a
+64-bit polynomial fingerprint; a pair has 128 bits in step 2 and 96 in step 3,
+so that among 10^13 starts a chance equality has a probability below 10^-2.
+Texts are named by hash and length; of a text's copies in one task one is
+ranked, and any text with two rows is removed whole if it has LENGTH bytes.
 
 Edge cases: a null text has no bytes; texts of fewer than LENGTH bytes lose
 nothing; overlapping occurrences within a document count; repeated rows are
@@ -155,7 +157,7 @@ def _open_gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, len, start, rank at LENGTH) of all starts in the given gaps; and each text once more, compressed."""
+    """(id, len, start, name at LENGTH, 32 bits of the anchor's name) of all starts in the given gaps; and each text once more, compressed."""
     press, seen = zstandard.ZstdCompressor(level=3), set()
     for b in batches:
         for i in range(b.num_rows):
@@ -165,8 +167,10 @@ def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.add((key, length))
             data = _bytes_of(b.column("bytes")[i])
             ends = b.column("ends")[i].as_py() or []
-            at = np.unique(np.concatenate([np.arange(e["pos"], e["pos"] + e["gap"]) for e in ends])) if ends else np.zeros(0, np.int64)
-            at = at[at + LENGTH <= len(data)]
+            at = np.concatenate([np.arange(e["pos"], e["pos"] + e["gap"]) for e in ends]) if ends else np.zeros(0, np.int64)
+            of = np.repeat(np.array([e["k"] for e in ends], np.int64), [e["gap"] for e in ends]).astype(np.int32)  # runs don't meet
+            within = at + LENGTH <= len(data)
+            at, of = at[within], of[within]
             ranks = np.zeros(len(at), U64)
             for begin, core, end in _pieces(data) if len(at) else ():
                 mine = (at >= core) & (at < end)
@@ -176,9 +180,9 @@ def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch(
                 [
                     pa.array(np.full(n, key, np.int64)), pa.array(np.full(n, length, np.int32)), pa.array(np.append(at, -1).astype(np.int32)),
-                    pa.array(np.append(ranks, U64(0)).view(np.int64)), pa.array([None] * (n - 1) + [press.compress(data.tobytes())], pa.binary()),
+                    pa.array(np.append(ranks, U64(0)).view(np.int64)), pa.array(np.append(of, np.int32(0))), pa.array([None] * (n - 1) + [press.compress(data.tobytes())], pa.binary()),
                 ],
-                names=["id", "len", "start", "h", "ztext"],
+                names=["id", "len", "start", "h", "of", "ztext"],
             )
 
 
@@ -222,20 +226,20 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, keep: list[str]) -> DataFr
     again = scratch.write(ranked.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("k"), "again")
     left = scratch.write(ranked.join(again, ["k"], "left_semi"), "survivors")
     scratch.drop(ranked)
-    full = scratch.write(left.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("h", F.lit(True).alias("again")), "full")
-    flagged = scratch.write(left.join(full, ["h"], "left").select("id", "len", "pos", "gap", "k", F.coalesce("again", F.lit(False)).alias("again")), "flagged")
+    full = scratch.write(left.groupBy("k", "h").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("k", "h", F.lit(True).alias("again")), "full")
+    flagged = scratch.write(left.join(full, ["k", "h"], "left").select("id", "len", "pos", "gap", "k", F.coalesce("again", F.lit(False)).alias("again")), "flagged")
     scratch.drop(left)
 
     by_text = flagged.groupBy("id", "len").agg(F.collect_set(F.struct("pos", "gap", "k", "again")).alias("anchors"))
     open_ = scratch.write(by_text.select("anchors").mapInArrow(_open_gaps, "k long").distinct(), "open")
-    ends = flagged.join(open_, ["k"], "left_semi").groupBy("id", "len").agg(F.collect_set(F.struct("pos", "gap")).alias("ends"))
+    ends = flagged.join(open_, ["k"], "left_semi").groupBy("id", "len").agg(F.collect_set(F.struct("pos", "gap", "k")).alias("ends"))
     # texts with an anchor that repeats or an open gap; a text with copies is removed whole, but its starts count
     involved = flagged.select("id", "len").distinct().join(ends, ["id", "len"], "left")
     involved = scratch.write(involved, "involved")
-    starts = scratch.write(texts.join(involved, ["id", "len"], "inner").select("id", "len", "bytes", "ends").mapInArrow(_starts, "id long, len int, start int, h long, ztext binary"), "starts")
+    starts = scratch.write(texts.join(involved, ["id", "len"], "inner").select("id", "len", "bytes", "ends").mapInArrow(_starts, "id long, len int, start int, h long, of int, ztext binary"), "starts")
     some = starts.where(F.col("start") >= 0)
-    twice = scratch.write(some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("h"), "twice")
-    covered = some.select("id", "len", "start", "h").join(twice, ["h"], "left_semi").select("id", "len", "start")
+    twice = scratch.write(some.groupBy("h", "of").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("h", "of"), "twice")
+    covered = some.select("id", "len", "start", "h", "of").join(twice, ["h", "of"], "left_semi").select("id", "len", "start")
     covered = covered.union(flagged.where("again").select("id", "len", F.col("pos").alias("start"))).groupBy("id", "len").agg(F.collect_set("start").alias("starts"))
     held = starts.where(F.col("start") < 0).groupBy("id", "len").agg(F.max("ztext").alias("ztext"))
     alone = covered.join(copies, ["id", "len"], "left_anti")
