@@ -2,9 +2,11 @@
 
 Which route prices a record does not depend on time (a route with any event
 always has a price), so routes are chosen for each distinct (provider, model);
-only the event is looked up by time, in one window over events and records
-together. A route with very many records is one window: its records are
-dealt to months first, each month with the price that holds at its start.
+only the event is looked up by time. Events are the small side: they are
+gathered by route and month, each month with the price that holds at its start,
+and records meet them in equal joins on route and month. No window holds
+records, so a route with a third of them is a hot join key, which Spark
+broadcasts past or splits.
 """
 
 from __future__ import annotations
@@ -21,34 +23,31 @@ RATES = ("input", "output", "reasoning", "cache_read", "cache_write")
 def asof(rows: DataFrame, events: DataFrame, keys: list[str], value: str, order: list[str], ts: str = "ts") -> DataFrame:
     """rows with ``value`` of the latest event of the same keys at or before their time.
 
-    Before the first event the first event holds; without events it is null.
-    Events of one time follow ``order``. ``value`` may be a struct, whose null
-    fields are kept.
+    Before the first event the first event holds; without events, and with a
+    null key, it is null. Events of one time follow ``order``. ``value`` may be
+    a struct, whose null fields are kept.
     """
     month = lambda c: F.date_trunc("month", c)
-    ev = events.select(*keys, F.col(ts).alias("_ts"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.struct(F.col(value).alias("v")).alias("_v")).withColumn("_m", month(F.col("_ts")))
-    last_of_month = ev.groupBy(*keys, "_m").agg(F.max_by("_v", F.struct("_ts", *[f"_o{i}" for i in range(len(order))])).alias("_v"))
-    first = ev.groupBy(*keys).agg(F.min_by("_v", F.struct("_ts", *[f"_o{i}" for i in range(len(order))])).alias("_first"))
-    months = rows.select(*keys, month(F.col(ts)).alias("_m")).distinct()
-    # the price that holds when a month begins: a window over months, not over records
-    w = Window.partitionBy(*keys).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
-    marks = last_of_month.unionByName(months.withColumn("_v", F.lit(None).cast(last_of_month.schema["_v"].dataType)))
-    marks = marks.groupBy(*keys, "_m").agg(F.first("_v", ignorenulls=True).alias("_v"))
-    carried = marks.withColumn("_carry", F.last("_v", ignorenulls=True).over(w)).select(*keys, "_m", "_carry")
-    null_order = [F.lit(None).cast(ev.schema[f"_o{i}"].dataType).alias(f"_o{i}") for i in range(len(order))]
-    kind = F.struct(*[F.col(c) for c in rows.columns])
-    both = ev.select(*keys, "_m", "_ts", F.lit(0).alias("_kind"), *[f"_o{i}" for i in range(len(order))], "_v", F.lit(None).cast(rows.select(kind.alias("r")).schema["r"].dataType).alias("_row")).unionByName(
-        rows.select(*keys, month(F.col(ts)).alias("_m"), F.col(ts).alias("_ts"), F.lit(1).alias("_kind"), *null_order, F.lit(None).cast(ev.schema["_v"].dataType).alias("_v"), kind.alias("_row"))
-    )
-    w = Window.partitionBy(*keys, "_m").orderBy("_ts", "_kind", *[f"_o{i}" for i in range(len(order))]).rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_kind = 1").select(*keys, "_m", "_v", "_row")
-    named = lambda df: df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in df.columns if c not in keys])
-    on = lambda: [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    drop = [f"_k{i}" for i in range(len(keys))]
-    c = named(carried).withColumnRenamed("_m", "_m2")
-    out = out.join(c, [*on(), F.col("_m") == F.col("_m2")], "left").drop(*drop, "_m2")
-    out = out.join(named(first), on(), "left").drop(*drop)
-    return out.select("_row.*", F.coalesce("_v", "_carry", "_first")["v"].alias(value))
+    ks = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    kn = [f"_k{i}" for i in range(len(keys))]
+    at = F.struct(F.col(ts).alias("t"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    ev = events.where(F.col(ts).isNotNull()).select(*ks, month(F.col(ts)).alias("_m"), at.alias("at"), F.struct(F.col(value).alias("v")).alias("_v"))
+    # of events of one time the last one counts
+    ev = ev.groupBy(*kn, "_m", F.col("at.t").alias("t")).agg(F.max_by("_v", "at").alias("_v"), F.min_by("_v", "at").alias("_v0"))
+    held = ev.groupBy(*kn, "_m").agg(F.sort_array(F.collect_list(F.struct("t", "_v"))).alias("_e"), F.min_by("_v0", "t").alias("_v0"))
+    w = Window.partitionBy(*kn).orderBy("_m")
+    held = held.withColumns({"_carry": F.lag(F.element_at("_e", -1)["_v"]).over(w), "_next": F.lead("_m").over(w)})
+    # every month up to the next one with events; the last month's price holds for good
+    until = F.coalesce(F.add_months("_next", -1).cast("timestamp"), F.col("_m"))
+    months = held.select(*kn, "_carry", "_e", F.col("_m").alias("_from"), F.explode(F.sequence("_m", until, F.expr("interval 1 month"))).alias("_m"))
+    months = months.select(*kn, "_m", F.when(F.col("_m") == F.col("_from"), F.col("_carry")).otherwise(F.element_at("_e", -1)["_v"]).alias("_carry"), F.when(F.col("_m") == F.col("_from"), F.col("_e")).alias("_e"))
+    ends = held.groupBy(*kn).agg(F.min_by("_v0", "_m").alias("_first"), F.max("_m").alias("_end"), F.max_by(F.element_at("_e", -1)["_v"], "_m").alias("_last"))
+    on = [F.col(k) == F.col(n) for k, n in zip(keys, kn)]
+    out = rows.join(ends, on, "left").drop(*kn)
+    out = out.join(months.withColumnRenamed("_m", "_month"), [*on, month(F.col(ts)) == F.col("_month")], "left").drop(*kn)
+    in_month = F.try_element_at(F.filter("_e", lambda e: e["t"] <= F.col(ts)), F.lit(-1))["_v"]
+    found = F.coalesce(in_month, "_carry", F.when(month(F.col(ts)) > F.col("_end"), F.col("_last")), F.col("_first"))
+    return out.withColumn(value, found["v"]).drop("_first", "_end", "_last", "_month", "_carry", "_e")
 
 
 def choose_routes(pairs: DataFrame, events: DataFrame, families: DataFrame, official: DataFrame) -> DataFrame:
@@ -93,25 +92,27 @@ def _static_prices(routes: DataFrame, official: DataFrame, static: DataFrame | N
     return df.withColumn("static_price", F.coalesce("_own", "static_official")).drop("_own", "_o")
 
 
-def price_usage(usage: DataFrame, events: DataFrame, families: DataFrame, official: DataFrame, static: DataFrame | None = None) -> DataFrame:
-    """usage (with canonical) with ``provider_price`` and ``official_price``, structs of RATES.
+def price_usage(usage: DataFrame, events: DataFrame, families: DataFrame, official: DataFrame, static: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """usage with ``provider_price`` and ``official_price``, structs of RATES.
 
     static: prices without a time (provider, model, RATES), for pairs without a
     route in the history: of (provider, canonical), else of (official, canonical).
+    pairs: the distinct (provider, model) with canonical, where usage has none yet.
     """
     upserts = events.where(F.col("op") == "upsert").withColumn("price", F.struct(*RATES))
-    pairs = usage.select("provider", "model", "canonical").distinct()
+    named = pairs is not None
+    pairs = pairs if named else usage.select("provider", "model", "canonical").distinct()
     routes = choose_routes(pairs, upserts, families, official)
     routes = _static_prices(routes, official, static, upserts.select("price").schema["price"].dataType)
-    routes = routes.select(F.col("provider").alias("_p"), F.col("model").alias("_m"), "route", "official_route", "static_price", "static_official")
+    both = [F.col(f"{r}.{c}").alias(f"_{r}_{c}") for r in ("route", "official_route") for c in ("provider", "model")]
+    more = ["canonical"] if named else []
+    routes = routes.select(F.col("provider").alias("_p"), F.col("model").alias("_m"), *more, *both, "static_price", "static_official")
     rows = usage.join(routes, F.col("provider").eqNullSafe(F.col("_p")) & F.col("model").eqNullSafe(F.col("_m")), "left").drop("_p", "_m")
     for route, price, fixed in (("route", "provider_price", "static_price"), ("official_route", "official_price", "static_official")):
-        ev = upserts.select(F.col("provider").alias("_rp"), F.col("model").alias("_rm"), "ts", "sequence", F.col("price").alias(price))
-        dealt = rows.withColumns({"_rp": F.col(f"{route}.provider"), "_rm": F.col(f"{route}.model")})
-        some, none = dealt.where(F.col("_rp").isNotNull()), dealt.where(F.col("_rp").isNull())
-        priced = asof(some, ev, ["_rp", "_rm"], price, ["sequence"])
-        rows = priced.unionByName(none.withColumn(price, F.col(fixed))).drop("_rp", "_rm")
-    return rows.drop("route", "official_route", "static_price", "static_official")
+        keys = [f"_{route}_provider", f"_{route}_model"]
+        ev = upserts.select(F.col("provider").alias(keys[0]), F.col("model").alias(keys[1]), "ts", "sequence", F.col("price").alias(price))
+        rows = asof(rows, ev, keys, price, ["sequence"]).withColumn(price, F.when(F.col(keys[0]).isNull(), F.col(fixed)).otherwise(F.col(price))).drop(*keys, fixed)
+    return rows
 
 
 def policy(usage: DataFrame, policies: DataFrame) -> DataFrame:

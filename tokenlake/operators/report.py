@@ -62,23 +62,20 @@ def report(usage: DataFrame, roots: DataFrame, dims: list[str], bucket: str = "d
     roots come from all records, before any filter.
     """
     dims = dimensions(dims)
+    keys = [f"_{d}" for d in dims]
     r = roots.select(F.col("session_id").alias("_s"), "root_id")
-    rows = with_display(usage).join(r, F.col("session_id") == F.col("_s"), "left").drop("_s")
-    keyed = rows.select("*", *[key_column(d, bucket, full_session_id).alias(f"_{d}") for d in dims])
+    keyed = with_display(usage).select("*", *[key_column(d, bucket, full_session_id).alias(f"_{d}") for d in dims])
     costs = [c for c in COSTS if c in usage.columns]
-    cost = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in costs]
-    return (
-        keyed.groupBy(*[f"_{d}" for d in dims])
-        .agg(
-            *[F.sum(c).alias(c) for c in SUMS], *[F.bool_or(c).alias(c) for c in FLAGS], *cost,
-            F.coalesce(F.sum("cost_embedded"), F.lit(0.0)).alias("cost_embedded"),
-            F.countDistinct("root_id").alias("root_sessions"),
-            F.countDistinct(F.when(F.col("session_kind") == "sub_agent", F.col("session_id"))).alias("sub_agent_sessions"),
-            F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
-        )
-        .withColumn("sessions", F.col("root_sessions") + F.col("sub_agent_sessions"))
-        .withColumnsRenamed({f"_{d}": f"key_{d}" for d in dims})
-    )
+    sums = [F.sum(c).alias(c) for c in (*SUMS, *costs, "cost_embedded", "sub_agent_sessions")]
+    more = [*[F.bool_or(c).alias(c) for c in FLAGS], F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")]
+    # by session, then by root, then by group: every step only adds up the one before, and distinct ones are counted as rows
+    sub = F.max((F.col("session_kind") == "sub_agent").cast("long")).alias("sub_agent_sessions")
+    one = keyed.withColumns({"first_ts": F.col("ts"), "last_ts": F.col("ts")}).groupBy(*keys, "session_id").agg(*sums[:-1], *more, sub)
+    by_root = one.join(r, F.col("session_id") == F.col("_s"), "left").groupBy(*keys, "root_id").agg(*sums, *more)
+    out = by_root.groupBy(*keys).agg(*sums, *more, F.count("root_id").alias("root_sessions"))
+    return out.withColumns({
+        **{c: F.coalesce(c, F.lit(0)) for c in costs}, "cost_embedded": F.coalesce("cost_embedded", F.lit(0.0)), "sub_agent_sessions": F.coalesce("sub_agent_sessions", F.lit(0).cast("long")),
+    }).withColumn("sessions", F.col("root_sessions") + F.col("sub_agent_sessions")).withColumnsRenamed({f"_{d}": f"key_{d}" for d in dims})
 
 
 def with_cost(agg: DataFrame) -> DataFrame:

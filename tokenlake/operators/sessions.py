@@ -12,27 +12,46 @@ def session_roots(usage: DataFrame, order: str = "ts") -> DataFrame:
     """(session_id, root_id): parent links followed to the top.
 
     The latest record of a session (by ``order``) gives its parent, which need
-    not be a session itself. Links double their length each round, on the
-    distinct sessions only; a session that leads into a cycle gets the first
-    session that its walk meets twice.
+    not be a session itself. Each round doubles the links of distinct sessions
+    twice, and only those that have not reached a top go on. Sessions that lead
+    into a cycle never do; they get the first session that their walk meets twice.
     """
     links = usage.groupBy("session_id").agg(F.max_by("parent_session_id", F.struct(order, "origin_key")).alias("up"))
-    one = F.array("session_id")
-    walks = links.select("session_id", F.when(F.col("up").isNull(), one).otherwise(F.array("session_id", "up")).alias("path"), (F.col("up").isNull() | (F.col("up") == F.col("session_id"))).alias("done"))
+    links = links.select("session_id", F.when(F.col("up") != F.col("session_id"), F.col("up")).alias("up"))
+    tops, jumps, rounds, left = [], stored(links, "links"), 0, None
+    start = jumps
     while True:
-        walks = stored(walks, "roots")
+        for _ in range(2):
+            far = jumps.select(F.col("session_id").alias("_s"), F.col("up").alias("_u"), F.lit(True).alias("_is"))
+            # a parent that is no session is a top; one without a parent is, too
+            jumps = jumps.join(far, F.col("up") == F.col("_s"), "left").select("session_id", F.coalesce("_u", "up").alias("up"))
+        jumps, rounds = stored(jumps, "jumps"), rounds + 2
+        above = start.where("up is not null").select(F.col("session_id").alias("_s"))
+        open_ = stored(jumps.where("up is not null").join(above, F.col("up") == F.col("_s"), "left_semi"), "open")
+        before, left = left, open_.count()
+        if not left or (before == left and 2**rounds > left):  # a walk without a cycle has ended by now
+            break
+    tops = jumps.join(open_.select("session_id"), "session_id", "left_anti").select("session_id", F.coalesce("up", "session_id").alias("root_id"))
+    if not left:
+        return tops
+    return tops.unionByName(_into_cycles(start.join(open_.select("session_id"), "session_id", "left_semi")))
+
+
+def _into_cycles(links: DataFrame) -> DataFrame:
+    """Of sessions that all lead into cycles: the first session that each walk meets twice."""
+    walks = links.select("session_id", F.array("session_id", "up").alias("path"), F.lit(False).alias("done"))
+    while True:
+        walks = stored(walks, "walks")
         if not walks.where(~F.col("done")).limit(1).count():
             return walks.select("session_id", F.element_at("path", -1).alias("root_id"))
-        there = walks.select(F.col("session_id").alias("_s"), F.col("path").alias("_p"), F.col("done").alias("_d"))
-        joined = walks.join(there, (F.element_at("path", -1) == F.col("_s")) & ~F.col("done"), "left")
-        longer = F.when(F.col("_s").isNull(), F.col("path")).otherwise(F.concat("path", F.slice("_p", 2, 1 << 30)))
-        joined = joined.withColumn("path", longer)
-        met = F.filter(F.transform("path", lambda x, i: F.when(F.array_contains(F.slice("path", F.lit(1), i), x), i + 1)), lambda i: i.isNotNull())
-        end = F.try_element_at(met, F.lit(1))  # where the walk first meets a session again
+        there = walks.select(F.col("session_id").alias("_s"), F.col("path").alias("_p"))
+        joined = walks.join(there, F.element_at("path", -1) == F.col("_s"))
+        joined = joined.withColumn("path", F.when(F.col("done"), F.col("path")).otherwise(F.concat("path", F.slice("_p", 2, 1 << 30))))
+        met = F.filter(F.transform("path", lambda x, i: F.when(F.array_position("path", x) <= i, i + 1)), lambda i: i.isNotNull())
+        end = F.try_element_at(met, F.lit(1))
         walks = joined.withColumn("_end", end).select(
-            "session_id", F.when(F.col("_end").isNull(), F.col("path")).otherwise(F.slice("path", F.lit(1), F.col("_end"))).alias("path"),
-            (F.col("done") | F.col("_s").isNull() | F.col("_end").isNotNull() | F.coalesce("_d", F.lit(False))).alias("done"),
-        )
+            "session_id", F.when(F.col("_end").isNull(), F.col("path")).otherwise(F.slice("path", F.lit(1), F.col("_end"))).alias("path"), (F.col("done") | F.col("_end").isNotNull()).alias("done")
+        )
 
 
 def prefer_exact(usage: DataFrame, source: str = "copilot", mode: str = "session.shutdown") -> DataFrame:

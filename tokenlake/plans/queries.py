@@ -276,7 +276,9 @@ _COST = {
 
 
 def _priced(spark, sf_dir) -> DataFrame:
-    u = pricing.price_usage(_canonical(spark, sf_dir), views.price_events(spark, sf_dir), views.families(spark), views.official(spark))
+    usage = views.usage(spark, sf_dir)
+    pairs = names.resolve_pairs(usage.select("provider", "model").distinct(), views.ALIASES)
+    u = pricing.price_usage(usage, views.price_events(spark, sf_dir), views.families(spark), views.official(spark), pairs=pairs)
     return pricing.policy(u, views.policies(spark))
 
 
