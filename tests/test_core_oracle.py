@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tokenlake.plans import decoder_queries, queries
+from tokenlake.plans import decoder_queries, file_queries, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,9 +27,9 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL | decoder_queries.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL | decoder_queries.ORACLE_SQL | file_queries.ORACLE_SQL))
 def test_query(spark, duck, name):
-    all_, sql = queries.QUERIES | decoder_queries.QUERIES, queries.ORACLE_SQL | decoder_queries.ORACLE_SQL
+    all_, sql = queries.QUERIES | decoder_queries.QUERIES | file_queries.QUERIES, queries.ORACLE_SQL | decoder_queries.ORACLE_SQL | file_queries.ORACLE_SQL
     mine, theirs = all_[name](spark, SF).toPandas(), duck.sql(sql[name]).df()
     assert sorted(mine.columns) == sorted(theirs.columns)
     assert _rows(mine) == _rows(theirs)

@@ -35,7 +35,7 @@ def text_value(v) -> Iterator[str]:
         for x in v:
             yield from text_value(x)
     elif isinstance(v, dict):
-        own = v.get("text") if isinstance(v.get("text"), str) else v.get("value")
+        own = v["text"] if "text" in v else v.get("value")  # a text that is no string hides the value
         if isinstance(own, str):
             yield own
 

@@ -70,27 +70,32 @@ def split_provider(name: Column, no_slash: str | None) -> tuple[Column, Column]:
     return provider, F.when(has, rest).otherwise(name)
 
 
-def infer_family(name: Column) -> Column:
-    """Model family of a canonical name."""
+# How canonical names say their family and series, first fit first; (prefix, pattern of the rest).
+FAMILIES = (
+    ("claude-", r"^claude-(haiku|sonnet|opus|fable)(?:-|$)"),
+    ("claude-", r"^claude-\d+(?:\.\d+)?-(haiku|sonnet|opus|fable)(?:-|$)"),
+    ("", r"^(gemini-[\d.]+-(?:flash(?:-lite)?|pro))(?:-|$)"),
+    ("", r"^(gpt-\d+(?:\.\d+)?)(?:-|$)"),
+    ("", r"^openai-(o\d+)(?:-|$)"),
+)
+SERIES = (
+    ("claude-", r"^claude-(?:haiku|sonnet|opus|fable)-(\d+(?:\.\d+)?)"),
+    ("claude-", r"^claude-(\d+(?:\.\d+)?)-(?:haiku|sonnet|opus|fable)(?:-|$)"),
+    ("", r"^(gpt-\d+(?:\.\d+)?)"),
+    ("", r"^(gemini-\d+(?:\.\d+)?)"),
+    ("", r"^openai-(o\d+)"),
+)
+ROLES = "-(?:mini|nano|pro|flash|lite|turbo|codex|chat|reasoner|highspeed)$"
+
+
+def _first_fit(name: Column, rules: tuple, otherwise: Column) -> Column:
+    return F.coalesce(*[F.concat(F.lit(prefix), F.nullif(F.regexp_extract(name, pattern, 1), F.lit(""))) for prefix, pattern in rules], otherwise)
 
-    def group(pattern: str, k: int = 1) -> Column:
-        return F.nullif(F.regexp_extract(name, pattern, k), F.lit(""))
 
-    role = F.coalesce(group("^claude-(haiku|sonnet|opus|fable)(?:-|$)"), group(r"^claude-\d+(?:\.\d+)?-(haiku|sonnet|opus|fable)(?:-|$)"))
-    return F.coalesce(
-        F.concat(F.lit("claude-"), role),
-        group(r"^(gemini-[\d.]+-(?:flash(?:-lite)?|pro))(?:-|$)"),
-        group(r"^(gpt-\d+(?:\.\d+)?)(?:-|$)"),
-        group(r"^openai-(o\d+)(?:-|$)"),
-        F.regexp_replace(name, "-(?:mini|nano|pro|flash|lite|turbo|codex|chat|reasoner|highspeed)$", ""),
-    )
+def infer_family(name: Column) -> Column:
+    """Model family of a canonical name."""
+    return _first_fit(name, FAMILIES, F.regexp_replace(name, ROLES, ""))
 
 
 def infer_series(name: Column) -> Column:
-    def group(pattern: str) -> Column:
-        return F.nullif(F.regexp_extract(name, pattern, 1), F.lit(""))
-
-    version = F.coalesce(group(r"^claude-(?:haiku|sonnet|opus|fable)-(\d+(?:\.\d+)?)"), group(r"^claude-(\d+(?:\.\d+)?)-(?:haiku|sonnet|opus|fable)"))
-    return F.coalesce(
-        F.concat(F.lit("claude-"), version), group(r"^(gpt-\d+(?:\.\d+)?)"), group(r"^(gemini-\d+(?:\.\d+)?)"), group(r"^openai-(o\d+)"), infer_family(name)
-    )
+    return _first_fit(name, SERIES, infer_family(name))

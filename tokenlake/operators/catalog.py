@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions.storage import stored
 from .names import alias_map, normal
 
 RULES = ("provider_prefix", "slash_prefix", "date_suffix", "mode_suffix", "variant_suffix", "version_separator")
@@ -126,3 +131,111 @@ def search_routes(families: DataFrame, text: str = "", provider: str | None = No
             any_ = any_ | h
         rows = rows.where(any_)
     return rows.orderBy("provider", "model").offset(page * size).limit(size)
+
+
+def _merged(base: dict, over: dict) -> dict:
+    return base | {k: _merged(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in over.items()}
+
+
+def _without(doc: dict, path: list[str]) -> dict:
+    """doc without the field at a path; what lacks it stays."""
+    head, *rest = path
+    if head not in doc or (rest and not isinstance(doc[head], dict)):
+        return doc
+    return {k: (_without(v, rest) if k == head else v) for k, v in doc.items() if rest or k != head}
+
+
+def _parents(doc: dict) -> list[str]:
+    """Paths that a document builds on, the weaker first."""
+    older = doc.get("extends")
+    older = older.get("from") if isinstance(older, dict) else older
+    out = [f"models/{doc['base_model']}.toml"] if doc.get("base_model") else []
+    if older:
+        provider, _, model = older.partition("/")
+        out.append(f"providers/{provider}/models/{model}.toml")
+    return out
+
+
+def resolved_document(path: str, docs: dict[str, str | None], links: dict[str, str | None], above: tuple[str, ...] = ()) -> dict | None:
+    """A document over those it builds on, without omitted fields; None where it, or what it links to, does not exist."""
+    if path in above:
+        raise ValueError("inheritance cycle: " + " -> ".join([*above, path]))
+    if links.get(path):
+        return resolved_document(links[path], docs, links, (*above, path))
+    if docs.get(path) is None:
+        return None
+    own, value = json.loads(docs[path]), {}
+    for p in _parents(own):
+        value = _merged(value, resolved_document(p, docs, links, (*above, path)) or {})
+    value = _merged(value, {k: v for k, v in own.items() if k not in ("base_model", "base_model_omit", "extends")})
+    older = own.get("extends")
+    for omit in [*own.get("base_model_omit", ()), *(older.get("omit", ()) if isinstance(older, dict) else ())]:
+        value = _without(value, omit.split("."))
+    return value
+
+
+LAST_COMMIT = 2**62
+
+
+def resolve_docs(versions: DataFrame, of: Column | None = None) -> DataFrame:
+    """(path, since, until, doc): each route's document as resolved over spans of commits [since, until).
+
+    versions: (commit_seq, path, doc JSON, target), a row for each change of a
+    path; a link has its target's path, a removed path neither doc nor target.
+    of: which paths to resolve (those of routes). A round joins all open spans
+    with the versions of the next document that they need; a span that meets
+    several versions is parted. A missing base is empty; a cycle is an error.
+    """
+    w = Window.partitionBy("path").orderBy("commit_seq")
+    spans = versions.select("path", "doc", "target", F.col("commit_seq").cast("long").alias("since"), F.coalesce(F.lead("commit_seq").over(w), F.lit(LAST_COMMIT)).cast("long").alias("until"))
+    # before its first version a path does not exist
+    none = spans.groupBy("path").agg(F.min("since").alias("until")).select("path", F.lit(None).cast("string").alias("doc"), F.lit(None).cast("string").alias("target"), F.lit(-1).cast("long").alias("since"), "until")
+    spans = stored(spans.unionByName(none), "spans")
+
+    def needed(path: pd.Series, docs: pd.Series, links: pd.Series) -> pd.Series:
+        out = []
+        for d, t in zip(docs, links):
+            d, t = dict(d), dict(t)
+            up = [x for v in d.values() if v is not None for x in _parents(json.loads(v))] + [x for x in t.values() if x is not None]
+            out.append(next((x for x in up if x not in d), None))
+        return pd.Series(out, dtype=object)
+
+    def merge(path: pd.Series, docs: pd.Series, links: pd.Series) -> pd.Series:
+        done = [resolved_document(p, dict(d), dict(t)) for p, d, t in zip(path, docs, links)]
+        return pd.Series([None if x is None else json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in done], dtype=object)
+
+    one = lambda c: F.create_map(F.col("path"), F.col(c))
+    mine = spans.where(of if of is not None else route_identity(F.col("path"))[1].isNotNull()).where("doc is not null or target is not null")
+    need = F.pandas_udf(needed, "string")
+    rows = mine.select("path", "since", "until", one("doc").alias("docs"), one("target").alias("links")).withColumn("need", need("path", "docs", "links"))
+    finished = None
+    while True:
+        rows = stored(rows, "resolving")
+        done = rows.where("need is null")
+        finished = done if finished is None else finished.unionByName(done)
+        rows = rows.where("need is not null")
+        if not rows.limit(1).count():
+            break
+        v = spans.select(F.col("path").alias("_p"), "doc", "target", F.col("since").alias("_since"), F.col("until").alias("_until"))
+        joined = rows.join(v, (F.col("need") == F.col("_p")) & (F.col("since") < F.col("_until")) & (F.col("_since") < F.col("until")), "left")
+        add = lambda m, c: F.map_concat(m, F.create_map(F.col("need"), F.col(c)))
+        rows = joined.select("path", F.greatest("since", "_since").alias("since"), F.least("until", "_until").alias("until"), add("docs", "doc").alias("docs"), add("links", "target").alias("links"))
+        rows = rows.withColumn("need", need("path", "docs", "links"))
+    return finished.select("path", "since", "until", F.pandas_udf(merge, "string")("path", "docs", "links").alias("doc"))
+
+
+def valid_release_date(text: Column) -> Column:
+    """YYYY-MM or YYYY-MM-DD that is a date, else null."""
+    day = F.when(F.regexp_like(text, F.lit(r"^\d{4}-\d{2}$")), F.concat(text, F.lit("-01"))).when(F.regexp_like(text, F.lit(r"^\d{4}-\d{2}-\d{2}$")), text)
+    return F.when(F.try_to_timestamp(day, F.lit("yyyy-MM-dd")).isNotNull(), text)
+
+
+def families(versions: DataFrame, aliases: dict[str, str], scoped: dict[tuple[str, str], str], rolling: set[str] = frozenset()) -> DataFrame:
+    """(provider, model, canonical_name, family, release_date) of every route that ever was, with its last date."""
+    from ..functions.scalars import infer_family
+
+    provider, model = route_identity(F.col("path"))
+    states = resolve_docs(versions).where("doc is not null").select(provider.alias("provider"), model.alias("model"), "since", valid_release_date(F.get_json_object("doc", "$.release_date")).alias("release_date"))
+    last = states.groupBy("provider", "model").agg(F.max_by(F.struct("release_date"), "since").alias("x")).select("provider", "model", "x.release_date")
+    out = resolve_catalog(last, aliases, scoped, rolling)
+    return out.select("provider", "model", "canonical_name", F.when(F.col("canonical_name").isNotNull(), infer_family(F.col("canonical_name"))).alias("family"), "release_date")

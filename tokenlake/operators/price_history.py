@@ -101,12 +101,11 @@ def markers(series: DataFrame) -> DataFrame:
 
 
 def aligned(series: DataFrame, as_of: int) -> DataFrame:
-    """All routes of a field carried forward onto the union of change times, a tick before each removal, and the end."""
-    times = series.select("plot_ts").union(series.where(F.col("new").isNull()).select(F.col("plot_ts") - 1)).distinct()
-    times = times.where(F.col("plot_ts") <= as_of).union(series.sparkSession.range(1).select(F.lit(as_of).cast("long"))).distinct()
-    routes = series.select(*ROUTE, "field").distinct()
-    # times and routes are those of one chart
-    grid = routes.join(F.broadcast(times.groupBy().agg(F.collect_set("plot_ts").alias("at")).select("at", F.lit(1).alias("_one"))), F.lit(1) == F.col("_one")).select(*ROUTE, "field", F.explode("at").alias("plot_ts"))
+    """All routes of a field carried forward onto the union of the field's change times, a tick before each removal, and the end."""
+    times = series.select("field", "plot_ts").union(series.where(F.col("new").isNull()).select("field", F.col("plot_ts") - 1)).where(F.col("plot_ts") <= as_of)
+    times = times.union(series.select("field", F.lit(as_of).cast("long"))).distinct()
+    # the result is a chart: each of a field's routes at each of its times
+    grid = series.select(*ROUTE, "field").distinct().join(times, "field").select(*ROUTE, "field", "plot_ts")
     both = grid.withColumn("_x", F.lit(None).cast(f"struct<v:{series.schema['new'].dataType.simpleString()}>")).unionByName(series.select(*ROUTE, "field", "plot_ts", F.struct(F.col("new").alias("v")).alias("_x")))
     w = Window.partitionBy(*ROUTE, "field").orderBy("plot_ts").rangeBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("_l", F.last("_x", ignorenulls=True).over(w)).where(F.col("_x").isNull())

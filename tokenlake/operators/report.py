@@ -45,6 +45,23 @@ def filter_time(usage: DataFrame, since: str | None = None, until: str | None =
     return usage.where(F.col("ts") <= F.lit(until).cast("timestamp")) if until else usage
 
 
+def period_start(period: str, now: Column, tz: str = "UTC") -> Column:
+    """When a period that ends now begins: today, week (from Monday), month, or a number with s, m, h, d, w, mo (30 days) or y (365)."""
+    local = F.from_utc_timestamp(now, tz)
+    if period in ("today", "week", "month"):
+        return F.to_utc_timestamp(F.date_trunc({"today": "day"}.get(period, period), local), tz)
+    unit = period.lstrip("0123456789")
+    seconds = int(period[: len(period) - len(unit)]) * {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 7 * 86400, "mo": 30 * 86400, "y": 365 * 86400}[unit]
+    return now - F.make_dt_interval(secs=F.lit(seconds))
+
+
+def filter_period(usage: DataFrame, period: str, now: str, tz: str = "UTC") -> DataFrame:
+    """Rows of a period up to now; here 1m is a month of 30 days."""
+    n = period.removesuffix("m")
+    start = period_start(f"{n}mo" if n != period and n.isdigit() else period, F.lit(now).cast("timestamp"), tz)
+    return usage.where((F.col("ts") >= start) & (F.col("ts") <= F.lit(now).cast("timestamp")))
+
+
 def filter_glob(usage: DataFrame, column: str, glob: str) -> DataFrame:
     return usage.where(F.coalesce(F.regexp_like(F.col(column), F.lit(glob_regex(glob))), F.lit(False)))
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.json_text import rich_text, text_value
 from .decoders import completed
@@ -101,8 +103,15 @@ def _at(v, *path):
     return v
 
 
-def _chars(texts) -> int:
-    return sum(len(t) for t in texts)
+def _size(texts) -> np.ndarray:
+    """Characters and bytes."""
+    texts = list(texts)
+    return np.array([sum(map(len, texts)), sum(len(t.encode()) for t in texts)])
+
+
+def result_texts(result):
+    for x in _at(result, "content") if isinstance(_at(result, "content"), list) else ():
+        yield from rich_text(x.get("value", x) if isinstance(x, dict) else x)
 
 
 def response_texts(items):
@@ -118,33 +127,34 @@ def response_texts(items):
 
 
 def measures(request: dict) -> tuple:
-    """(input chars, output chars, reasoning, tool rounds, compaction) of a request."""
+    """(input chars, input bytes, output chars, output bytes, reasoning, tool rounds, compaction) of a request."""
     meta = _at(request, "result", "metadata") or {}
-    user = _chars(text_value(_at(meta, "renderedUserMessage")))
-    size = user + _chars(text_value(_at(meta, "renderedGlobalContext")))
-    if not user:
+    user = _size(text_value(_at(meta, "renderedUserMessage")))
+    size = user + _size(text_value(_at(meta, "renderedGlobalContext")))
+    if not user[0]:
         message = _at(request, "message")
-        size += len(_at(message, "text")) if isinstance(_at(message, "text"), str) else _chars(t for p in _at(message, "parts") or () for t in [_at(p, "text")] if isinstance(t, str))
+        own = [_at(message, "text")] if isinstance(_at(message, "text"), str) else [_at(p, "text") for p in _at(message, "parts") or ()]
+        size = size + _size(t for t in own if isinstance(t, str))
     rounds = _at(meta, "toolCallRounds") if isinstance(_at(meta, "toolCallRounds"), list) else []
     results = _at(meta, "toolCallResults") or {}
-    out, thinking = _chars(response_texts(_at(request, "response"))), 0
+    out, thinking = _size(response_texts(_at(request, "response"))), 0
     for r in rounds:
         calls = _at(r, "toolCalls") if isinstance(_at(r, "toolCalls"), list) else []
-        got = sum(_chars(rich_text(_at(_at(results, str(_at(c, "id"))), "content"))) for c in calls)
-        size += got or _chars(text_value(_at(r, "response")))
-        out += _chars(a for c in calls for a in [_at(c, "arguments")] if isinstance(a, str))
+        got = sum((_size(result_texts(_at(results, str(_at(c, "id"))))) for c in calls), np.zeros(2, int))
+        size = size + (got if got[0] else _size(text_value(_at(r, "response"))))
+        out = out + _size(a for c in calls for a in [_at(c, "arguments")] if isinstance(a, str))
         tokens = _at(r, "thinking", "tokens")
         thinking += tokens if isinstance(tokens, int) else 0
     compact = "compact" in (_at(request, "command"), _at(request, "slashCommand", "command"), _at(request, "slashCommand", "name"))
-    return size, out, thinking, len(rounds), compact
+    return *size.tolist(), *out.tolist(), thinking, len(rounds), compact
 
 
 def decode_chat(lines: DataFrame) -> DataFrame:
     """One record for each request; tokens are estimates of a quarter of the characters."""
-    kind = "chars_in long, chars_out long, reasoning long, tool_rounds long, compaction boolean"
+    kind = "chars_in long, bytes_in long, chars_out long, bytes_out long, reasoning long, tool_rounds long, compaction boolean"
 
     def run(requests: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measures(json.loads(r)) for r in requests], columns=["chars_in", "chars_out", "reasoning", "tool_rounds", "compaction"])
+        return pd.DataFrame([measures(json.loads(r)) for r in requests], columns=[x.split()[0] for x in kind.split(", ")])
 
     rows = replay_state(lines).withColumn("m", F.pandas_udf(run, kind)("request"))
     r = lambda p: F.get_json_object("request", p)
@@ -157,6 +167,51 @@ def decode_chat(lines: DataFrame) -> DataFrame:
         F.when(F.contains(model, F.lit("/")) & ~model.startswith("copilot/"), F.substring_index(model, "/", 1)).otherwise("github-copilot").alias("provider"), F.substring_index(model, "/", -1).alias("model"),
         F.timestamp_millis(F.coalesce(r("$.timestamp").try_cast("long"), s("$.creationDate").try_cast("long"), F.lit(0))).alias("ts"),
         F.ceil(F.col("m.chars_in") / 4).cast("long").alias("prompt"), F.coalesce(given, F.ceil(F.col("m.chars_out") / 4).cast("long")).alias("completion"), "m.reasoning",
-        F.lit(True).alias("input_estimated"), given.isNull().alias("output_estimated"), F.when(F.col("m.compaction"), "compaction").alias("mode"), F.col("m.compaction").alias("is_compaction"),
+        F.lit(True).alias("input_estimated"), given.isNull().alias("output_estimated"), F.when(F.col("m.compaction"), "compaction").otherwise(r("$.modeInfo.modeId")).alias("mode"), F.col("m.bytes_in").alias("input_bytes"), F.col("m.bytes_out").alias("output_bytes"), F.col("m.compaction").alias("is_compaction"),
         F.lit(1).alias("rounds"), (F.col("m.tool_rounds") + 1).alias("calls"), F.concat(F.lit("event:"), F.coalesce(r("$.requestId"), F.col("n").cast("string")), F.lit(":slot:0")).alias("origin_key"), "source_file",
     ))
+
+
+def _joined(texts) -> str:
+    return "\n".join(t for t in texts if t)
+
+
+def spoken(request: dict) -> list[tuple]:
+    """(role, text, display, call_id) of a request: the prompt, answers and tool calls with results, each call once."""
+    results = _at(request, "result", "metadata", "toolCallResults") or {}
+    result = lambda i: _joined(result_texts(results[i])) if i in results else None
+    own = lambda v, *path: v if isinstance(v := _at(v, *path), str) else ""
+    prompt = _joined(text_value(_at(request, "result", "metadata", "renderedUserMessage"))) or own(request, "message", "text") or _joined(own(p, "text") for p in _at(request, "message", "parts") or ())
+    out, shown = [("user", prompt, None, None)] if prompt else [], set()
+    for item in request.get("response") if isinstance(request.get("response"), list) else ():
+        call = own(item, "toolCallId")
+        if _at(item, "kind") != "toolInvocationSerialized":
+            text = _joined(response_texts([item]))
+            out += [("assistant", text, None, call or None)] if text else []
+        elif call:
+            display = _joined([*text_value(_at(item, "invocationMessage")), *text_value(_at(item, "pastTenseMessage"))]) or None
+            name = own(item, "toolId") or own(item, "source", "label") or "tool"
+            args = own(item, "toolSpecificData", "prompt") or own(item, "toolSpecificData", "description")
+            out.append(("tool_call", f"{name}: {args}" if args else name, display, call))
+            out += [("tool_call_result", result(call), display, call)] if result(call) else []
+            shown.add(call)
+    for r in _at(request, "result", "metadata", "toolCallRounds") or ():
+        for c in _at(r, "toolCalls") or ():
+            call, args = own(c, "id"), own(c, "arguments")
+            if call and call not in shown:
+                out += [("tool_call", f"{own(c, 'name') or 'tool'}: {args}", None, call)] if args else []
+                text = own(r, "response") if result(call) is None else result(call)
+                out += [("tool_call_result", text, own(r, "response") or None, call)] if text else []
+    return out
+
+
+def transcript_chat(lines: DataFrame) -> DataFrame:
+    """(source_file, n, part, role, text, display, call_id): requests by time, each as its prompt, answers and tool calls."""
+
+    def run(requests: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("role", "text", "display", "call_id"), x)) for x in spoken(json.loads(r))] for r in requests])
+
+    said = F.pandas_udf(run, "array<struct<role:string,text:string,display:string,call_id:string>>")
+    time = F.coalesce(F.get_json_object("request", "$.timestamp").try_cast("long"), F.lit(0))
+    rows = replay_state(lines).withColumn("n", F.row_number().over(Window.partitionBy("source_file").orderBy(time, "n")) - 1)
+    return rows.select("source_file", "n", F.posexplode(said("request")).alias("part", "x")).select("source_file", "n", "part", "x.*")

@@ -207,7 +207,9 @@ def decode_messages(message: DataFrame, session: DataFrame, project: DataFrame)
     """A message table (id, session_id, time_created ms, data JSON) joined to sessions and projects."""
     d = lambda path, kind=None: F.get_json_object("data", path).try_cast(kind or "string")
     rows = message.where(F.contains("data", F.lit('"role":"assistant"'))).where(d("$.tokens").isNotNull())
-    first = F.row_number().over(Window.partitionBy(d("$.parentID")).orderBy("time_created", "id")) == 1
+    # messages without a parent are rounds of their own; dealt by id, they are no hot key of the window
+    parent = F.coalesce(F.concat(F.lit("p"), d("$.parentID")), F.concat(F.lit("m"), "session_id", F.lit("/"), "id"))
+    first = F.row_number().over(Window.partitionBy(parent).orderBy("time_created", "id")) == 1
     rows = rows.withColumn("rounds", F.when(d("$.parentID").isNull() | first, 1).otherwise(0))
     s = session.select(F.col("id").alias("_sid"), "project_id", "directory", F.col("title").alias("session_title"))
     joined = rows.join(s, F.col("session_id") == F.col("_sid"), "left").join(project.select(F.col("id").alias("_pid"), F.col("name").alias("project_name")), F.col("project_id") == F.col("_pid"), "left")
@@ -218,3 +220,57 @@ def decode_messages(message: DataFrame, session: DataFrame, project: DataFrame)
         n("$.tokens.reasoning").alias("reasoning"), n("$.tokens.cache.read").alias("cache_read"), n("$.tokens.cache.write").alias("cache_write"), F.when(d("$.cost", "double") > 0, d("$.cost", "double")).alias("cost_embedded"),
         F.lit(True).alias("input_bytes_estimated"), F.lit(True).alias("output_bytes_estimated"), "rounds", F.concat(F.lit("event:"), "id", F.lit(":slot:0")).alias("origin_key"), F.lit(None).cast("string").alias("source_file"),
     ))
+
+
+# The prompt that the search plugin sends with its results.
+SUMMARY_HEAD = """You are writing the final web search summary for a coding assistant.
+Write a concise, factual summary using only the provided search results.
+Requirements:
+- Keep it readable and skimmable.
+- Include key findings and caveats.
+- Do not invent sources or claims.
+- If evidence is weak or conflicting, say so explicitly.
+- End with a short "Sources" section listing the most relevant URLs.
+
+<search_results>
+"""
+SUMMARY_TAIL = "\n\n</search_results>"
+_SUMMARY = (
+    "curatedQueries array<struct<query:string,provider:string,answer:string,sources:array<struct<title:string,url:string>>,results:array<struct<title:string,url:string>>,error:string>>, "
+    "summary struct<text:string,workflow:string,model:string,tokenEstimate:long,fallbackUsed:boolean>"
+)
+
+
+def _query_text(q: Column) -> Column:
+    """One search result as the prompt words it."""
+    text = lambda c, other="": F.coalesce(F.nullif(c, F.lit("")), F.lit(other))
+    links = F.when(F.size(q["results"]) > 0, q["results"]).otherwise(F.coalesce(q["sources"], F.array().cast("array<struct<title:string,url:string>>")))
+    listed = F.transform(links, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), text(x["title"]), F.lit(" — "), text(x["url"])))
+    sources = F.when(F.size(links) > 0, F.concat(F.lit("Sources:\n"), F.array_join(listed, "\n"))).otherwise("Sources: none")
+    found = F.concat_ws(
+        "\n", F.concat(F.lit("Query: "), text(q["query"])), F.concat(F.lit("Provider: "), F.coalesce(q["provider"], F.lit("unknown"))),
+        F.concat(F.lit("Answer: "), text(q["answer"], "(no answer text returned)")), sources,
+    )
+    return F.when(q["error"].isNotNull(), F.concat(F.lit("Query: "), text(q["query"]), F.lit("\nStatus: Error\nError: "), q["error"])).otherwise(found)
+
+
+def decode_pi_plugin(lines: DataFrame) -> DataFrame:
+    """Estimated records of search summaries in tool results; the prompt is worded anew from the curated queries."""
+    rows = lines.where(field("$.type") == "message").withColumn("_d", F.from_json(field("$.message.details"), _SUMMARY))
+    done = F.col("_d.summary")
+    rows = rows.where((done["workflow"] == "summary-review") & ~F.coalesce(done["fallbackUsed"], F.lit(False)) & done["model"].isNotNull())
+    each = F.transform(F.coalesce("_d.curatedQueries", F.array().cast(rows.select("_d.curatedQueries").schema[0].dataType)), lambda q, i: F.concat(F.lit("\n[Result "), (i + 1).cast("string"), F.lit("]\n"), _query_text(q)))
+    prompt = F.concat(F.lit(SUMMARY_HEAD), F.array_join(each, "\n"), F.when(F.size(each) > 0, SUMMARY_TAIL).otherwise(SUMMARY_TAIL[1:]))
+    model = done["model"]
+    head, rest = F.when(F.contains(model, F.lit("/")), F.substring_index(model, "/", 1)), F.regexp_replace(model, "^[^/]*/", "")
+    rows = rows.withColumns({"_id": F.nullif(F.coalesce(field("$.id"), field("$.message.responseId")), F.lit("")), "_prompt": prompt})
+    session = F.coalesce(_file_first(F.when(field("$.type") == "session", field("$.id"))), _stem())
+    of = lines.select("source_file", session.alias("session_id"), _file_first(F.when(field("$.type") == "session", field("$.cwd"))).alias("project_cwd")).distinct()
+    rows = rows.join(of.withColumnRenamed("source_file", "_f"), F.col("source_file") == F.col("_f"), "left").drop("_f")
+    return completed(with_origin_key(rows, "_id", 1).select(
+        F.lit("pi-agent").alias("source"), "session_id", "project_cwd", head.alias("provider"), rest.alias("model"), F.coalesce(field("$.timestamp", "timestamp"), F.lit(0).cast("timestamp")).alias("ts"),
+        F.ceil(F.char_length("_prompt") / 4).cast("long").alias("prompt"), F.coalesce(done["tokenEstimate"], F.lit(0).cast("long")).alias("completion"),
+        F.octet_length("_prompt").cast("long").alias("input_bytes"), F.octet_length(F.trim(F.coalesce(done["text"], F.lit("")))).cast("long").alias("output_bytes"),
+        *[F.lit(True).alias(c) for c in ("input_estimated", "output_estimated", "input_bytes_estimated", "output_bytes_estimated")],
+        done["workflow"].alias("mode"), field("$.parentId").alias("agent"), F.lit(0).alias("rounds"), F.lit(1).alias("calls"), "origin_key", "source_file",
+    ))

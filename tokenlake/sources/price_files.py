@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.report import project_unit
+
 FIELDS = ("input", "output", "reasoning", "cache_read", "cache_write", "input_audio", "output_audio")
 CHANGES = ("op", "ts", "commit_sha", "sequence", "provider", "model", *FIELDS)
 
@@ -43,12 +45,20 @@ def write_snapshots(daily: DataFrame, path: str) -> None:
     daily.repartition("date").sortWithinPartitions("provider", "model").write.partitionBy("date").csv(path, header=True, nullValue="")
 
 
+def write_latest(latest: DataFrame, path: str) -> None:
+    """Active routes in order, in one file: as many rows as there are routes."""
+    latest.orderBy("provider", "model").coalesce(1).write.csv(path, header=True, nullValue="", emptyValue="")
+
+
 def write_families(families: DataFrame, path: str) -> None:
     families.orderBy("provider", "model").write.csv(path, header=True, nullValue="")
 
 
-def report_json(agg: DataFrame) -> DataFrame:
-    """A JSON line for each report row: keys as a struct, then the measures."""
+def report_json(agg: DataFrame, unit: str = "tokens", split_input: bool = False) -> DataFrame:
+    """A JSON line for each report row: keys as a struct, then the measures in a unit; an empty ``cost_per`` is left out."""
+    agg = project_unit(agg, unit, split_input)
+    if "cost_per" in agg.columns:
+        agg = agg.withColumn("cost_per", F.when(F.size("cost_per") > 0, F.col("cost_per")))
     keys = [c for c in agg.columns if c.startswith("key_")]
     struct = F.struct(F.struct(*[F.col(k).alias(k[4:]) for k in keys]).alias("keys"), *[c for c in agg.columns if c not in keys])
     return agg.select(F.to_json(struct, {"ignoreNullFields": "true"}).alias("value"))

@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 
 def workspaces(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(workspace_dir, project_cwd, project_name) of workspace.json files."""
-    rows = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.get_json_object("value", "$.folder").alias("folder"))
+    return folders(spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def folders(files: DataFrame) -> DataFrame:
+    """The same of files (path, value)."""
+    rows = files.select("path", F.get_json_object("value", "$.folder").alias("folder"))
     plain = F.regexp_replace(F.regexp_replace("folder", "^file://", ""), r"\+", "%2B")  # '+' is itself in a path
     cwd = F.coalesce(F.try_url_decode(plain), F.regexp_replace("folder", "^file://", ""))
     out = rows.where("folder is not null").select(F.regexp_replace("path", "/[^/]*$", "").alias("workspace_dir"), cwd.alias("project_cwd"))

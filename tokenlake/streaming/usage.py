@@ -20,16 +20,25 @@ def file_lines(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("source_file"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
 
 
+BUCKETS = 64
+
+
 def ingest(lines: DataFrame, decode: Callable[[DataFrame], DataFrame], table: str, checkpoint: str) -> StreamingQuery:
-    """Decode each batch of lines and reconcile it with the usage table."""
+    """Decode each batch of lines and reconcile it with the usage table, which is parted by buckets of files: a batch reads and rewrites its files' only."""
+    bucket = F.pmod(F.xxhash64("source_file"), F.lit(BUCKETS)).cast("int")
 
     def batch(rows: DataFrame, _: int) -> None:
         spark = rows.sparkSession
         made = stored(with_offsets(rows), "lines")
         new = decode(made)
-        old = spark.table(table) if spark.catalog.tableExists(table) else new.limit(0)
-        after = stored(snapshot(reconcile(old, new, file_status(made))).select(*new.columns), "usage")
-        after.write.mode("overwrite").saveAsTable(table)
+        first = not spark.catalog.tableExists(table)
+        mine = [r["b"] for r in made.select(bucket.alias("b")).distinct().collect()]  # BUCKETS at most
+        old = new.limit(0) if first else spark.table(table).where(F.col("file_bucket").isin(mine)).select(*new.columns)
+        after = stored(snapshot(reconcile(old, new, file_status(made))).select(*new.columns, bucket.alias("file_bucket")), "usage")
+        if first:  # the option stays with the table
+            after.write.partitionBy("file_bucket").option("partitionOverwriteMode", "dynamic").saveAsTable(table)
+        else:
+            after.write.insertInto(table, overwrite=True)
 
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
