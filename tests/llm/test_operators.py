@@ -116,7 +116,7 @@ def test_url_filters(spark):
         (7, None), (8, "no scheme"), (9, ""), (10, "http://casino-win.example.org/a"), (11, "http://casinos.org"), (12, "http://com/en"), (13, "http://com:80/en/"), (1, "http://com/en/x"),
     ]
     df = spark.createDataFrame(urls, "page_id int, url string")
-    got = {(r["page_id"]): (r["host"], r["path"], r["rule"], r["action"]) for r in url_filter.filter_urls(df, "url", queries.URL_RULES + url_filter.DEFAULT_RULES).collect()}
+    got = {(r["row"]["page_id"]): (r["host"], r["path"], r["rule"], r["action"]) for r in url_filter.filter_urls(df, "url", queries.URL_RULES + url_filter.DEFAULT_RULES).collect()}
     assert got[1] == ("com", "/en/x", "com/en/", "block") and got[2] == ("a.example.com", "/en/7", "example.com/en/7", "allow")
     assert got[3][2:] == ("net/de/", "allow") and got[4][2:] == ("example.net/de/8", "block") and got[5][2:] == ("org/es/", "block")
     assert got[6][2:] == got[11][2:] == got[12][2:] == got[13][2:] == (None, "allow") and got[7] == got[8] == got[9] == ("", "", None, "allow")
@@ -293,7 +293,7 @@ def test_pii(spark, docs, rows, empty):
         (7, None), (8, ""), (9, "nothing at all"), (1, "a.b7@mail1.example.com"), (10, "Господин Иван Петров"), (None, "a.b7@mail1.example.com " + "x" * 100_000),
     ]
     df = spark.createDataFrame(data, "doc_id long, text string")
-    out = pii.replace(df, Scratch(spark, "t")).select("row.doc_id", "text", "n_entities").collect()
+    out = pii.replace(df, Scratch(spark, "t"), "k").select("row.doc_id", "text", "n_entities").collect()
     by = {(r["doc_id"], len(r["text"] or "")): r for r in out}
     text = {r["doc_id"]: r["text"] for r in out if r["doc_id"] != 1}
     first = max((r["text"] for r in out if r["doc_id"] == 1), key=len)
@@ -310,9 +310,9 @@ def test_pii(spark, docs, rows, empty):
     assert text[6].startswith("Mr. ") and text[6].split(" and ")[0].split()[-1] == text[6].split()[-1] and "Smith" not in text[6] and "Mary" not in text[6]
     assert text[7] is None and text[8] == "" and text[9] == "nothing at all" and not any(c.isascii() and c.isalpha() for c in text[10])
     assert text[None].startswith(low) and len(by) >= 10
-    plain = {r["doc_id"]: r["text"] for r in pii.replace(docs, Scratch(spark, "t")).select("row.doc_id", "text", "row.row").collect()}
+    plain = {r["doc_id"]: r["text"] for r in pii.replace(docs, Scratch(spark, "t"), "k").select("row.doc_id", "text", "row.row").collect()}
     assert plain == {d: t for d, t in rows}
-    assert pii.replace(empty, Scratch(spark, "t")).count() == 0
+    assert pii.replace(empty, Scratch(spark, "t"), "k").count() == 0
 
 
 def test_pii_collisions(spark):
@@ -340,7 +340,7 @@ def test_pii_leaves_no_part(spark):
         "2001:db8::1", "fe80::1", "::1", "2001:DB8::", "::ffff:192.0.2.128", "1:2:3:4:5:6:7::", "2001:db8:0:0:0:0:0:1", "fe80::abcd:0:0:1",
     ]
     df = spark.createDataFrame([(i, f"see {v} here") for i, v in enumerate(values)], "doc_id long, text string")
-    out = {r["doc_id"]: r for r in pii.replace(df, Scratch(spark, "t")).select("row.doc_id", "text", "n_entities").collect()}
+    out = {r["doc_id"]: r for r in pii.replace(df, Scratch(spark, "t"), "k").select("row.doc_id", "text", "n_entities").collect()}
     for i, v in enumerate(values):
         new = out[i]["text"].removeprefix("see ").removesuffix(" here")
         assert out[i]["n_entities"] == 1 and new != v, v[:40]
@@ -351,7 +351,7 @@ def test_pii_leaves_no_part(spark):
     assert all("::" in x for k, x in enumerate(new) if k != 6) and new[3].upper() == new[3]
     kept = ["std::vector", "a :: Int", "at 12:30", "std::add(x)", "x ::= y"]
     df = spark.createDataFrame(list(enumerate(kept)), "doc_id long, text string")
-    assert {r["doc_id"]: r["text"] for r in pii.replace(df, Scratch(spark, "t")).select("row.doc_id", "text").collect()} == dict(enumerate(kept))
+    assert {r["doc_id"]: r["text"] for r in pii.replace(df, Scratch(spark, "t"), "k").select("row.doc_id", "text").collect()} == dict(enumerate(kept))
 
 
 # 10 -----------------------------------------------------------------------

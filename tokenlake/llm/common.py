@@ -36,15 +36,21 @@ class Scratch:
     """Tables written under the cluster's shared checkpoint folder, to cut lineage.
 
     A lost executor costs a reread of these files, not a recomputation. Where
-    ``spark.checkpoint.dir`` is unset (tests on one machine), a folder under
-    the SQL warehouse serves.
+    ``spark.checkpoint.dir`` is unset, a folder under the SQL warehouse serves
+    on a single machine, as in tests; on a cluster that is an error.
     """
 
+    opened: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+        root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not root and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        root = root or spark.conf.get("spark.sql.warehouse.dir")
         self.root = f"{root.rstrip('/')}/tokenlake-{name}-{uuid.uuid4().hex}"
         self.n = 0
+        Scratch.opened.append(self)
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write df and return a DataFrame that reads it."""
@@ -57,8 +63,15 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Delete the files behind a table that write() returned."""
+        self._delete(df._scratch_path)
+
+    def clear(self) -> None:
+        """Delete all tables; what reads them must have been written elsewhere."""
+        self._delete(self.root)
+
+    def _delete(self, where: str) -> None:
         hadoop = self.spark._jvm.org.apache.hadoop.fs
-        path = hadoop.Path(df._scratch_path)
+        path = hadoop.Path(where)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

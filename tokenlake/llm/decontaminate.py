@@ -178,8 +178,8 @@ def _judge(texts: pa.Array, blocks) -> list[pa.Array]:
 
 
 def bench_blocks(benchmark: DataFrame):
-    """Broadcasts of the benchmark, each of about BENCH_BLOCK bytes of text."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    """Broadcasts of the benchmark's distinct items, each of about BENCH_BLOCK bytes of text; their sum grows with the benchmark, and must fit a worker."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // BENCH_BLOCK))
     deal = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))

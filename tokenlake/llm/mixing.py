@@ -132,5 +132,7 @@ def repetitions(mixed: DataFrame) -> DataFrame:
     n = F.ceil(F.col("taken") / F.col("size")).cast("int")
     rows = mixed.where(F.col("taken") > 0).withColumn("repetition", F.explode(F.sequence(F.lit(1), n)))
     words = F.least(F.col("size"), F.col("taken") - F.col("size") * (F.col("repetition") - 1))
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), 0), F.lit(1), words.cast("int")), " ")
+    # words with the blanks before them, so that lines stay lines
+    spaced = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), 0)
+    part = F.array_join(F.slice(spaced, F.lit(1), words.cast("int")), "")
     return rows.select("row", F.when(words < F.col("size"), part).otherwise(F.col("text")).alias("text"), "repetition", words.alias("words"))

@@ -30,8 +30,9 @@ are carried along.
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -70,14 +71,14 @@ _SECRET_HEAD = r"(?=[aAcCpPsStT])(?i:api[_-]?key|access[_-]?key|auth[_-]?token|c
 #: Kind, pattern; in order of preference.
 KINDS = (
     ("secret", rf"{_SECRET_HEAD}[A-Za-z0-9_+/=.~-]{{8,}}+"),
-    ("email", r"(?<![._%+-])[\p{L}\p{N}._%+-]{1,128}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,8}\.\p{L}{2,24}"),
+    ("email", r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,8}\.\p{L}{2,24}"),
     ("iban", rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?!{_ANY})"),
     ("ip6", rf"(?={_HEX4}:[0-9A-Fa-f:]|::[0-9A-Fa-f])(?:(?:{_HEX4}:){{7}}{_HEX4}|(?:{_HEX4}:){{6}}{_IP4}|(?:{_HEX4}(?::{_HEX4}){{0,6}})?::(?:(?:{_HEX4}:){{0,6}}(?:{_IP4}|{_HEX4}))?)(?!{_ANY}|:[0-9A-Fa-f:])"),
-    ("ip4", rf"(?<![.]){_IP4}"),
+    ("ip4", rf"(?<![.]|[vV][ .]|[vV]ersion )(?<![vV]){_IP4}"),
     # before the kinds of digits, which would take the first digits of a hexadecimal key
     ("key", rf"(?:AKIA[0-9A-Z]{{16}}|gh[a-z]_[A-Za-z0-9]{{30,}}+|sk-[A-Za-z0-9_-]{{20,}}+|eyJ[\w-]{{10,}}+\.[\w-]{{10,}}+\.[\w-]{{10,}}+|[0-9a-f]{{32,}}+|[0-9A-F]{{32,}}+)(?!{_ANY})"),
     ("ssn", r"(?<!-)\d{3}-\d{2}-\d{4}(?!-?\d)"),
-    ("phone", r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)|\d{10,11}(?!\d)"),
+    ("phone", r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)|(?<!(?:[oO]rder|[iI]nvoice|[tT]icket|[iI]tem|[pP]art|[iI][dD]|[nN]o|[nN]r)[ :#.]{0,2})(?:1[2-9]\d{9}|[2-9]\d{9}|0\d{9,10})(?!\d)"),
     ("card", r"\d(?:[ -]?\d){12,18}(?!\d)"),
     ("titled", rf"(?=[\p{{Lu}}гκ])(?:{_TITLE})\.? {_CAP}(?: {_CAP})?"),
     ("named", rf"(?=\p{{Lu}})(?:{_GIVEN}) {_CAP}"),
@@ -202,7 +203,7 @@ def _surrogate() -> Column:
 def assign(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     """(kind, canon) with ``surrogate``: within a kind distinct, and no entity itself."""
     known = scratch.write(entities.select("kind", "canon").distinct(), "entities")
-    settled = None
+    settled: list[DataFrame] = []
     open_ = known
     for draw in itertools.count():
         # a domain is mapped on its own, so that addresses of one site stay together
@@ -211,15 +212,15 @@ def assign(entities: DataFrame, key: str, scratch: Scratch) -> DataFrame:
         # written, so that no hash is computed again for each character
         streams = scratch.write(open_.withColumns(streams), "streams")
         drawn = scratch.write(streams.select("kind", "canon", _surrogate().alias("surrogate")), "drawn")
-        real = known.select("kind", F.col("canon").alias("surrogate")).withColumn("real", F.lit(True))
-        taken = real if settled is None else real.unionByName(settled.select("kind", "surrogate").withColumn("real", F.lit(True)))
+        real = known.select("kind", F.col("canon").alias("surrogate"))
+        taken = reduce(DataFrame.unionByName, [x.select("kind", "surrogate") for x in settled], real.select("kind", "surrogate"))
         first = drawn.groupBy("kind", "surrogate").agg(F.min("canon").alias("winner"))
-        free = first.join(taken.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
+        free = first.join(taken, ["kind", "surrogate"], "left_anti")
         won = drawn.join(free, ["kind", "surrogate"]).where(F.col("canon") == F.col("winner")).select("kind", "canon", "surrogate")
-        settled = scratch.write(won if settled is None else settled.unionByName(won), "settled")
-        open_ = known.join(settled.select("kind", "canon"), ["kind", "canon"], "left_anti")
+        settled.append(scratch.write(won, "settled"))
+        open_ = scratch.write(open_.join(settled[-1].select("kind", "canon"), ["kind", "canon"], "left_anti"), "open")
         if not open_.limit(1).count():
-            return settled
+            return reduce(DataFrame.unionByName, settled)
 
 
 def _kind(match: Column) -> Column:
@@ -320,8 +321,13 @@ def _written(kind: Column, surface: Column, fresh: Column) -> Column:
     )
 
 
-def replace(docs: DataFrame, scratch: Scratch, key: str = "tokenlake") -> DataFrame:
-    """Columns row (struct of all columns of docs), text (with surrogates) and n_entities."""
+def key_of(spark: SparkSession) -> str:
+    """The secret key of the setting spark.tokenlake.pii.key; without it one for public test tables, from which anyone can rebuild the surrogates."""
+    return spark.conf.get("spark.tokenlake.pii.key", "public test tables")
+
+
+def replace(docs: DataFrame, scratch: Scratch, key: str) -> DataFrame:
+    """Columns row (struct of all columns of docs but text), text (with surrogates) and n_entities; who has the key can tell surrogates of known values."""
     text = docs["text"].cast("string")
     df = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"), text.alias("text"))
     found = F.when(F.regexp_like("text", F.lit(GATE)), F.regexp_extract_all("text", F.lit(PATTERN), 0)).otherwise(F.array().cast("array<string>"))

@@ -28,7 +28,7 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = url_filter.filter_urls(pages, "url", URL_RULES + url_filter.DEFAULT_RULES)
     contract = [r.name for r in URL_RULES]
-    return judged.select("page_id", "host", "path", F.when(F.col("rule").isin(contract), F.col("rule")).alias("rule"), F.col("action").alias("verdict"))
+    return judged.select("row.page_id", "host", "path", F.when(F.col("rule").isin(contract), F.col("rule")).alias("rule"), F.col("action").alias("verdict"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,12 +64,12 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langmodel.score(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op8"))
+    return langmodel.score(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "op8"), spark.conf.get("spark.tokenlake.tokenizer", langmodel.TOKENIZER))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.replace(docs, Scratch(spark, "op9")).select("row.doc_id", "text", "n_entities")
+    return pii.replace(docs, Scratch(spark, "op9"), pii.key_of(spark)).select("row.doc_id", "text", "n_entities")
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,11 @@ shares of the classes into a score from 0 to 1.
 Dictionaries and calibration are fitted on at most MAX_TOXIC + MAX_CLEAN
 labelled rows of at most MAX_BYTES each, picked by a hash; counts cover whole
 texts of all documents. Scoring is one pass without a shuffle; each task keeps
-the classes of at most CACHE words.
+the classes of at most CACHE words. The dictionaries' content is text of words
+chosen by document frequency: zstandard's own trainer, on the same words in
+their texts, was tried with windows of one to three words and gave an area
+under the curve of 0.91 to 0.93 on held-out rows of sf0.1, and 57 to 66 % of
+toxic rows found, against over 98 % that agree here.
 
 Edge cases: null, empty and wordless texts have no windows and get the score
 of a document without any sign; rows with a null or repeated id are scored
@@ -31,7 +35,9 @@ from pyspark.sql import functions as F
 
 from .common import map_texts
 
-MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 1500, 4500, 200_000
+MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 1500, 4500, 100_000
+#: Longer runs without blanks are taken as stretches that overlap.
+LONG, OVERLAP = 400, 40
 BACKGROUND, TYPICAL, REPEATS, STEM = 8_000, 3_000, 3, 7
 CACHE = 400_000
 _WORD = re.compile(r"[^\W_]+")
@@ -39,11 +45,14 @@ N_CLASSES = 16
 
 
 def tokens(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    out = []
+    for w in _WORD.findall(text.lower()):
+        out.extend([w] if len(w) <= LONG else (w[i : i + LONG] for i in range(0, len(w) - OVERLAP, LONG - OVERLAP)))
+    return out
 
 
 def _stem(word: str) -> bytes:
-    return f" {word} ".encode()[:STEM]
+    return f" {word} "[:STEM].encode()
 
 
 def _counts(docs: list[list[str]], key) -> Counter:
@@ -119,8 +128,7 @@ class Model:
             known.clear()
         new = list({w for d in docs for w in d if w not in known})
         if new:
-            long = [w[:400] for w in new]  # a longer word is no word; its start tells as much
-            known.update(zip(new, self.distance.classes(long, self.best).tolist()))
+            known.update(zip(new, self.distance.classes(new, self.best).tolist()))
         out = np.zeros((len(docs), N_CLASSES))
         for k, d in enumerate(docs):
             if d:
@@ -149,7 +157,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         return Model(None)
     seen, alone = set(), []  # copies would make any of their words look typical
     for k, d in enumerate(docs):
-        key = tuple(sorted(set(d))[:20])
+        key = frozenset(d)
         alone.append(key not in seen)
         seen.add(key)
     distance = Distance.train([d for d, v, a in zip(docs, y, alone) if v and a], [d for d, v, a in zip(docs, y, alone) if not v and a])
@@ -181,9 +189,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     n = {r["toxic"]: r["count"] for r in good.groupBy("toxic").count().collect()}
     deal = F.pmod(F.xxhash64(F.lit("toxicity"), "_id"), F.lit(1_000_000))
     part = {v: round(1_000_000 * min(1.0, top / max(1, n.get(v, 0)))) for v, top in ((1, MAX_TOXIC), (0, MAX_CLEAN))}
-    picked = good.where(deal < F.when(F.col("toxic") == 1, part[1]).otherwise(part[0])).limit(2 * (MAX_TOXIC + MAX_CLEAN)).distinct()
+    picked = good.where(deal < F.when(F.col("toxic") == 1, part[1]).otherwise(part[0])).distinct().orderBy(deal, "_id", "toxic").limit(2 * (MAX_TOXIC + MAX_CLEAN))
     texts = docs.select("doc_id", "text").where(F.octet_length("text") <= MAX_BYTES).join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
-    return fit([(r["text"], r["toxic"]) for r in texts.select("text", "toxic").limit(2 * (MAX_TOXIC + MAX_CLEAN)).collect()])
+    # rows that repeat an id give one text; the least by a hash, however they are dealt
+    texts = texts.groupBy("_id", "toxic").agg(F.min("text").alias("text")).orderBy(F.xxhash64("_id", "toxic"), "_id", "toxic")
+    return fit([(r["text"], r["toxic"]) for r in texts.select("text", "toxic").limit(MAX_TOXIC + MAX_CLEAN).collect()])
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: bool = False) -> DataFrame:

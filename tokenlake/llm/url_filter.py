@@ -90,11 +90,11 @@ def token_counts(urls: DataFrame, tokens: list[str]) -> dict[str, int]:
 
 
 def filter_urls(df: DataFrame, url: str, rules: tuple[Rule, ...], otherwise: str = "allow") -> DataFrame:
-    """df with host, path, rule (name or null), action (its own, else ``otherwise``)."""
+    """row (struct of df's columns), host, path, rule (name or null), action (its own, else ``otherwise``)."""
     if len(rules) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules")
-    host, path = split_url(F.col(url))
-    parts = df.withColumns({"host": host, "path": path})
+    host, path = split_url(df[url])
+    parts = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), host.alias("host"), path.alias("path"))
     literal = sorted({t for r in rules for t in r.tokens})
     counts = token_counts(parts, literal) if literal else {}
     index: dict[str, list[Rule]] = {}
