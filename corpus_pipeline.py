@@ -4,6 +4,11 @@ A stage takes all rows its predecessor kept, written as Parquet and read again,
 and its decisions take effect. All but the last return the columns of documents;
 the last returns a row for each repetition in the mix, with ``repetition``
 and ``words``.
+
+Edge cases: an empty table passes all stages empty; a null text or source, a
+null or repeated id and repeated rows pass as rows like others (copies, but
+for texts without words, are near-duplicates of each other); documents without
+words are in no mix; other columns of any name are carried along.
 """
 
 from __future__ import annotations
@@ -39,17 +44,21 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data give way to surrogates; a text's length is counted again."""
-    done = pii.replace(docs, Scratch(spark, "pii")).select("row.*", "text")
+    done = pii.replace(docs, Scratch(spark, "pii"), pii.key_of(spark)).select("row.*", "text")
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
     return done.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources reach their target weights; a row for each repetition of a document."""
-    mixed = mixing.mix(docs, Scratch(spark, "mixing"), keep=_others(docs), text=True)
-    out = mixing.repetitions(mixed).select("row", F.struct("text", "repetition", "words").alias("new"))
-    return out.select("row.*", "new").withColumns({c: F.col(f"new.{c}") for c in ("text", "repetition", "words")}).drop("new")
+    """Sources reach their target weights; a row for each repetition of a document.
+
+    Its ``repetition`` and ``words`` come after the columns of documents; where
+    documents have such columns themselves, theirs stay and the new ones are called mix_repetition and mix_words.
+    """
+    mixed = mixing.repetitions(mixing.mix(docs, Scratch(spark, "mixing"), keep=_others(docs), text=True))
+    own = [(F.col("text") if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns]
+    return mixed.select(*own, *[F.col(c).alias(f"mix_{c}" if c in docs.columns else c) for c in ("repetition", "words")])
 
 
 STAGES = [
@@ -68,7 +77,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each is written and read again before the next."""
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
+        opened = len(Scratch.opened)
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = scratch.write(docs, name)
+            for done in Scratch.opened[opened:]:
+                done.clear()
+            del Scratch.opened[opened:]
     return docs
