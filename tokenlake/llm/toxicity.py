@@ -189,11 +189,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     n = {r["toxic"]: r["count"] for r in good.groupBy("toxic").count().collect()}
     deal = F.pmod(F.xxhash64(F.lit("toxicity"), "_id"), F.lit(1_000_000))
     part = {v: round(1_000_000 * min(1.0, top / max(1, n.get(v, 0)))) for v, top in ((1, MAX_TOXIC), (0, MAX_CLEAN))}
-    picked = good.where(deal < F.when(F.col("toxic") == 1, part[1]).otherwise(part[0])).distinct().orderBy(deal, "_id", "toxic").limit(2 * (MAX_TOXIC + MAX_CLEAN))
+    picked = good.where(deal < F.when(F.col("toxic") == 1, part[1]).otherwise(part[0])).distinct().orderBy(deal, "_id", "toxic").limit(MAX_TOXIC + MAX_CLEAN)
     texts = docs.select("doc_id", "text").where(F.octet_length("text") <= MAX_BYTES).join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
-    # rows that repeat an id give one text; the least by a hash, however they are dealt
-    texts = texts.groupBy("_id", "toxic").agg(F.min("text").alias("text")).orderBy(F.xxhash64("_id", "toxic"), "_id", "toxic")
-    return fit([(r["text"], r["toxic"]) for r in texts.select("text", "toxic").limit(MAX_TOXIC + MAX_CLEAN).collect()])
+    # rows that repeat an id give one text, so there are no more than picked rows; the same however they are dealt
+    texts = texts.groupBy("_id", "toxic").agg(F.min("text").alias("text")).toArrow().sort_by([("_id", "ascending"), ("toxic", "ascending")])
+    return fit(list(zip(texts.column("text").to_pylist(), texts.column("toxic").to_pylist())))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: bool = False) -> DataFrame:
