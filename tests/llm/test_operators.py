@@ -186,6 +186,11 @@ def test_contamination(spark, docs, rows, empty):
     for r in out:
         assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) == want[r["doc_id"]][:4]
     assert max(r["longest"] for r in out) == 40
+    # the same by many passes over small blocks
+    passes = decontaminate.contamination(docs, bench, ["doc_id", "row"], text=True, block=100).select("row.doc_id", "out.*", "text").collect()
+    assert len(decontaminate.bench_blocks(bench, 100)) > 3
+    assert sorted(map(repr, (r[:-1] for r in passes))) == sorted(map(repr, (tuple(r) for r in out)))
+    assert sorted((r["doc_id"], r["text"] or "") for r in passes) == sorted((d, t or "") for d, t in rows)
     assert all(r["n_hit"] == 0 for r in decontaminate.contamination(docs, bench.limit(0), ["doc_id"]).select("out.*").collect())
     assert decontaminate.contamination(empty, bench, ["doc_id"]).count() == 0
 

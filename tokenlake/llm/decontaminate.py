@@ -9,9 +9,10 @@ consecutive windows on one diagonal are one match, whose length is the
 longest verbatim match there. No document leaves its row, so there is no
 shuffle and no hot key.
 
-The benchmark goes to the tasks as word hashes in blocks of about
-BENCH_BLOCK bytes of text, collected and sent block by block; each shard is
-searched with one block at a time, so memory is bounded for any benchmark.
+The benchmark goes to the tasks as word hashes, a block of about BENCH_BLOCK
+bytes of text at a time: the documents make one pass for each block, carrying
+what earlier blocks hit, so driver and workers hold one block of a benchmark
+of any size. A benchmark of one block takes one pass and no written table.
 
 Edge cases: null and wordless documents have no words and are clean; an item
 without words is no item; an item of fewer than WINDOW words is one window of
@@ -21,21 +22,21 @@ words but are not named; an empty benchmark leaves all clean.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import map_texts
+from .common import Scratch, map_texts
 
 WINDOW = 13
 SHARD = 2_500_000
 BENCH_BLOCK = 16_000_000
 
-FIELDS = "n_words long, n_hit long, n_items long, items_sha256 string, longest long, longest_item long, longest_at long, matches long"
+#: of one pass: hit words as maximal [begin, end) runs, items found, the longest match and the number of matches
+PASS_FIELDS = "n_words long, begins array<long>, ends array<long>, items array<string>, longest long, longest_item long, longest_at long, matches long"
 
 
 def suffix_array(chars: np.ndarray, first: np.ndarray, depth: int) -> np.ndarray:
@@ -118,26 +119,23 @@ class Block:
         self.len = self.lens_by_item[self.item]
 
 
-def _judge(texts: pa.Array, blocks) -> list[pa.Array]:
+def _judge(texts: pa.Array, b: Block) -> list[pa.Array]:
     cols: list[list] = [[] for _ in range(8)]
     for i, j, data, offs in tb.blocks(texts, SHARD):
         chars, first = tb.words(data, offs, tb.LETTERS)
         k, n = j - i, len(chars)
         counts = np.diff(first)
         doc_of, end = np.repeat(np.arange(k), counts), np.repeat(first[1:], counts)
-        order = suffix_array(chars, first, WINDOW)
         edge = np.zeros(n + 1, np.int64)  # +1 where a hit begins, -1 behind it
         found: dict[int, set] = {}
         longest, item_of, place, matches = np.zeros(k, np.int64), [None] * k, [None] * k, np.zeros(k, np.int64)
-        for b in blocks:
-            b = b.value
-            if not len(b.start) or not n:
-                continue
+        some = np.zeros(0, np.int64)
+        if len(b.start) and n:
+            order = suffix_array(chars, first, WINDOW)
             lo, hi = search(chars, end, order, b.words, b.start, b.len)
             some = np.flatnonzero(hi > lo)
+        if some.size:
             reps = (hi - lo)[some]
-            if not some.size:
-                continue
             which = np.repeat(some, reps)
             p = order[np.repeat(lo[some], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)]
             np.add.at(edge, p, 1)
@@ -146,7 +144,7 @@ def _judge(texts: pa.Array, blocks) -> list[pa.Array]:
             pairs = np.unique(docs * len(b.ids) + items)
             for d, it in zip((pairs // len(b.ids)).tolist(), (pairs % len(b.ids)).tolist()):
                 if b.ids[it] is not None:
-                    found.setdefault(d, set()).add(b.ids[it])
+                    found.setdefault(d, set()).add(str(b.ids[it]))
             # windows that follow each other in item and document are one match
             diag = items * (2 * n + 2 * len(b.words)) + (p - b.start[which] + len(b.words))
             by = np.lexsort((p, diag))
@@ -161,36 +159,87 @@ def _judge(texts: pa.Array, blocks) -> list[pa.Array]:
             _, f = np.unique(dd[top], return_index=True)
             for x in top[f].tolist():
                 d = int(dd[x])
-                if length[x] > longest[d]:
-                    longest[d], item_of[d], place[d] = length[x], b.ids[int(b.item[w[heads[x]]])], int(p[heads[x]] - first[d])
+                longest[d], item_of[d], place[d] = length[x], b.ids[int(b.item[w[heads[x]]])], int(p[heads[x]] - first[d])
         hit = np.cumsum(edge[:n]) > 0
-        n_hit = np.bincount(doc_of[hit], minlength=k) if n else np.zeros(k, np.int64)
+        begin, behind = hit.copy(), hit.copy()
+        same_doc = doc_of[1:] == doc_of[:-1]
+        begin[1:] &= ~(hit[:-1] & same_doc)
+        behind[:-1] &= ~(hit[1:] & same_doc)
+        at, stop = np.flatnonzero(begin), np.flatnonzero(behind) + 1
+        runs = np.searchsorted(doc_of[at], np.arange(k + 1))
         for d in range(k):
-            ids = sorted(map(str, found.get(d, ())))
-            cols[2].append(len(ids))
-            cols[3].append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-        for c, v in ((0, counts), (1, n_hit), (4, longest), (7, matches)):
+            x, y = runs[d], runs[d + 1]
+            cols[1].append((at[x:y] - first[d]).tolist())
+            cols[2].append((stop[x:y] - first[d]).tolist())
+            cols[3].append(sorted(found.get(d, ())))
+        for c, v in ((0, counts), (4, longest), (7, matches)):
             cols[c].extend(v.tolist())
         cols[5].extend(item_of)
         cols[6].extend(place)
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 4]
+    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), *[pa.int64()] * 4]
     return [pa.array(c, t) for c, t in zip(cols, types)]
 
 
-def bench_blocks(benchmark: DataFrame):
-    """Broadcasts of the benchmark's distinct items, each of about BENCH_BLOCK bytes of text; their sum grows with the benchmark, and must fit a worker."""
+def bench_blocks(benchmark: DataFrame, size: int) -> list[DataFrame]:
+    """The benchmark's distinct items in blocks of about ``size`` bytes of text."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-total // BENCH_BLOCK))
+    n = max(1, -(-total // size))
     deal = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    sc = benchmark.sparkSession.sparkContext
-    return [sc.broadcast(Block([tuple(r) for r in items.where(deal == k).collect()])) for k in range(n)]
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: bool = False) -> DataFrame:
-    """Columns row, out and text on demand; out has the fields of FIELDS."""
-    blocks = bench_blocks(benchmark)
-    return map_texts(docs, lambda texts: _judge(texts, blocks), FIELDS, keep, text)
+    return [items.where(deal == k) for k in range(n)]
+
+
+def _merged(a: Column, b: Column) -> Column:
+    """What two passes over a document found, together."""
+    longer = b["longest"] > a["longest"]
+    return F.struct(
+        a["n_words"].alias("n_words"),
+        F.concat(a["begins"], b["begins"]).alias("begins"),
+        F.concat(a["ends"], b["ends"]).alias("ends"),
+        F.array_union(a["items"], b["items"]).alias("items"),
+        *[F.when(longer, b[c]).otherwise(a[c]).alias(c) for c in ("longest", "longest_item", "longest_at")],
+        (a["matches"] + b["matches"]).alias("matches"),
+    )
+
+
+def _summary(out: Column) -> Column:
+    """Runs and items as the counts and the digest of the result."""
+    zero = F.lit(0).cast("long")
+    runs = F.array_sort(F.zip_with(out["begins"], out["ends"], lambda x, y: F.struct(x.alias("b"), y.alias("e"))))
+    n_hit = F.aggregate(
+        runs,
+        F.struct(zero.alias("to"), zero.alias("n")),
+        lambda t, r: F.struct(F.greatest(t["to"], r["e"]).alias("to"), (t["n"] + F.greatest(zero, r["e"] - F.greatest(t["to"], r["b"]))).alias("n")),
+        lambda t: t["n"],
+    )
+    return F.struct(
+        out["n_words"].alias("n_words"),
+        n_hit.alias("n_hit"),
+        F.size(out["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(out["items"]), ",").cast("binary"), 256).alias("items_sha256"),
+        *[out[c].alias(c) for c in ("longest", "longest_item", "longest_at", "matches")],
+    )
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: bool = False, block: int = BENCH_BLOCK) -> DataFrame:
+    """Columns row, out and text on demand; out has n_words, n_hit, n_items, items_sha256 and the longest match's words, item and place."""
+    blocks = bench_blocks(benchmark, block)
+    scratch = Scratch(docs.sparkSession, "decontamination") if len(blocks) > 1 else None
+    sent = done = None
+    for k, items in enumerate(blocks):
+        if k:  # the last pass is written, so its block can go
+            done = scratch.write(done, "pass")
+            sent.unpersist()
+        sent = docs.sparkSession.sparkContext.broadcast(Block([tuple(r) for r in items.collect()]))
+        with_text = text or k + 1 < len(blocks)
+        found = _pass(docs, sent, keep, with_text) if k == 0 else _pass(done, sent, ["row", "out"], with_text)
+        bodies = ["text"] if with_text else []
+        done = found if k == 0 else found.select("row.row", *bodies, _merged(F.col("row.out"), F.col("out")).alias("out"))
+    return done.select("row", *bodies, _summary(F.col("out")).alias("out"))
+
+
+def _pass(docs: DataFrame, sent: Broadcast, keep: list[str], text: bool) -> DataFrame:
+    return map_texts(docs, lambda texts: _judge(texts, sent.value), PASS_FIELDS, keep, text)
 
 
 def contaminated(out: Column) -> Column:
