@@ -381,6 +381,21 @@ def test_nearest(spark):
             assert [m["vec_id"] for m in mine] == order
     assert hit >= 54
     assert ivfpq.search(df.limit(0), Scratch(spark, "t"), is_query=lambda i: i % 100 == 0).count() == 0
+    # a third of all rows one vector, a third nearly one: no neighbour behind them is lost, and null ids come last of equals
+    x = r.standard_normal((900, 16)).astype(np.float32)
+    x[300:600] = x[0]
+    x[600:] = x[1] + r.standard_normal((300, 16)).astype(np.float32) * 1e-4
+    near = spark.createDataFrame([(i if i != 301 else None, v.tolist(), "a") for i, v in enumerate(x)], "vec_id long, embedding array<float>, list string")
+    out = ivfpq.search(near, Scratch(spark, "t"), is_query=lambda i: i % 50 == 0).collect()
+    hit = 0
+    for q in range(0, 900, 50):
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+        order = [i for i in sorted(range(900), key=lambda i: (d[i], i == 301, i)) if i != q][:10]
+        mine = [m["vec_id"] for m in sorted((m for m in out if m["query_id"] == q), key=lambda m: m["rank"])]
+        hit += len(set(order) & set(mine))
+        if 300 <= q < 600:
+            assert mine == order
+    assert hit >= 0.95 * 180
     few = ivfpq.search(df.where("vec_id < 3"), Scratch(spark, "t"), is_query=lambda i: i == 0).collect()
     assert [m["rank"] for m in few] == [1, 2]
 

@@ -1,19 +1,26 @@
 """Approximate nearest neighbours: inverted file, product-quantised residuals, exact reranking.
 
-The number of lists to probe is calibrated on the sample, for TARGET of its true
-neighbours to lie in them. Coarse centroids and residual codebooks are fitted on at most SAMPLE rows
-(chosen by a hash of the id); every row is indexed. A row goes to the list
-of its nearest centroid with the codes of its residual. Lists are cut into
-blocks of about BLOCK rows, and a list's queries into chunks, so a list that
-holds a third of all rows is spread over many groups. In each group,
-asymmetric distance tables rank the block for each query; the best SHORT rows
-are measured exactly on the original vectors and the best k go on to the
-final ranking of each query.
+1. Equal vectors become one class, indexed once, with the k + 1 smallest ids
+   of its rows: no other of its rows can be among a query's k nearest.
+2. Coarse centroids and residual codebooks are fitted on at most SAMPLE
+   classes (chosen by a hash of the vector); every class is indexed: it goes
+   to the list of its nearest centroid with the codes of its residual.
+3. The number of lists to probe and the length R of a query's shortlist are
+   calibrated on the sample, for its true neighbours to lie in those lists
+   and among the R least asymmetric distances.
+4. Lists are cut into blocks of about BLOCK classes, and a list's queries into
+   chunks, so a list that holds a third of all rows is spread over many groups.
+   A first round over codes alone finds, with asymmetric distance tables, the
+   distance within which R classes of a query's lists lie.
+5. A second round measures exactly, on the original vectors, all classes
+   within that distance, however many have the same code. The best of
+   each block go on to the final ranking of each query.
 
 Rows whose vector is null, zero, empty, or has a null or non-finite
 component, or has not the most common length, take no part. Equal distances
 go to the smaller id. Repeated rows are separate rows; only the query's own
-row is left out. An empty table gives an empty result.
+row is left out. A null id is the last of equals. Other columns are not read.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,10 +36,11 @@ from pyspark.sql.window import Window
 from .common import Scratch
 
 SAMPLE = 20_000
-BLOCK, CHUNK = 256, 1024
-SHORT = 40
+BLOCK, CHUNK = 8192, 256
+SHORT = 40  # the least shortlist
+STEPS = 64  # places of a block's order that the first round reports
 MAX_LISTS = 4096
-TARGET = 0.97
+TARGET, SHORT_TARGET = 0.97, 0.99
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -76,6 +84,28 @@ class Index:
         ranks = np.sort(np.take_along_axis(place, self.nearest(x, 1)[:, 0][true], axis=1).ravel())
         return int(ranks[min(len(ranks) - 1, math.ceil(target * len(ranks)))]) + 1
 
+    def shortlist(self, x: np.ndarray, n_rows: int, k: int, target: float, n_queries: int = 256) -> int:
+        """How many least asymmetric distances hold ``target`` of the true neighbours, among n_rows like the sample.
+
+        The sample's counterpart of the k nearest of n_rows is a smaller number of its rows, and a place in its order counts
+        for n_rows / len(x) places. Half is added, as the sample lies nearer to its own centroids than other rows do.
+        """
+        if len(x) <= k + 1:
+            return max(SHORT, n_rows)
+        q, scale = x[:n_queries], n_rows / len(x)
+        lists = self.nearest(x, 1)[:, 0]
+        codes = self.encode(x, lists)
+        near = self.lists[lists]
+        for part, ((s, e), b) in enumerate(zip(self.parts, self.books)):
+            near[:, s:e] += b[codes[:, part]]
+        worst, of = [], max(1, min(k, round(k / scale)))
+        for i in range(len(q)):
+            d, a = ((x - q[i]) ** 2).sum(1), ((near - q[i]) ** 2).sum(1)
+            d[i] = a[i] = np.inf
+            worst.append(np.searchsorted(np.sort(a), a[np.argpartition(d, of)[:of]], side="right"))
+        ranks = np.sort(np.concatenate(worst))
+        return max(SHORT, math.ceil(1.5 * scale * ranks[min(len(ranks) - 1, math.ceil(target * len(ranks)))]))
+
     def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
         d = (self.lists**2).sum(1)[None, :] - 2 * x @ self.lists.T
         if n == 1:
@@ -103,77 +133,107 @@ def usable(vec: Column) -> Column:
     return vec.isNotNull() & (F.size(vec) > 0) & F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists(vec, lambda v: v != 0)
 
 
+def least_distances(d: np.ndarray, short: int) -> np.ndarray:
+    """Of each row of d in rising order, every step-th value: each stands for ``step`` more classes within it."""
+    step = max(1, short // STEPS)
+    most = min(d.shape[1], step * -(-short // step))
+    if most < d.shape[1]:
+        d = np.partition(d, most - 1, axis=1)[:, :most]
+    return np.sort(d, axis=1)[:, step - 1 :: step]
+
+
 def search(table: DataFrame, scratch: Scratch, *, is_query, k: int = 10, target: float = TARGET, least_probe: int = 8, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row that is_query (a Column on ``id``)."""
-    vec = F.col("x")
-    rows = table.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("x")).where(usable(vec))
+    kind = "float" if table.schema[vector].dataType.elementType.simpleString() == "float" else "double"
+    rows = table.select(F.col(id).cast("long").alias("id"), F.col(vector).cast(f"array<{kind}>").alias("x")).where(usable(F.col("x")))
     dims = rows.groupBy(F.size("x").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    empty = table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if dims is None:
-        return empty
-    dim, n = dims
-    rows = rows.where(F.size("x") == dim)
+        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rows = scratch.write(rows.where(F.size("x") == dims["dim"]).withColumn("uid", F.monotonically_increasing_id()), "rows")
+    by_id = Window.partitionBy("x").orderBy(F.col("id").asc_nulls_last(), "uid")
+    first = rows.withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= k + 1)
+    classes = first.groupBy("x").agg(F.min("uid").alias("class"), F.array_sort(F.collect_list(F.struct(F.col("id").isNull().alias("unnamed"), "id", "uid"))).alias("members"))
+    classes = scratch.write(classes, "classes")
+    n = classes.count()
     share = min(1.0, SAMPLE / n)
-    picked = rows.where(F.pmod(F.xxhash64("id", "x"), F.lit(1_000_003)) < F.lit(round(share * 1_000_003)))
-    sample = np.array([r["x"] for r in picked.select("x").limit(2 * SAMPLE).collect()], np.float32)
+    picked = classes.where(F.pmod(F.xxhash64("x"), F.lit(1_000_003)) < F.lit(round(share * 1_000_003)))
+    sample = np.array([r["x"] for r in picked.orderBy(F.xxhash64("x"), "x").select("x").limit(2 * SAMPLE).collect()], np.float32)
     if not len(sample):
-        sample = np.array([r["x"] for r in rows.select("x").limit(1).collect()], np.float32)
+        sample = np.array([classes.agg(F.min("x")).first()[0]], np.float32)
     fitted = Index(sample, n)
-    n_lists = len(fitted.lists)
-    n_probe = min(n_lists, max(least_probe, fitted.calibrate(sample, k, target)))
+    n_probe = min(len(fitted.lists), max(least_probe, fitted.calibrate(sample, k, target)))
+    short = fitted.shortlist(sample, n, k, SHORT_TARGET)
+    wanted = -(-short // max(1, short // STEPS))  # so many reported places stand for the shortlist
     index = table.sparkSession.sparkContext.broadcast(fitted)
+    stack = lambda col: np.stack(col.to_numpy())
 
     def encode(frames):
         ix = index.value
         for f in frames:
             if len(f):
-                x = np.stack(f["x"].to_numpy()).astype(np.float32)
+                x = stack(f["x"]).astype(np.float32)
                 lists = ix.nearest(x, 1)[:, 0]
-                yield f.assign(list=lists.astype(np.int32), code=[c.tobytes() for c in ix.encode(x, lists)])
-
-    numbered = rows.withColumn("uid", F.monotonically_increasing_id())
-    coded = scratch.write(numbered.mapInPandas(encode, "id long, x array<float>, uid long, list int, code binary"), "index")
+                yield f[["class"]].assign(list=lists.astype(np.int32), code=[c.tobytes() for c in ix.encode(x, lists)])
 
     def probes(frames):
         ix = index.value
         for f in frames:
             if len(f):
-                x = np.stack(f["x"].to_numpy()).astype(np.float32)
-                near = ix.nearest(x, n_probe)
-                yield f.assign(lists=[r.astype(np.int32).tolist() for r in near])
+                near = ix.nearest(stack(f["x"]).astype(np.float32), n_probe)
+                yield f[["uid"]].assign(lists=[r.astype(np.int32).tolist() for r in near])
 
-    asked = coded.where(is_query(F.col("id"))).select("id", "uid", "x").mapInPandas(probes, "id long, uid long, x array<float>, lists array<int>")
-    asked = scratch.write(asked.withColumn("list", F.explode("lists")).drop("lists"), "probes")
+    coded = scratch.write(classes.select("class", "x").mapInPandas(encode, "class long, list int, code binary"), "codes")
+    queries = rows.where(is_query(F.col("id"))).select("uid", "id", "x")
+    asked = scratch.write(queries.select("uid", "x").mapInPandas(probes, "uid long, lists array<int>").select("uid", F.explode("lists").alias("list")), "probes")
     # a row for each list, MAX_LISTS at most
     per_list = coded.groupBy("list").agg(F.count("*").alias("n")).join(asked.groupBy("list").agg(F.count("*").alias("q")), "list")
     per_list = F.broadcast(per_list.select("list", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("q") / CHUNK).cast("int").alias("chunks")))
     span = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    deal = lambda c: F.pmod(F.xxhash64("uid"), F.col(c)).cast("int")
-    left = coded.join(per_list, "list").withColumns({"block": deal("blocks"), "chunk": F.explode(span("chunks"))}).select("list", "block", "chunk", "id", "uid", "x", "code")
-    right = asked.join(per_list, "list").withColumns({"chunk": deal("chunks"), "block": F.explode(span("blocks"))}).select("list", "block", "chunk", "id", "uid", "x")
-
-    def near(key, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_uid": [], "query_id": [], "vec_id": [], "score": []}
-        if len(rows) and len(queries):
-            ix = index.value
-            rows = rows.sort_values("id", kind="stable")
-            ids, uids = rows["id"].to_numpy(), rows["uid"].to_numpy()
-            x = np.stack(rows["x"].to_numpy()).astype(np.float32)
-            codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
-            q = np.stack(queries["x"].to_numpy()).astype(np.float32)
-            d = ix.adc(q, int(key[0]), codes)
-            for i, (qid, quid) in enumerate(zip(queries["id"], queries["uid"])):
-                short = np.argsort(d[i], kind="stable")[: SHORT + 1]  # rows are in order of id
-                short = short[uids[short] != quid]
-                exact = np.sqrt(((x[short].astype(np.float64) - q[i].astype(np.float64)) ** 2).sum(1))
-                best = np.lexsort((ids[short], exact))[:k]
-                out["query_uid"].extend([quid] * len(best))
-                out["query_id"].extend([qid] * len(best))
-                out["vec_id"].extend(ids[short][best])
-                out["score"].extend(exact[best])
+    deal = lambda by, c: F.pmod(F.xxhash64(by), F.col(c)).cast("int")
+    left = coded.join(per_list, "list").withColumns({"block": deal("class", "blocks"), "chunk": F.explode(span("chunks"))}).drop("blocks", "chunks")
+    right = asked.join(per_list, "list").withColumns({"chunk": deal("uid", "chunks"), "block": F.explode(span("blocks"))}).drop("blocks", "chunks").join(queries, "uid")
+    keys = ["list", "block", "chunk"]
+
+    def distances(key, found: pd.DataFrame, asking: pd.DataFrame) -> np.ndarray:
+        codes = np.frombuffer(b"".join(found["code"]), np.uint8).reshape(len(found), -1)
+        return index.value.adc(stack(asking["x"]).astype(np.float32), int(key[0]), codes)
+
+    def rank(key, found: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        if not len(found) or not len(asking):
+            return pd.DataFrame({"uid": [], "within": []})
+        return pd.DataFrame({"uid": asking["uid"], "within": least_distances(distances(key, found, asking), short).tolist()})
+
+    reported = left.groupBy(*keys).cogroup(right.select("uid", "x", *keys).groupBy(*keys)).applyInPandas(rank, "uid long, within array<float>")
+    least = Window.partitionBy("uid").orderBy("within")
+    reported = reported.select("uid", F.explode("within").alias("within")).withColumn("place", F.row_number().over(least)).where(F.col("place") <= wanted)
+    # queries with fewer classes in their lists measure all of these
+    reach = reported.groupBy("uid").agg(F.when(F.count("*") == wanted, F.max("within")).alias("reach"))
+    reach = scratch.write(reach, "reach")
+
+    def measure(key, found: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list] = {"query_uid": [], "query_id": [], "class": [], "score": []}
+        if len(found) and len(asking):
+            close = distances(key, found, asking) <= np.nextafter(asking["reach"].fillna(np.inf).to_numpy(np.float32), np.float32(np.inf))[:, None]
+            x, q = stack(found["x"]).astype(np.float64), stack(asking["x"]).astype(np.float64)
+            of, size = found["class"].to_numpy(), found["size"].to_numpy()
+            for i, (uid, qid) in enumerate(zip(asking["uid"], asking["id"])):
+                some = np.flatnonzero(close[i])
+                exact = np.sqrt(((x[some] - q[i]) ** 2).sum(1))
+                by = np.argsort(exact, kind="stable")
+                enough = np.searchsorted(np.cumsum(size[some[by]]), k + 1)  # one may be the query itself
+                if enough < len(by):
+                    by = by[: np.searchsorted(exact[by], exact[by[enough]], side="right")]
+                out["query_uid"].extend([uid] * len(by))
+                out["query_id"].extend([qid] * len(by))
+                out["class"].extend(of[some[by]])
+                out["score"].extend(exact[by])
         return pd.DataFrame(out)
 
-    keys = ["list", "block", "chunk"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(near, "query_uid long, query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_uid").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    vectors = left.join(classes.select("class", "x", F.size("members").alias("size")), "class")
+    right = right.join(reach, "uid", "left")
+    found = vectors.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(measure, "query_uid long, query_id long, class long, score double")
+    best = Window.partitionBy("query_uid").orderBy("score")
+    found = found.withColumn("place", F.rank().over(best)).where(F.col("place") <= k + 1).join(classes.select("class", F.explode("members").alias("m")), "class")
+    found = found.where(F.col("m.uid") != F.col("query_uid"))
+    w = Window.partitionBy("query_uid").orderBy("score", "m.unnamed", "m.id", "m.uid")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", F.col("m.id").alias("vec_id"), "score")
