@@ -8,9 +8,9 @@
 3. The number of lists to probe and the length R of a query's shortlist are
    calibrated on the sample, for its true neighbours to lie in those lists
    and among the R least asymmetric distances.
-4. Lists are cut into blocks of about BLOCK classes, and a list's queries into
-   chunks, so a list that holds a third of all rows is spread over many groups.
-   A first round over codes alone finds, with asymmetric distance tables, the
+4. Neighbouring short lists share a bin of at most BLOCK classes; longer lists
+   are cut into blocks of about BLOCK, and a bin's queries into chunks, so a
+   list that holds a third of all rows is spread over many groups. A first round over codes alone finds, with asymmetric distance tables, the
    distance within which R classes of a query's lists lie.
 5. A second round measures exactly, on the original vectors, all classes
    within that distance, however many have the same code. The best of
@@ -133,13 +133,26 @@ def usable(vec: Column) -> Column:
     return vec.isNotNull() & (F.size(vec) > 0) & F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists(vec, lambda v: v != 0)
 
 
-def least_distances(d: np.ndarray, short: int) -> np.ndarray:
-    """Of each row of d in rising order, every step-th value: each stands for ``step`` more classes within it."""
+def bins_of(centroids: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """A bin for each list, of at most ``most`` classes or one list, and the classes of each bin; lists along the main axis."""
+    mid = centroids - centroids.mean(0)
+    order = np.argsort(mid @ np.linalg.svd(mid, full_matrices=False)[2][0], kind="stable")
+    bins, held = np.zeros(len(sizes), np.int32), [0]
+    for a_list in order.tolist():
+        if held[-1] and held[-1] + sizes[a_list] > most:
+            held.append(0)
+        held[-1] += int(sizes[a_list])
+        bins[a_list] = len(held) - 1
+    return bins, np.array(held)
+
+
+def least_distances(d: np.ndarray, short: int) -> list[list[float]]:
+    """Of each row of d in rising order, every step-th finite value: each stands for ``step`` more classes within it."""
     step = max(1, short // STEPS)
     most = min(d.shape[1], step * -(-short // step))
     if most < d.shape[1]:
         d = np.partition(d, most - 1, axis=1)[:, :most]
-    return np.sort(d, axis=1)[:, step - 1 :: step]
+    return [row[np.isfinite(row)].tolist() for row in np.sort(d, axis=1)[:, step - 1 :: step]]
 
 
 def search(table: DataFrame, scratch: Scratch, *, is_query, k: int = 10, target: float = TARGET, least_probe: int = 8, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -175,35 +188,56 @@ def search(table: DataFrame, scratch: Scratch, *, is_query, k: int = 10, target:
                 lists = ix.nearest(x, 1)[:, 0]
                 yield f[["class"]].assign(list=lists.astype(np.int32), code=[c.tobytes() for c in ix.encode(x, lists)])
 
+    coded = scratch.write(classes.select("class", "x").mapInPandas(encode, "class long, list int, code binary"), "codes")
+    sizes = np.zeros(len(fitted.lists), np.int64)
+    for r in coded.groupBy("list").count().collect():  # MAX_LISTS rows at most
+        sizes[r["list"]] = r["count"]
+    bins, held = bins_of(fitted.lists, sizes, BLOCK)
+    spread = table.sparkSession.createDataFrame([(i, int(b), max(1, -(-int(held[b]) // BLOCK))) for i, b in enumerate(bins)], "list int, bin int, blocks int")
+
     def probes(frames):
         ix = index.value
         for f in frames:
             if len(f):
-                near = ix.nearest(stack(f["x"]).astype(np.float32), n_probe)
-                yield f[["uid"]].assign(lists=[r.astype(np.int32).tolist() for r in near])
+                near = np.sort(ix.nearest(stack(f["x"]).astype(np.float32), n_probe), axis=1)
+                out: dict[str, list] = {"uid": [], "bin": [], "lists": []}
+                for uid, lists in zip(f["uid"], near):
+                    of = bins[lists]
+                    for b in np.unique(of):
+                        out["uid"].append(uid)
+                        out["bin"].append(b)
+                        out["lists"].append(lists[of == b].astype(np.int32))
+                yield pd.DataFrame(out)
 
-    coded = scratch.write(classes.select("class", "x").mapInPandas(encode, "class long, list int, code binary"), "codes")
     queries = rows.where(is_query(F.col("id"))).select("uid", "id", "x")
-    asked = scratch.write(queries.select("uid", "x").mapInPandas(probes, "uid long, lists array<int>").select("uid", F.explode("lists").alias("list")), "probes")
-    # a row for each list, MAX_LISTS at most
-    per_list = coded.groupBy("list").agg(F.count("*").alias("n")).join(asked.groupBy("list").agg(F.count("*").alias("q")), "list")
-    per_list = F.broadcast(per_list.select("list", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("q") / CHUNK).cast("int").alias("chunks")))
+    asked = scratch.write(queries.select("uid", "x").mapInPandas(probes, "uid long, bin int, lists array<int>"), "probes")
+    per_bin = asked.groupBy("bin").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    per_bin = F.broadcast(spread.join(per_bin, "bin"))  # a row for each list
     span = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     deal = lambda by, c: F.pmod(F.xxhash64(by), F.col(c)).cast("int")
-    left = coded.join(per_list, "list").withColumns({"block": deal("class", "blocks"), "chunk": F.explode(span("chunks"))}).drop("blocks", "chunks")
-    right = asked.join(per_list, "list").withColumns({"chunk": deal("uid", "chunks"), "block": F.explode(span("blocks"))}).drop("blocks", "chunks").join(queries, "uid")
-    keys = ["list", "block", "chunk"]
+    left = coded.join(per_bin, "list").withColumns({"block": deal("class", "blocks"), "chunk": F.explode(span("chunks"))}).drop("blocks", "chunks")
+    right = asked.join(F.broadcast(per_bin.drop("list").distinct()), "bin").withColumns({"chunk": deal("uid", "chunks"), "block": F.explode(span("blocks"))}).drop("blocks", "chunks").join(queries, "uid")
+    keys = ["bin", "block", "chunk"]
 
-    def distances(key, found: pd.DataFrame, asking: pd.DataFrame) -> np.ndarray:
+    def distances(found: pd.DataFrame, asking: pd.DataFrame) -> np.ndarray:
+        """Of each query to each class, infinite where its list is not probed."""
         codes = np.frombuffer(b"".join(found["code"]), np.uint8).reshape(len(found), -1)
-        return index.value.adc(stack(asking["x"]).astype(np.float32), int(key[0]), codes)
+        q, of = stack(asking["x"]).astype(np.float32), found["list"].to_numpy()
+        who = np.repeat(np.arange(len(q)), asking["lists"].map(len).to_numpy())
+        where = np.concatenate(asking["lists"].to_list())
+        d = np.full((len(q), len(of)), np.inf, np.float32)
+        for a_list in np.unique(of).tolist():
+            i, j = who[where == a_list], np.flatnonzero(of == a_list)
+            if len(i):
+                d[np.ix_(i, j)] = index.value.adc(q[i], a_list, codes[j])
+        return d
 
     def rank(key, found: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         if not len(found) or not len(asking):
             return pd.DataFrame({"uid": [], "within": []})
-        return pd.DataFrame({"uid": asking["uid"], "within": least_distances(distances(key, found, asking), short).tolist()})
+        return pd.DataFrame({"uid": asking["uid"], "within": least_distances(distances(found, asking), short)})
 
-    reported = left.groupBy(*keys).cogroup(right.select("uid", "x", *keys).groupBy(*keys)).applyInPandas(rank, "uid long, within array<float>")
+    reported = left.groupBy(*keys).cogroup(right.select("uid", "x", "lists", *keys).groupBy(*keys)).applyInPandas(rank, "uid long, within array<float>")
     least = Window.partitionBy("uid").orderBy("within")
     reported = reported.select("uid", F.explode("within").alias("within")).withColumn("place", F.row_number().over(least)).where(F.col("place") <= wanted)
     # queries with fewer classes in their lists measure all of these
@@ -213,7 +247,8 @@ def search(table: DataFrame, scratch: Scratch, *, is_query, k: int = 10, target:
     def measure(key, found: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"query_uid": [], "query_id": [], "class": [], "score": []}
         if len(found) and len(asking):
-            close = distances(key, found, asking) <= np.nextafter(asking["reach"].fillna(np.inf).to_numpy(np.float32), np.float32(np.inf))[:, None]
+            d, reach_of = distances(found, asking), asking["reach"].fillna(np.inf).to_numpy(np.float32)
+            close = np.isfinite(d) & (d <= reach_of[:, None])
             x, q = stack(found["x"]).astype(np.float64), stack(asking["x"]).astype(np.float64)
             of, size = found["class"].to_numpy(), found["size"].to_numpy()
             for i, (uid, qid) in enumerate(zip(asking["uid"], asking["id"])):
