@@ -24,8 +24,10 @@ one by one; without labels of both kinds every score is 0.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +57,7 @@ def _stem(word: str) -> bytes:
     return f" {word} "[:STEM].encode()
 
 
-def _counts(docs: list[list[str]], key) -> Counter:
+def _counts(docs: Iterable[list[str]], key) -> Counter:
     c: Counter = Counter()
     for d in docs:
         c.update({key(w) for w in d if len(w) > 2})
@@ -80,8 +82,8 @@ class Distance:
         a, b = _counts(toxic, _stem), _counts(clean, _stem)
         least = max(3, 0.012 * len(toxic))
         typical = {s for s, n in a.items() if n >= least and n / len(toxic) >= 4 * (b[s] + 0.5) / len(clean)}
-        words = _counts([[w for w in d if _stem(w) in typical] for d in toxic], str)
-        ordinary = _counts([[w for w in d if _stem(w) not in typical] for d in clean], str)
+        words = _counts(([w for w in d if _stem(w) in typical] for d in toxic), str)
+        ordinary = _counts(([w for w in d if _stem(w) not in typical] for d in clean), str)
         rank = lambda c: [w for w, _ in sorted(c.items(), key=lambda x: (x[1], x[0]))]
         signs = (" " + " ".join(rank(words)) + " ").encode()[-TYPICAL:]
         common = (" " + " ".join(rank(ordinary)) + " ").encode()
@@ -149,19 +151,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weight[1:] + self.weight[0], -30, 30)))
 
 
-def fit(rows: list[tuple[str, int]]) -> Model:
-    """A model from (text, toxic 0 or 1)."""
-    docs = [tokens(t or "") for t, _ in rows]
-    y = np.array([v for _, v in rows])
-    if not len(rows) or y.min() == y.max():
+def fit(rows: Iterable[tuple[str, int]]) -> Model:
+    """A model from (text, toxic 0 or 1); a word is one object in all texts, to bound the driver's memory."""
+    docs, kinds, words = [], [], {}
+    for t, v in rows:
+        docs.append([words.setdefault(w, w) for w in tokens(t or "")])
+        kinds.append(v)
+    y = np.array(kinds)
+    if not len(docs) or y.min() == y.max():
         return Model(None)
     seen, alone = set(), []  # copies would make any of their words look typical
     for k, d in enumerate(docs):
-        key = frozenset(d)
+        key = hashlib.sha256("\0".join(sorted(set(d))).encode()).digest()
         alone.append(key not in seen)
         seen.add(key)
     distance = Distance.train([d for d, v, a in zip(docs, y, alone) if v and a], [d for d, v, a in zip(docs, y, alone) if not v and a])
-    some = sorted({w for d in docs for w in d if len(w) > 2})
+    some = sorted(w for w in words if len(w) > 2)
     model = Model(distance, int(distance.lengths(some)[0].min()) if some else 0)
     x = model.features(model.counts(docs))
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-3
@@ -193,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     texts = docs.select("doc_id", "text").where(F.octet_length("text") <= MAX_BYTES).join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
     # rows that repeat an id give one text, so there are no more than picked rows; the same however they are dealt
     texts = texts.groupBy("_id", "toxic").agg(F.min("text").alias("text")).toArrow().sort_by([("_id", "ascending"), ("toxic", "ascending")])
-    return fit(list(zip(texts.column("text").to_pylist(), texts.column("toxic").to_pylist())))
+    return fit((t.as_py(), v.as_py()) for t, v in zip(texts.column("text"), texts.column("toxic")))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: bool = False) -> DataFrame:
