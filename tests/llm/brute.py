@@ -94,3 +94,75 @@ def repeats(docs, n=400):
         kept = bytes(b for b, g in zip(t, gone) if not g)
         out.append((d, len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def tokenizers_of(folder="/opt/tokenizers"):
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(f"{folder}/byte_bpe_50k.json")
+    a.encode_special_tokens = True
+    return a, sentencepiece.SentencePieceProcessor(model_file=f"{folder}/piece_bpe_32k.model")
+
+
+def aligned(texts, tokenizers=None):
+    """texts -> (n_a, n_b, n_groups, n_links, n_best, count_sum, groups), whole texts through both tokenizers."""
+    a, b = tokenizers or tokenizers_of()
+    own = [x for x in range(256) if 33 <= x <= 126 or 161 <= x <= 172 or 174 <= x]
+    back = {chr(x): x for x in own} | {chr(256 + i): x for i, x in enumerate(sorted(set(range(256)) - set(own)))}
+
+    def piece(i):
+        p = b.id_to_piece(i)
+        return bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode()
+
+    done = []
+    for t in texts:
+        ids_a = a.encode(" " + t, add_special_tokens=False).ids if t else []
+        ids_b = b.encode(t) if t else []
+        of_a = [bytes(back[c] for c in a.id_to_token(i)) for i in ids_a]
+        of_b = [piece(i) for i in ids_b]
+        if not t or not b"".join(of_a) == b"".join(of_b) == (" " + t).encode():
+            done.append(None)
+            continue
+        spans = []
+        for parts in (of_a, of_b):
+            at, got = 0, []
+            for x in parts:
+                got.append((at, at + len(x)))
+                at += len(x)
+            spans.append(got)
+        both = {e for _, e in spans[0]} & {e for _, e in spans[1]}
+        groups, i, j = [], 0, 0
+        for e in sorted(both):
+            ga, gb = [], []
+            while i < len(ids_a) and spans[0][i][1] <= e:
+                ga.append(ids_a[i])
+                i += 1
+            while j < len(ids_b) and spans[1][j][1] <= e:
+                gb.append(ids_b[j])
+                j += 1
+            groups.append((ga, gb))
+        links, j0 = [], 0
+        for x, (p, q) in zip(ids_a, spans[0]):
+            while spans[1][j0][1] <= p:
+                j0 += 1
+            j = j0
+            while j < len(ids_b) and spans[1][j][0] < q:
+                links.append((x, ids_b[j]))
+                j += 1
+        done.append((len(ids_a), len(ids_b), groups, links))
+    count = Counter(x for d in done if d for x in d[3])
+    most = defaultdict(int)
+    for (_, y), n in count.items():
+        most[y] = max(most[y], n)
+    out = []
+    for d in done:
+        if d is None:
+            out.append((0, 0, 0, 0, 0, 0, ""))
+        else:
+            text = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in d[2])
+            out.append((d[0], d[1], len(d[2]), len(d[3]), sum(count[x] == most[x[1]] for x in d[3]), sum(count[x] for x in d[3]), text))
+    return out

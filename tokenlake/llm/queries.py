@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_pages, html_tree, ivfpq, langmodel, minhash, mixing, pii, suffix_dedup, toxicity, url_filter
+from . import alignment, decontaminate, html_pages, html_tree, ivfpq, langmodel, minhash, mixing, pii, suffix_dedup, toxicity, url_filter
+from .chunks import FOLDER
 from .common import Scratch, table
 
 #: The contract's rules; they outrank the method's own.
@@ -18,6 +19,11 @@ URL_RULES = (
 )
 
 
+def tokenizers(spark: SparkSession) -> str:
+    """The folder of the public tokenizers' files."""
+    return spark.conf.get("spark.tokenlake.tokenizers", FOLDER)
+
+
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = html_tree.train(html_pages.labelled_pages())
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -76,6 +82,12 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivfpq.search(table(spark, sf_dir, "embeddings"), Scratch(spark, "op10"), is_query=lambda i: i % 100 == 0)
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = alignment.align(docs, Scratch(spark, "op13"), ["doc_id"], digest=True, folder=tokenizers(spark))
+    return got.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_url_filters": op2_url_filters,
@@ -87,6 +99,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_pii": op9_pii,
     "op10_ann": op10_ann,
+    "op13_alignment": op13_alignment,
 }
 
 _WORDS = ", ".join(f"'{r.name}'" for r in url_filter.DEFAULT_RULES)
