@@ -166,3 +166,72 @@ def aligned(texts, tokenizers=None):
             text = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in d[2])
             out.append((d[0], d[1], len(d[2]), len(d[3]), sum(count[x] == most[x[1]] for x in d[3]), sum(count[x] for x in d[3]), text))
     return out
+
+
+def damaged(rows):
+    """rows of (conv_id, turn, role, text) after the contract's damage; and all conversation ids."""
+    import zlib
+
+    out = []
+    for c, t, role, text in rows:
+        k = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        if k == 1:
+            text = ""
+        elif k == 2:
+            text = re.sub("[.!?]", "", text)
+        elif k == 4:
+            role = "user"
+        out += [(c, t, role, text)] * (0 if k == 0 else 2 if k == 3 else 1)
+    return out, {r[0] for r in rows}
+
+
+def repaired(rows, ids):
+    """conv_id -> (gaps, blank, duplicate, truncated, illegal, cost, audit, text), by a plain table of best edits row by row."""
+    by = defaultdict(list)
+    for c, t, role, text in rows:
+        by[c].append((t is not None, t or 0, role, text))
+    out = {}
+    for c in ids:
+        got = sorted(by[c])
+        turns = {t for known, t, _, _ in got if known}
+        gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+        seen, faults = set(), []
+        for _, _, role, text in got:
+            last = re.findall(r"[^\x20\x09-\x0D]", text)
+            faults.append("blank" if not last else "duplicate" if (role, text) in seen else "truncated" if last[-1] not in ".!?" else "")
+            seen.add((role, text))
+        illegal = sum(a[2][:1] + b[2][:1] not in ("su", "ua", "au") for a, b in zip(got, got[1:]))
+        put = {"": "u", "s": "u", "u": "a", "a": "u"}
+        full = {"u": "user", "a": "assistant"}
+
+        def inserted(best):
+            for _ in range(3):
+                for q, (cost, audit, lines) in list(best.items()):
+                    new = (cost + 2, audit + "I", (*lines, full[put[q]] + ":"))
+                    if put[q] not in best or new < best[put[q]]:
+                        best[put[q]] = new
+            return best
+
+        best = {"": (0, "", ())}
+        for (_, _, role, text), fault in zip(got, faults):
+            new = {}
+
+            def offer(q, x, new=new):
+                if q not in new or x < new[q]:
+                    new[q] = x
+
+            for q, (cost, audit, lines) in inserted(best).items():
+                offer(q, (cost + 3, audit + "D", lines))
+                if fault in ("blank", "duplicate"):
+                    continue
+                cut = fault == "truncated"
+                ini = role[:1]
+                if (ini == "s" and q == "") or (ini and ini == put[q]):
+                    offer(ini, (cost + cut, audit + "K", (*lines, role + ":" + text)))
+                offer(put[q], (cost + 2 + cut, audit + "R", (*lines, full[put[q]] + ":" + text)))
+            best = new
+        ends = inserted(best)
+        cost, audit, lines = min(ends[q] for q in ("", "a") if q in ends)
+        out[c] = (gaps, faults.count("blank"), faults.count("duplicate"), faults.count("truncated"), illegal, cost, audit, "\n".join(lines))
+    return out

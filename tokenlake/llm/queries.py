@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, html_pages, html_tree, ivfpq, langmodel, minhash, mixing, pii, suffix_dedup, toxicity, url_filter
+from . import alignment, decontaminate, dialogue, html_pages, html_tree, ivfpq, langmodel, minhash, mixing, pii, suffix_dedup, toxicity, url_filter
 from .chunks import FOLDER
 from .common import Scratch, table
 
@@ -82,6 +82,11 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivfpq.search(table(spark, sf_dir, "embeddings"), Scratch(spark, "op10"), is_query=lambda i: i % 100 == 0)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, n = dialogue.damaged(table(spark, sf_dir, "conversations"))
+    return dialogue.repair(rows, Scratch(spark, "op12"), n, digest=True).withColumnRenamed("repaired", "repaired_sha256")
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = alignment.align(docs, Scratch(spark, "op13"), ["doc_id"], digest=True, folder=tokenizers(spark))
@@ -99,6 +104,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_pii": op9_pii,
     "op10_ann": op10_ann,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_alignment": op13_alignment,
 }
 
@@ -169,4 +175,64 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
         FROM d LEFT JOIN h ON d.r = h.r LEFT JOIN t ON d.r = t.r
     """,
+    "op12_conversation_repair": r"""
+        WITH RECURSIVE crc AS (
+          SELECT list(v ORDER BY b) AS t FROM (
+            SELECT b, list_reduce(range(8), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, b) AS v FROM range(256) x(b))),
+        k AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+        c AS (
+          SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 xor(list_reduce(list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(k[i]) AS BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295), 4294967295) % 20 AS f
+          FROM k, crc),
+        d AS (
+          SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+                 CASE WHEN f = 1 THEN '' WHEN f = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy
+          FROM c WHERE f <> 0),
+        p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen FROM p),
+        r AS (
+          SELECT *, left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS prev,
+                 CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+                      WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' ELSE '' END AS fault FROM o),
+        stats AS (
+          SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                 count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                 count(*) FILTER (prev IS NOT NULL AND prev || ini NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM r GROUP BY conv_id),
+        ins(q, k, q2) AS (VALUES ('0', 0, '0'), ('0', 1, 'u'), ('0', 2, 'a'), ('s', 0, 's'), ('s', 1, 'u'), ('s', 2, 'a'), ('u', 0, 'u'), ('u', 1, 'a'), ('a', 0, 'a'), ('a', 1, 'u')),
+        does(q, edit, ini, q2) AS (
+          VALUES ('0', 'K', 's', 's'), ('0', 'K', 'u', 'u'), ('s', 'K', 'u', 'u'), ('a', 'K', 'u', 'u'), ('u', 'K', 'a', 'a'),
+                 ('0', 'R', '', 'u'), ('s', 'R', '', 'u'), ('a', 'R', '', 'u'), ('u', 'R', '', 'a'), ('0', 'D', '', '0'), ('s', 'D', '', 's'), ('u', 'D', '', 'u'), ('a', 'D', '', 'a')),
+        walk AS (
+          SELECT conv_id, CAST(0 AS BIGINT) AS i, '0' AS q, CAST(0 AS BIGINT) AS cost, '' AS audit, '' AS lines FROM stats
+          UNION ALL
+          SELECT conv_id, i, q, b.cost, b.audit, b.lines FROM (
+            SELECT r.conv_id, r.i, does.q2 AS q,
+                   arg_min({'cost': CAST(w.cost + 2 * ins.k + CASE does.edit WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN does.edit <> 'D' AND r.fault = 'truncated' THEN 1 ELSE 0 END AS BIGINT),
+                            'audit': w.audit || repeat('I', ins.k) || does.edit,
+                            'lines': w.lines || CASE WHEN ins.k = 0 THEN '' WHEN ins.k = 2 OR ins.q2 = 'u' THEN E'user:
+' ELSE '' END || CASE WHEN ins.k > 0 AND ins.q2 = 'a' THEN E'assistant:
+' ELSE '' END
+                              || CASE does.edit WHEN 'D' THEN '' WHEN 'K' THEN r.role || ':' || r.text || E'
+' ELSE CASE does.q2 WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || r.text || E'
+' END},
+                           {'c': w.cost + 2 * ins.k + CASE does.edit WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN does.edit <> 'D' AND r.fault = 'truncated' THEN 1 ELSE 0 END,
+                            'a': w.audit || repeat('I', ins.k) || does.edit}) AS b
+            FROM walk w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1 JOIN ins ON ins.q = w.q
+                 JOIN does ON does.q = ins.q2 AND (does.edit = 'D' OR r.fault NOT IN ('blank', 'duplicate')) AND (does.edit <> 'K' OR does.ini = r.ini)
+            GROUP BY r.conv_id, r.i, does.q2)),
+        ended AS (
+          SELECT w.conv_id, w.cost + CASE w.q WHEN 's' THEN 4 WHEN 'u' THEN 2 ELSE 0 END AS cost, w.audit || CASE w.q WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END AS audit,
+                 w.lines || CASE w.q WHEN 's' THEN E'user:
+assistant:
+' WHEN 'u' THEN E'assistant:
+' ELSE '' END AS lines
+          FROM walk w JOIN stats s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.n = w.i),
+        best AS (SELECT conv_id, arg_min({'cost': cost, 'audit': audit, 'lines': lines}, {'c': cost, 'a': audit}) AS b FROM ended GROUP BY conv_id)
+        SELECT a.conv_id, coalesce(s.gaps, 0) AS gaps, coalesce(s.blank, 0) AS blank, coalesce(s.duplicate, 0) AS duplicate, coalesce(s.truncated, 0) AS truncated,
+               coalesce(s.illegal, 0) AS illegal, coalesce(b.b.cost, 0) AS cost, coalesce(b.b.audit, '') AS audit, sha256(coalesce(regexp_replace(b.b.lines, '
+$', ''), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM c) a LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM a.conv_id
+    """,
 }
