@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, dialogue, html_pages, html_tree, ivfpq, langmodel, minhash, mixing, pii, suffix_dedup, toxicity, url_filter
+from . import alignment, decontaminate, dialogue, html_pages, html_tree, ivfpq, langmodel, minhash, mixing, packing, pii, suffix_dedup, toxicity, url_filter
 from .chunks import FOLDER
 from .common import Scratch, table
 
@@ -82,6 +82,13 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivfpq.search(table(spark, sf_dir, "embeddings"), Scratch(spark, "op10"), is_query=lambda i: i % 100 == 0)
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = packing.pieces(docs, ["doc_id"], tokenizers(spark)).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    packed = packing.pack(cut, Scratch(spark, "op11"))
+    return packed.select("row.doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, n = dialogue.damaged(table(spark, sf_dir, "conversations"))
     return dialogue.repair(rows, Scratch(spark, "op12"), n, digest=True).withColumnRenamed("repaired", "repaired_sha256")
@@ -104,6 +111,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_pii": op9_pii,
     "op10_ann": op10_ann,
+    "op11_packing": op11_packing,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_alignment": op13_alignment,
 }
