@@ -426,17 +426,18 @@ def decode_fork(spark, sf_dir):
 
 @_query(
     "apportioned_bytes",
-    f"""WITH {_LOG}, s AS (SELECT source_file, sum(CASE WHEN role <> 'assistant' THEN bytes ELSE 0 END) AS ib, sum(CASE WHEN role = 'assistant' THEN bytes ELSE 0 END) AS ob, count(*) AS n FROM log GROUP BY 1), m(model, share) AS (VALUES ('a', 1), ('b', 3))
-      SELECT source_file, model, CAST(round(ib * share / 4.0) AS BIGINT) AS input_bytes, CAST(round(ob * share / 4.0) AS BIGINT) AS output_bytes, CAST(n AS BIGINT) AS calls FROM s, m""",
+    f"""WITH {_LOG}, s AS (SELECT source_file, sum(CASE WHEN role <> 'assistant' THEN bytes ELSE 0 END) AS ib, sum(CASE WHEN role = 'assistant' THEN bytes ELSE 0 END) AS ob, count(*) AS n FROM log GROUP BY 1), m(model, tokens) AS (VALUES ('a', 16), ('b', 30))
+      SELECT source_file, model, CAST(round(ib * (tokens / 46)) AS BIGINT) AS input_bytes, CAST(round(ob * (tokens / 46)) AS BIGINT) AS output_bytes, CAST(n AS BIGINT) AS calls FROM s, m""",
 )
 def apportioned_bytes(spark, sf_dir):
-    """A stream's bytes over its shutdown records, by share of tokens."""
+    """A stream's bytes over its shutdown records: one share of all tokens for input and output, caches left out."""
     log = views.session_log(spark, sf_dir)
     a = F.col("role") == "assistant"
-    stream = log.select("source_file", F.when(a, 0).otherwise(F.col("bytes")).alias("input_bytes"), F.when(a, F.col("bytes")).otherwise(0).alias("output_bytes"), F.lit(0).alias("rounds"), F.lit(1).alias("calls"))
+    totals = log.groupBy("source_file").agg(F.sum(F.when(a, 0).otherwise(F.col("bytes"))).alias("input_bytes"), F.sum(F.when(a, F.col("bytes")).otherwise(0)).alias("output_bytes"), F.lit(0).alias("rounds"), F.count("*").alias("calls"))
     files = log.select("source_file").distinct()
-    records = files.select("source_file", F.explode(F.array(_st(model="a", n=10), _st(model="b", n=30))).alias("x")).select("source_file", "x.model", F.col("x.n").alias("prompt"), F.col("x.n").alias("completion"))
-    return decoders.apportion(decoders.completed(records), decoders.completed(stream)).select("source_file", "model", "input_bytes", "output_bytes", "calls")
+    both = F.array(_st(model="a", p=10, c=2, r=4, cr=99), _st(model="b", p=0, c=30, r=0, cr=0))
+    records = files.select("source_file", F.explode(both).alias("x")).select("source_file", "x.model", F.col("x.p").alias("prompt"), F.col("x.c").alias("completion"), F.col("x.r").alias("reasoning"), F.col("x.cr").alias("cache_read"))
+    return decoders.apportion(decoders.completed(records), totals).select("source_file", "model", "input_bytes", "output_bytes", "calls")
 
 
 @_query(

@@ -44,21 +44,15 @@ def before(*order: str):
     return in_file(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def rounds(rows: DataFrame, is_user: Column, is_call: Column) -> DataFrame:
-    """rows with ``rounds``: 1 on the first call after each user line, else 0; without any, 1 on the file's first call."""
-    marked = rows.withColumns({"_call": is_call, "_user": F.sum(is_user.cast("int")).over(so_far())})
-    nth = F.sum(F.col("_call").cast("int")).over(Window.partitionBy("source_file", "_user").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    first = (F.col("_call") & (nth == 1) & (F.col("_user") > 0)).cast("long")
-    marked = marked.withColumn("rounds", first)
-    none = F.sum("rounds").over(Window.partitionBy("source_file")) == 0
-    call_no = F.sum(F.col("_call").cast("int")).over(so_far())
-    return marked.withColumn("rounds", F.when(none & F.col("_call") & (call_no == 1), 1).otherwise(F.col("rounds")).cast("long")).drop("_call", "_user")
-
-
 def with_origin_key(rows: DataFrame, event_id: str, slot: Column | int = 0) -> DataFrame:
-    """``origin_key``: event id, else byte offset; repeats get :duplicate:n, past keys that are literally so."""
+    """``origin_key``: event id if not empty, else byte offset; then the slot."""
     slot = F.lit(slot) if isinstance(slot, int) else slot
-    base = F.concat(F.coalesce(F.concat(F.lit("event:"), F.col(event_id)), F.concat(F.lit("offset:"), F.col("byte_offset").cast("string"))), F.lit(":slot:"), slot.cast("string"))
+    name = F.coalesce(F.concat(F.lit("event:"), F.nullif(F.col(event_id), F.lit(""))), F.concat(F.lit("offset:"), F.col("byte_offset").cast("string")))
+    return with_distinct_key(rows, F.concat(name, F.lit(":slot:"), slot.cast("string")))
+
+
+def with_distinct_key(rows: DataFrame, base: Column) -> DataFrame:
+    """``origin_key`` from a file's base keys; repeats get :duplicate:n, past keys that are literally so."""
     keyed = rows.withColumn("_base", base)
     n = F.row_number().over(Window.partitionBy("source_file", "_base").orderBy("line_no")) - 1
     keyed = keyed.withColumn("_n", n).withColumn("origin_key", F.when(F.col("_n") == 0, F.col("_base")).otherwise(F.concat("_base", F.lit(":duplicate:"), F.col("_n").cast("string"))))
