@@ -4,22 +4,100 @@ Which route prices a record does not depend on time (a route with any event
 always has a price), so routes are chosen for each distinct (provider, model);
 only the event is looked up by time. Events are the small side: they are
 gathered by route and month, each month with the price that holds at its start,
-and records meet them in equal joins on route and month. No window holds
-records, so a route with a third of them is a hot join key, which Spark
+and records meet them in equal joins on route and month. A month with many
+events is cut into spans of as many events as there are spans; a record finds its span, and in it its
+event, by halving, so it meets the square root of a month's events. No window
+holds records, so a route with a third of them is a hot join key, which Spark
 broadcasts past or splits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.storage import stored
 from .report import COSTS
 
 RATES = ("input", "output", "reasoning", "cache_read", "cache_write")
 
 
+#: Events of a route's month that stay in one array; of more, each span holds the square root of their number.
+SPAN = 256
+
+
+def _upto(sorted_: Column, ts: Column) -> Column:
+    """How many times of a sorted array are at or before ts, by halving; null without an array."""
+    n = F.size(sorted_)
+    start = F.struct(F.lit(0).alias("lo"), n.alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        late = F.get(sorted_, mid) > ts
+        closed = s["lo"] >= s["hi"]
+        return F.struct(F.when(closed | late, s["lo"]).otherwise(mid + 1).alias("lo"), F.when(~closed & late, mid).otherwise(s["hi"]).alias("hi"))
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(n + F.lit(1))).cast("int"))
+    return F.when(sorted_.isNotNull(), F.aggregate(rounds, start, halve, lambda s: s["lo"]))
+
+
+class PriceIndex:
+    """Events for lookups, by route (_k0, ...), month and span; one small table, written.
+
+    spans: sorted times and values; ends: the first value of a route, the last one and its
+    month; months: for each month up to the next with events, the value that holds at its start and its
+    own events, or where they are in several spans, the times at which these start.
+    """
+
+    def __init__(self, events: DataFrame, keys: list[str], value: str, order: list[str], ts: str = "ts"):
+        ks = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+        kn = [f"_k{i}" for i in range(len(keys))]
+        at = F.struct(F.col(ts).alias("t"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+        ev = events.where(F.col(ts).isNotNull()).select(*ks, F.date_trunc("month", ts).alias("_month"), at.alias("at"), F.struct(F.col(value).alias("v")).alias("_v"))
+        # of events of one time the last one counts
+        ev = ev.groupBy(*kn, "_month", F.col("at.t").alias("t")).agg(F.max_by("_v", "at").alias("_v"), F.min_by("_v", "at").alias("_v0"))
+        w = Window.partitionBy(*kn, "_month")
+        size = F.greatest(F.lit(SPAN), F.ceil(F.sqrt(F.count("*").over(w))))
+        ev = ev.withColumn("_span", F.floor((F.row_number().over(w.orderBy("t")) - 1) / size).cast("int"))
+        spans = ev.groupBy(*kn, "_month", "_span").agg(F.sort_array(F.collect_list(F.struct("t", "_v"))).alias("_e"), F.min_by("_v0", "t").alias("_v0"))
+        spans = spans.select(*kn, "_month", "_span", F.transform("_e", lambda x: x["t"]).alias("_times"), F.transform("_e", lambda x: x["_v"]).alias("_values"), "_v0")
+        seen = Observation()
+        self.keys, self.spans = kn, stored(spans.observe(seen, F.count_if(F.col("_span") > 0).alias("n")), "prices")
+        self.cut = seen.get["n"] > 0
+        held = self.spans.groupBy(*kn, "_month").agg(
+            F.sort_array(F.collect_list(F.get("_times", F.lit(0)))).alias("_starts"), F.min_by("_v0", "_span").alias("_v0"), F.max_by(F.element_at("_values", -1), "_span").alias("_end_v"),
+            F.first("_times").alias("_times"), F.first("_values").alias("_values"),
+        )
+        w = Window.partitionBy(*kn).orderBy("_month")
+        held = held.withColumns({"_carry": F.lag("_end_v").over(w), "_next": F.lead("_month").over(w)})
+        # every month up to the next one with events; the last month's price holds for good
+        until = F.coalesce(F.add_months("_next", -1).cast("timestamp"), F.col("_from"))
+        each = held.withColumnRenamed("_month", "_from").withColumn("_month", F.explode(F.sequence("_from", until, F.expr("interval 1 month"))))
+        own = F.col("_month") == F.col("_from")
+        one = F.size("_starts") == 1
+        self.months = each.select(
+            *kn, "_month", F.when(own, F.col("_carry")).otherwise(F.col("_end_v")).alias("_carry"), F.when(own & ~one, F.col("_starts")).alias("_starts"),
+            F.when(own & one, F.col("_times")).alias("_times"), F.when(own & one, F.col("_values")).alias("_values"),
+        )
+        self.ends = held.groupBy(*kn).agg(F.min_by("_v0", "_month").alias("_first"), F.max("_month").alias("_end"), F.max_by("_end_v", "_month").alias("_last"))
+
+    def look_up(self, rows: DataFrame, keys: list[str], value: str, ts: str = "ts") -> DataFrame:
+        """rows with ``value`` as of their time."""
+        on = [F.col(k) == F.col(n) for k, n in zip(keys, self.keys)]
+        month = F.date_trunc("month", ts)
+        out = rows.join(self.ends, on, "left").drop(*self.keys)
+        out = out.join(self.months, [*on, month == F.col("_month")], "left").drop(*self.keys, "_month")
+        in_month = F.get("_values", _upto(F.col("_times"), F.col(ts)) - 1)
+        if self.cut:
+            out = out.withColumns({"_at": _upto(F.col("_starts"), F.col(ts)) - 1, "_one": in_month}).drop("_starts", "_times", "_values")
+            spans = self.spans.select(*self.keys, "_month", "_span", "_times", "_values")
+            out = out.join(spans, [*on, month == F.col("_month"), F.col("_at") == F.col("_span")], "left").drop(*self.keys, "_month", "_span", "_at")
+            in_month = F.coalesce(F.col("_one"), in_month)
+        found = F.coalesce(in_month, "_carry", F.when(month > F.col("_end"), F.col("_last")), F.col("_first"))
+        return out.withColumn(value, found["v"]).drop("_first", "_end", "_last", "_carry", "_starts", "_times", "_values", "_one")
+
+
 def asof(rows: DataFrame, events: DataFrame, keys: list[str], value: str, order: list[str], ts: str = "ts") -> DataFrame:
     """rows with ``value`` of the latest event of the same keys at or before their time.
 
@@ -27,27 +105,7 @@ def asof(rows: DataFrame, events: DataFrame, keys: list[str], value: str, order:
     null key, it is null. Events of one time follow ``order``. ``value`` may be
     a struct, whose null fields are kept.
     """
-    month = lambda c: F.date_trunc("month", c)
-    ks = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
-    kn = [f"_k{i}" for i in range(len(keys))]
-    at = F.struct(F.col(ts).alias("t"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
-    ev = events.where(F.col(ts).isNotNull()).select(*ks, month(F.col(ts)).alias("_m"), at.alias("at"), F.struct(F.col(value).alias("v")).alias("_v"))
-    # of events of one time the last one counts
-    ev = ev.groupBy(*kn, "_m", F.col("at.t").alias("t")).agg(F.max_by("_v", "at").alias("_v"), F.min_by("_v", "at").alias("_v0"))
-    held = ev.groupBy(*kn, "_m").agg(F.sort_array(F.collect_list(F.struct("t", "_v"))).alias("_e"), F.min_by("_v0", "t").alias("_v0"))
-    w = Window.partitionBy(*kn).orderBy("_m")
-    held = held.withColumns({"_carry": F.lag(F.element_at("_e", -1)["_v"]).over(w), "_next": F.lead("_m").over(w)})
-    # every month up to the next one with events; the last month's price holds for good
-    until = F.coalesce(F.add_months("_next", -1).cast("timestamp"), F.col("_m"))
-    months = held.select(*kn, "_carry", "_e", F.col("_m").alias("_from"), F.explode(F.sequence("_m", until, F.expr("interval 1 month"))).alias("_m"))
-    months = months.select(*kn, "_m", F.when(F.col("_m") == F.col("_from"), F.col("_carry")).otherwise(F.element_at("_e", -1)["_v"]).alias("_carry"), F.when(F.col("_m") == F.col("_from"), F.col("_e")).alias("_e"))
-    ends = held.groupBy(*kn).agg(F.min_by("_v0", "_m").alias("_first"), F.max("_m").alias("_end"), F.max_by(F.element_at("_e", -1)["_v"], "_m").alias("_last"))
-    on = [F.col(k) == F.col(n) for k, n in zip(keys, kn)]
-    out = rows.join(ends, on, "left").drop(*kn)
-    out = out.join(months.withColumnRenamed("_m", "_month"), [*on, month(F.col(ts)) == F.col("_month")], "left").drop(*kn)
-    in_month = F.try_element_at(F.filter("_e", lambda e: e["t"] <= F.col(ts)), F.lit(-1))["_v"]
-    found = F.coalesce(in_month, "_carry", F.when(month(F.col(ts)) > F.col("_end"), F.col("_last")), F.col("_first"))
-    return out.withColumn(value, found["v"]).drop("_first", "_end", "_last", "_month", "_carry", "_e")
+    return PriceIndex(events, keys, value, order, ts).look_up(rows, keys, value, ts)
 
 
 def choose_routes(pairs: DataFrame, events: DataFrame, families: DataFrame, official: DataFrame) -> DataFrame:
@@ -108,10 +166,10 @@ def price_usage(usage: DataFrame, events: DataFrame, families: DataFrame, offici
     more = ["canonical"] if named else []
     routes = routes.select(F.col("provider").alias("_p"), F.col("model").alias("_m"), *more, *both, "static_price", "static_official")
     rows = usage.join(routes, F.col("provider").eqNullSafe(F.col("_p")) & F.col("model").eqNullSafe(F.col("_m")), "left").drop("_p", "_m")
+    index = PriceIndex(upserts, ["provider", "model"], "price", ["sequence"])
     for route, price, fixed in (("route", "provider_price", "static_price"), ("official_route", "official_price", "static_official")):
         keys = [f"_{route}_provider", f"_{route}_model"]
-        ev = upserts.select(F.col("provider").alias(keys[0]), F.col("model").alias(keys[1]), "ts", "sequence", F.col("price").alias(price))
-        rows = asof(rows, ev, keys, price, ["sequence"]).withColumn(price, F.when(F.col(keys[0]).isNull(), F.col(fixed)).otherwise(F.col(price))).drop(*keys, fixed)
+        rows = index.look_up(rows, keys, price).withColumn(price, F.when(F.col(keys[0]).isNull(), F.col(fixed)).otherwise(F.col(price))).drop(*keys, fixed)
     return rows
 
 

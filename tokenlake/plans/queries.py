@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..functions.storage import folder
 from ..operators import activity, names, price_history, pricing, report, sessions
+from ..streaming import usage as usage_stream
 from . import views
 
 QUERIES: dict = {}
@@ -328,16 +330,16 @@ def cost_split_columns(spark, sf_dir):
 @_query(
     "asof_at_scale",
     """WITH us AS (SELECT l_orderkey, l_linenumber, l_shipdate AS ts, o_orderpriority || '|m' || CAST(o_custkey % 50 AS VARCHAR) AS r FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-      e AS (SELECT o_orderdate AS ts, o_orderpriority || '|m' || CAST(o_custkey % 50 AS VARCHAR) AS r, o_orderkey AS seq, o_totalprice / 10000 AS price FROM orders WHERE o_orderstatus <> 'F'),
+      e AS (SELECT o_orderdate AS ts, o_orderpriority || '|m' || CAST(o_custkey % 50 AS VARCHAR) AS r, o_orderkey AS seq, CAST(o_totalprice / 10000 AS DECIMAL(18,6)) AS price FROM orders WHERE o_orderstatus <> 'F'),
       p AS (SELECT r, ts, arg_max(price, seq) AS price FROM e GROUP BY ALL), f AS (SELECT r, arg_min(price, (ts, seq)) AS price FROM e GROUP BY r)
-      SELECT us.r AS route, count(*) AS n, round(sum(coalesce(p.price, f.price)), 4) AS price FROM us ASOF LEFT JOIN p ON us.r = p.r AND us.ts >= p.ts LEFT JOIN f ON us.r = f.r GROUP BY us.r""",
+      SELECT us.r AS route, count(*) AS n, CAST(sum(coalesce(p.price, f.price)) AS DOUBLE) AS price FROM us ASOF LEFT JOIN p ON us.r = p.r AND us.ts >= p.ts LEFT JOIN f ON us.r = f.r GROUP BY us.r""",
 )
 def asof_at_scale(spark, sf_dir):
     li, o = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders"))
     route = F.concat("o_orderpriority", F.lit("|m"), (F.col("o_custkey") % 50).cast("string")).alias("route")
     us = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(route, F.col("l_shipdate").cast("timestamp").alias("ts"))
-    ev = o.where("o_orderstatus <> 'F'").select(route, F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderkey").alias("sequence"), (F.col("o_totalprice") / 10000).alias("price"))
-    return pricing.asof(us, ev, ["route"], "price", ["sequence"]).groupBy("route").agg(F.count("*").alias("n"), F.round(F.sum("price"), 4).alias("price"))
+    ev = o.where("o_orderstatus <> 'F'").select(route, F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderkey").alias("sequence"), (F.col("o_totalprice") / 10000).cast("decimal(18,6)").alias("price"))
+    return pricing.asof(us, ev, ["route"], "price", ["sequence"]).groupBy("route").agg(F.count("*").alias("n"), F.sum("price").cast("double").alias("price"))
 
 
 # --- activity -------------------------------------------------------------
@@ -482,3 +484,34 @@ def change_markers(spark, sf_dir):
 )
 def aligned_series(spark, sf_dir):
     return _plain(price_history.aligned(_series(spark, sf_dir).where("field = 'input'"), 1_709_251_200_000), ["value"])
+
+
+# --- streams --------------------------------------------------------------
+
+#: Files of one arrival, which are read together.
+FILES = 4
+
+
+@_query(
+    "hourly_stream",
+    f"""WITH usage AS ({views.USAGE_DUCK}), b AS (SELECT *, least(CAST(floor(extract(day FROM ts) / 8) AS INT) + CASE reasoning % 50 WHEN 7 THEN 2 WHEN 8 THEN 1 ELSE 0 END, 4) AS batch, date_trunc('hour', ts) AS hour FROM usage),
+      seen AS (SELECT batch, max(ts) AS upto FROM b GROUP BY 1), mark AS (SELECT x.batch, max(y.upto) - INTERVAL 2 HOUR AS mark FROM seen x LEFT JOIN seen y ON y.batch < x.batch - 1 GROUP BY 1),
+      kept AS (SELECT b.* FROM b JOIN mark USING (batch) WHERE mark IS NULL OR hour + INTERVAL 1 HOUR > mark)
+      SELECT hour, source, CAST(sum(prompt + cache_read + cache_write + completion + reasoning) AS BIGINT) AS tokens, count(*) AS records FROM kept
+      WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM b) GROUP BY 1, 2""",
+)
+def hourly_stream(spark, sf_dir):
+    """Hours of a stream of five arrivals of eight days each, some rows one or two arrivals late.
+
+    Hours that the watermark has not passed are open. A row is late by the watermark that the
+    arrival before the last one left, as hours are closed after an arrival's rows are in.
+    """
+    usage = views.usage(spark, sf_dir)
+    batch = F.least(F.floor(F.dayofmonth("ts") / 8) + F.when(F.col("reasoning") % 50 == 7, 2).when(F.col("reasoning") % 50 == 8, 1).otherwise(0), F.lit(4))
+    made = usage.withColumn("batch", batch.cast("int"))
+    source, into = folder(spark, "arriving"), folder(spark, "hours")
+    for k in range(5):  # one after the other, as they would arrive
+        made.where(F.col("batch") == k).drop("batch").repartition(FILES).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(usage.schema).option("maxFilesPerTrigger", FILES).parquet(source)
+    usage_stream.closed_hours(stream, into, folder(spark, "hours-state")).awaitTermination()
+    return spark.read.parquet(into)
