@@ -79,10 +79,31 @@ def alias_conflicts(aliases: DataFrame) -> DataFrame:
     return twice.union(both.distinct())
 
 
-def resolution_audit(resolved: DataFrame) -> DataFrame:
-    """Counts of routes by confidence for each provider and in total (provider null)."""
+def resolution_audit(resolved: DataFrame, providers: list[str] | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """Counts of routes by confidence for each provider and in total (provider null); of some providers, or of official sources only."""
     kinds = ("exact", "normalized", "heuristic", "unknown")
-    return resolved.rollup("provider").agg(F.count("*").alias("routes"), *[F.count(F.when(F.col("confidence") == k, 1)).alias(k) for k in kinds], F.grouping("provider").alias("total"))
+    rows = of_sources(resolved, sources) if sources is not None else resolved
+    rows = rows.where(normal(F.col("provider")).isin([p.strip().lower() for p in providers])) if providers else rows
+    return rows.rollup("provider").agg(F.count("*").alias("routes"), *[F.count(F.when(F.col("confidence") == k, 1)).alias(k) for k in kinds], F.grouping("provider").alias("total"))
+
+
+def of_sources(routes: DataFrame, sources: DataFrame) -> DataFrame:
+    """Routes of official sources, with ``vendor``: of the source with the longest prefix of the model.
+
+    sources: (vendor, provider, model_prefix or null for all models of the provider). A provider's
+    sources are gathered into one row each, a short list, so no route meets another.
+    """
+    prefix = F.coalesce("model_prefix", F.lit(""))
+    lists = sources.select(F.col("provider").alias("_p"), F.struct(F.length(prefix).alias("n"), prefix.alias("prefix"), "vendor").alias("s")).groupBy("_p").agg(F.sort_array(F.collect_set("s"), asc=False).alias("_s"))
+    fit = F.filter("_s", lambda s: F.startswith(F.col("model"), s["prefix"]))
+    found = routes.join(lists, F.col("provider") == F.col("_p")).withColumn("_hit", F.try_element_at(fit, F.lit(1)))
+    return found.where("_hit is not null").withColumn("vendor", F.col("_hit.vendor")).drop("_p", "_s", "_hit")
+
+
+def unmatched_routes(resolved: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Routes (of official sources, if given) that no name was found for."""
+    rows = of_sources(resolved, sources) if sources is not None else resolved
+    return rows.where(F.col("confidence") == "unknown")
 
 
 def route_identity(path: Column) -> tuple[Column, Column]:
@@ -115,24 +136,51 @@ def extract_prices(docs: DataFrame, doc: str = "doc") -> DataFrame:
     return docs.withColumns({n: price(n) for n in names})
 
 
-def search_routes(families: DataFrame, text: str = "", provider: str | None = None, family: str | None = None, resolved_only: bool = False, page: int = 0, size: int = 100) -> DataFrame:
-    """A page of routes whose provider, model, canonical_name, family or release_date holds the text, whatever its case."""
-    rows = families
-    if provider:
-        rows = rows.where(F.col("provider") == provider)
-    if family:
-        rows = rows.where(F.col("family") == family)
+_SEARCHED = ("provider", "model", "canonical_name", "family", "release_date")
+
+
+def _holds(families: DataFrame, text: str, resolved_only: bool) -> Column:
+    """Whether a route holds a text, whatever its case, and is resolved where it has to be."""
+    out = F.lit(True)
     if resolved_only:
-        rows = rows.where(F.coalesce("canonical_name", F.lit("")) != "")
+        out = F.coalesce("canonical_name", F.lit("")) != ""
     if text:
-        hit = [F.coalesce(F.contains(F.lower(c), F.lit(text.lower())), F.lit(False)) for c in ("provider", "model", "canonical_name", "family", "release_date") if c in families.columns]
-        any_ = hit[0]
-        for h in hit[1:]:
-            any_ = any_ | h
-        rows = rows.where(any_)
+        hits = [F.coalesce(F.contains(F.lower(c), F.lit(text.lower())), F.lit(False)) for c in _SEARCHED if c in families.columns]
+        out = out & F.array_contains(F.array(*hits), True)
+    return out
+
+
+def search_routes(families: DataFrame, text: str = "", provider: str | None = None, family: str | None = None, resolved_only: bool = False, page: int = 0, size: int = 100) -> DataFrame:
+    """A page of routes whose provider, model, canonical_name, family or release_date holds the text, whatever its case."""
+    rows = families.where(_holds(families, text, resolved_only))
+    rows = rows.where(F.col("provider") == provider) if provider else rows
+    rows = rows.where(F.col("family") == family) if family else rows
     return rows.orderBy("provider", "model").offset(page * size).limit(size)
 
 
+def route_facets(families: DataFrame, text: str = "", provider: str | None = None, family: str | None = None, resolved_only: bool = False) -> DataFrame:
+    """(facet, value, routes, chosen): how many routes each provider and each family has under all filters but its own.
+
+    One pass over the routes and one shuffle of the values' partial counts. A
+    value without routes under the filters stays with 0, as it can be chosen.
+    """
+    chosen = {"provider": provider, "family": family}
+    fits = {f: F.coalesce(F.col(f) == v, F.lit(False)) if v else F.lit(True) for f, v in chosen.items()}
+    rows = families.select(*chosen, _holds(families, text, resolved_only).alias("_in"), *[fit.alias(f"_{f}") for f, fit in fits.items()])
+    sets = rows.groupingSets([[F.col("provider")], [F.col("family")]], "provider", "family").agg(
+        F.grouping_id("provider", "family").alias("_g"), F.count_if(F.col("_in") & F.col("_family")).alias("_of_provider"), F.count_if(F.col("_in") & F.col("_provider")).alias("_of_family")
+    )
+    is_provider = F.col("_g") == 1
+    out = sets.select(
+        F.when(is_provider, "provider").otherwise("family").alias("facet"), F.when(is_provider, F.col("provider")).otherwise(F.col("family")).alias("value"),
+        F.when(is_provider, F.col("_of_provider")).otherwise(F.col("_of_family")).alias("routes"),
+    ).where(F.coalesce("value", F.lit("")) != "")
+    is_chosen = F.lit(False)
+    for f, v in chosen.items():
+        is_chosen = is_chosen | (F.col("facet").eqNullSafe(f) & F.col("value").eqNullSafe(v))
+    return out.withColumn("chosen", is_chosen)
+
+
 def _merged(base: dict, over: dict) -> dict:
     return base | {k: _merged(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in over.items()}
 

@@ -61,10 +61,25 @@ def latest_state(changes: DataFrame, fields: list[str]) -> DataFrame:
     return last.where("x.op = 'upsert'").select(*ROUTE, "x.ts", *[f"x.{f}" for f in fields])
 
 
-def daily_snapshots(changes: DataFrame, fields: list[str], until: str) -> DataFrame:
-    """State at the end of each UTC day, from the first day with a price to the day before ``until``."""
+def _in_order(commits: DataFrame) -> DataFrame:
+    """One row, true; reading it is an error where the UTC dates of (commit_seq, ts) decrease."""
+    days = commits.groupBy("commit_seq").agg(F.to_date(F.min("ts")).alias("day"))
+    # a row for each commit of a repository
+    was = F.lag("day").over(Window.orderBy("commit_seq"))
+    fall = days.select(F.when(F.col("day") < was, F.concat(was.cast("string"), F.lit(" to "), F.col("day").cast("string"))).alias("fall")).agg(F.min("fall").alias("fall"))
+    message = F.concat(F.lit("commit dates decrease from "), F.col("fall"), F.lit("; no daily snapshots"))
+    return fall.select(F.when(F.col("fall").isNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean")).alias("ok"))
+
+
+def daily_snapshots(changes: DataFrame, fields: list[str], until: str, commits: DataFrame | None = None) -> DataFrame:
+    """State at the end of each UTC day, from the first day with a price to the day before ``until``.
+
+    Commits whose dates decrease are an error, raised when the snapshots are read. commits: all of a
+    repository's (commit_seq, ts), else those of the changes are looked at.
+    """
     end = F.date_sub(F.lit(until).cast("date"), 1)
-    day_last = changes.withColumn("date", F.to_date("ts")).groupBy(*ROUTE, "date").agg(F.max_by(F.struct("op", *fields), F.col("sequence")).alias("x"))
+    order = _in_order(commits if commits is not None else changes.select("commit_seq", "ts"))
+    day_last = changes.where(order.scalar()).withColumn("date", F.to_date("ts")).groupBy(*ROUTE, "date").agg(F.max_by(F.struct("op", *fields), F.col("sequence")).alias("x"))
     nxt = F.lead("date").over(Window.partitionBy(*ROUTE).orderBy("date"))
     spans = day_last.withColumn("to", F.least(F.coalesce(F.date_sub(nxt, 1), end), end)).where("x.op = 'upsert' and date <= to")
     return spans.select(F.explode(F.sequence("date", "to")).alias("date"), *ROUTE, *[f"x.{f}" for f in fields])

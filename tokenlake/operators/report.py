@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import bounds
 from ..functions.scalars import date_bucket, display_input, display_output, glob_regex, project_of, short_session
 
 DIMENSIONS = ("source", "model", "provider", "project", "date", "session")
@@ -36,13 +39,16 @@ def with_display(usage: DataFrame) -> DataFrame:
     return usage.withColumns({"input": display_input(), "output": display_output(), "total": display_input() + display_output()})
 
 
-def filter_time(usage: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
-    """Both bounds inclusive, as timestamps or dates; a date as upper bound covers its whole day."""
-    if since:
-        usage = usage.where(F.col("ts") >= F.lit(since).cast("timestamp"))
-    if until and len(until) == 10:
-        return usage.where(F.col("ts") < F.date_add(F.lit(until).cast("date"), 1).cast("timestamp"))
-    return usage.where(F.col("ts") <= F.lit(until).cast("timestamp")) if until else usage
+def filter_time(usage: DataFrame, since: str | None = None, until: str | None = None, period: str | None = None, now: datetime | None = None, tz: str = "UTC") -> DataFrame:
+    """Rows between two bounds, as bounds.when() and until() read them; ``since`` outranks a period."""
+    now = now or datetime.now(timezone.utc)
+    first = bounds.when(since, now, tz) if since else bounds.period(period, now, tz) if period else None
+    if first:
+        usage = usage.where(F.col("ts") >= F.lit(first))
+    if not until:
+        return usage
+    last, within = bounds.until(until, now, tz)
+    return usage.where(F.col("ts") <= F.lit(last) if within else F.col("ts") < F.lit(last))
 
 
 def period_start(period: str, now: Column, tz: str = "UTC") -> Column:

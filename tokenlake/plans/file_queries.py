@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import json_text
 from ..functions.storage import folder
 from ..operators import catalog, incremental, report
-from ..sources import chat, decoders, lines, price_files, transcripts, workspaces
+from ..sources import chat, collect, decoders, lines, price_files, transcripts, workspaces
 from ..streaming import usage as streaming
 from . import queries as core
 from . import views
@@ -204,6 +206,37 @@ def resolution_audit(spark, sf_dir):
     return catalog.resolution_audit(catalog.resolve_catalog(_catalog_routes(spark, sf_dir), views.ALIASES, _SCOPED, _ROLLING)).drop("total")
 
 
+#: (vendor, provider, prefix of models or None)
+_SOURCES = (("v-open", "openai", None), ("v-gpt", "openai", "gpt"), ("v-solo", "openai", "solo-"), ("v-host", "acme", "x/y/"), ("v-all", "acme", "x/"))
+_SOURCES_SQL = "(VALUES " + ", ".join(f"('{v}', '{p}', '{x or ''}')" for v, p, x in _SOURCES) + ") AS s(vendor, sp, prefix)"
+
+
+def _sources(spark) -> DataFrame:
+    return spark.createDataFrame(list(_SOURCES), "vendor string, provider string, model_prefix string")
+
+
+def _resolved(spark, sf_dir) -> DataFrame:
+    return catalog.resolve_catalog(_catalog_routes(spark, sf_dir), views.ALIASES, _SCOPED, _ROLLING)
+
+
+@_query(
+    "official_audit",
+    f"""WITH RECURSIVE {_RESOLVED}, f AS (SELECT DISTINCT id, provider, confidence FROM (SELECT res.* FROM res JOIN {_SOURCES_SQL} ON res.provider = s.sp AND starts_with(res.model, s.prefix)))
+      SELECT provider, count(*) AS routes, {', '.join(f'count(*) FILTER (confidence = {k!r}) AS {k}' for k in ('exact', 'normalized', 'heuristic', 'unknown'))} FROM f GROUP BY ROLLUP (provider)""",
+)
+def official_audit(spark, sf_dir):
+    """Confidence of the routes of official sources; a source may be some of a provider's models."""
+    return catalog.resolution_audit(_resolved(spark, sf_dir), sources=_sources(spark)).drop("total")
+
+
+@_query(
+    "unmatched_routes",
+    f"""WITH RECURSIVE {_RESOLVED} SELECT id, provider, model, arg_max(s.vendor, length(s.prefix)) AS vendor FROM res JOIN {_SOURCES_SQL} ON res.provider = s.sp AND starts_with(res.model, s.prefix) WHERE confidence = 'unknown' GROUP BY ALL""",
+)
+def unmatched_routes(spark, sf_dir):
+    return catalog.unmatched_routes(_resolved(spark, sf_dir), _sources(spark)).select("id", "provider", "model", "vendor")
+
+
 @_query(
     "alias_conflicts",
     """WITH a AS (SELECT CASE WHEN p_partkey % 3 > 0 THEN lower(p_brand) END AS provider, lower(p_name) AS alias, p_type || (p_partkey % 2) AS t FROM part)
@@ -219,8 +252,66 @@ def alias_conflicts(spark, sf_dir):
 @_query("route_search", "SELECT p_brand AS provider, p_name || ' ' || p_partkey AS model, p_type AS family FROM part WHERE p_partkey % 4 > 0 AND contains(lower(p_brand || '|' || p_name || ' ' || p_partkey || '|' || p_type), 'ec') ORDER BY provider, model LIMIT 100 OFFSET 100")
 def route_search(spark, sf_dir):
     """The second page of resolved routes that hold a text; a page is the feature."""
-    rows = _table(spark, sf_dir, "part").select(F.col("p_brand").alias("provider"), F.concat_ws(" ", "p_name", "p_partkey").alias("model"), F.when(F.col("p_partkey") % 4 > 0, F.col("p_type")).alias("canonical_name"), F.col("p_type").alias("family"))
-    return catalog.search_routes(rows, "EC", resolved_only=True, page=1).select("provider", "model", "family")
+    return catalog.search_routes(_part_routes(spark, sf_dir), "EC", resolved_only=True, page=1).select("provider", "model", "family")
+
+
+def _part_routes(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "part").select(F.col("p_brand").alias("provider"), F.concat_ws(" ", "p_name", "p_partkey").alias("model"), F.when(F.col("p_partkey") % 4 > 0, F.col("p_type")).alias("canonical_name"), F.col("p_type").alias("family"))
+
+
+@_query(
+    "route_facets",
+    """WITH r AS (SELECT p_brand AS provider, p_type AS family, p_partkey % 4 > 0 AND contains(lower(p_brand || '|' || p_name || ' ' || p_partkey || '|' || p_type), 'e') AS ok FROM part)
+      SELECT 'provider' AS facet, provider AS value, count(*) FILTER (ok AND coalesce(family = 'ECONOMY', FALSE)) AS routes, provider = 'Brand#12' AS chosen FROM r GROUP BY provider
+      UNION ALL SELECT 'family', family, count(*) FILTER (ok AND coalesce(provider = 'Brand#12', FALSE)), family = 'ECONOMY' FROM r GROUP BY family""",
+)
+def route_facets(spark, sf_dir):
+    """Providers and families that a search of resolved routes may be narrowed to, one of each chosen."""
+    return catalog.route_facets(_part_routes(spark, sf_dir), "E", provider="Brand#12", family="ECONOMY", resolved_only=True)
+
+
+@_query(
+    "report_bounds",
+    f"""SELECT origin_key FROM ({views.USAGE_DUCK}) WHERE ts >= TIMESTAMP '2024-01-04 23:00:00' AND ts < TIMESTAMP '2024-01-20 23:00:00'""",
+)
+def report_bounds(spark, sf_dir):
+    """A span back from now outranks a period; a date as upper bound is a whole day of its zone."""
+    now = datetime(2024, 1, 25, 23, tzinfo=timezone.utc)
+    return report.filter_time(views.usage(spark, sf_dir), "3w", "2024-01-20", period="today", now=now, tz="Europe/Paris").select("origin_key")
+
+
+@_query(
+    "collected_sources",
+    """WITH n AS (SELECT conv_id % 5 AS k, conv_id, turn, role, text FROM conversations),
+      a AS (SELECT conv_id FROM n WHERE role = 'assistant' AND k = 0), p AS (SELECT conv_id FROM n WHERE role = 'assistant' AND k = 1)
+      SELECT source, state, files, incomplete, records FROM (
+        SELECT 'claude' AS source, 'ok' AS state, (SELECT count(DISTINCT conv_id) FROM n WHERE k = 0) AS files, (SELECT count(DISTINCT conv_id) FROM n WHERE k = 0 AND conv_id % 10 = 0) AS incomplete, (SELECT count(*) FROM a) AS records
+        UNION ALL SELECT 'pi-agent', 'ok', (SELECT count(DISTINCT conv_id) FROM n WHERE k = 1), 0, (SELECT count(*) FROM p)
+        UNION ALL SELECT 'codex', 'missing', NULL, NULL, 0 UNION ALL SELECT 'opencode', 'failed', NULL, NULL, 0 UNION ALL SELECT 'copilot-cli', 'ok', (SELECT count(DISTINCT conv_id) FROM n WHERE k = 2), (SELECT count(DISTINCT conv_id) FROM n WHERE k = 2), 0)""",
+)
+def collected_sources(spark, sf_dir):
+    """Five sources: logs with cut lines, whole logs, no folder, tables that are none, logs that are no JSON at all."""
+    c = _table(spark, sf_dir, "conversations")
+    said = _js(type="assistant", message=_st(model="m", usage=_st(input_tokens=1)))
+    told = _js(type="user", message=_st(role="user", content=F.col("text")))
+    forms = {
+        0: ("claude", F.when(F.col("role") == "assistant", said).otherwise(told), F.when((F.col("conv_id") % 10 == 0), F.lit('{"cut')).otherwise(F.lit(""))),
+        1: ("pi-agent", F.when(F.col("role") == "assistant", _js(type="message", message=_st(role="assistant", content=F.col("text"), usage=_st(input=1)))).otherwise(_js(type="other")), F.lit("")),
+        2: ("copilot-cli", F.lit("no json"), F.lit("")),
+    }
+    folders = {}
+    for k, (source, line, end) in forms.items():
+        logs = c.where(F.col("conv_id") % 5 == k).select("conv_id", "turn", line.alias("line"), end.alias("end"))
+        whole = logs.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("l"), F.max("end").alias("end"))
+        folders[source] = folder(spark, f"logs-{source}")
+        # a folder a conversation; a session's log is one file
+        whole.select("conv_id", F.concat_ws("\n", F.transform("l", lambda x: x["line"]), F.col("end")).alias("value")).repartition("conv_id").write.partitionBy("conv_id").text(folders[source])
+    tables = folder(spark, "tables")
+    c.select("text").write.text(f"{tables}/message.parquet")
+    paths = {"claude": f"{folders['claude']}/*", "codex": folder(spark, "no-logs"), "pi-agent": f"{folders['pi-agent']}/*", "opencode": tables, "copilot-cli": f"{folders['copilot-cli']}/*"}
+    records, status = collect.collect(spark, paths)
+    counts = records.groupBy("source").agg(F.count("*").alias("records"))
+    return status.select("source", "state", "files", "incomplete").join(counts, "source", "left").na.fill(0, ["records"])
 
 
 # --- documents ------------------------------------------------------------
