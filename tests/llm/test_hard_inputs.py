@@ -1,0 +1,54 @@
+"""Pages and vectors that earlier versions lost."""
+
+import math
+import random
+
+import pytest
+
+from tokenlake.llm import html_pages, html_tree, ivfpq
+from tokenlake.llm.common import Scratch
+
+
+@pytest.fixture(scope="module")
+def model():
+    return html_tree.train(html_pages.labelled_pages(), bare=html_pages.labelled_pages(200, seed=2, bare=True))
+
+
+STORY = "<p>The story begins here, and it goes on for a while.</p>"
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<article>{}<p data-gold=1>Its end.</p></article>", "{}\nIts end."), ("<article>{}<p gold=1>Its end.</p><p gold>More.</p></article>", "{}\nIts end.\nMore."), ("<article>{}<p gold=", "{}"),
+    ('<article>{}<p title="the hidden truth">Seen.</p><p data-hidden="false">Seen too.</p></article>', "{}\nSeen.\nSeen too."), ("<article>{}<p alt='class=\"ad\"' data-class=ad>Kept.</p></article>", "{}\nKept."),
+    ("<article>{}<p hidden>Gone.</p><p aria-hidden=true>Gone.</p><p style='x:y; DISPLAY: none'>Gone.</p></article>", "{}"), ("<article>{}<p aria-hidden=\"false\">Seen.</p></article>", "{}\nSeen."),
+    ("<article>{}<p>The first <script>var x = '</p>';</script>tells of the <svg/> old <svg><text>x</text></svg>harbour<noscript><p>No</p></noscript>, yes.</p></article>", "{}\nThe first tells of the old harbour, yes."),
+    ("<article>{}<p>One<style>p{{}}</style> block</p></article>", "{}\nOne block"),
+])
+def test_attributes_and_whole_blocks(model, page, text):
+    assert model.text(page.format(STORY)) == text.format(STORY[3:-4])
+
+
+def test_plain_pages_without_an_article_element(model):
+    one, two = "One plain paragraph of text, which says something.", "Another one follows it, with more to say, and ends here."
+    assert model.text(f"<div>{one}</div><div>{two}</div>") == f"{one}\n{two}"
+    assert model.text(f"<html><body>{one}<br><br>{two}</body></html>") == f"{one}\n{two}"
+    assert model.text(f"{one} {two}") == f"{one} {two}"
+    page = f"<body><nav><a href=x>Home</a> <a href=y>News</a></nav><div>{one}</div><div>{two}</div><footer>&copy; 2024 all rights reserved</footer></body>"
+    assert model.text(page) == f"{one}\n{two}"
+
+
+@pytest.mark.parametrize("size", [1e20, 1e39, 1e200, 1e300, 1e-300, 1e-39])
+def test_vectors_of_any_size(spark, size):
+    r = random.Random(2)
+    vectors = [[size * r.uniform(-1, 1) for _ in range(8)] for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    got = ivfpq.search(df, Scratch(spark, "t"), is_query=lambda i: i % 100 == 0).collect()
+    assert len(got) == 40
+    hit = 0
+    for q in range(0, 400, 100):
+        true = sorted((math.dist([a / size for a in vectors[q]], [a / size for a in v]), i) for i, v in enumerate(vectors) if i != q)[:10]
+        mine = {x["vec_id"]: x["score"] for x in got if x["query_id"] == q}
+        hit += sum(i in mine for _, i in true)
+        for i, s in mine.items():
+            assert s == pytest.approx(size * math.dist([a / size for a in vectors[q]], [a / size for a in vectors[i]]), rel=1e-12)
+    assert hit >= 38

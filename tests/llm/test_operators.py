@@ -72,7 +72,7 @@ def page_model():
 def test_html_held_out(page_model):
     right = total = 0
     for source in html_pages.labelled_pages(60, seed=77):
-        page = html_tree.Page(source)
+        page = html_tree.Page(source, labelled=True)
         gold = []
         for v, g in enumerate(page.gold):
             gold.append(int(g) if g is not None else gold[page.parent[v]] if v else 0)

@@ -7,6 +7,7 @@ not; what has no mark takes its parent's.
 from __future__ import annotations
 
 import random
+import re
 
 _SYLLABLES = "an ba ce do el fi ga hu in jo ka le mi no or pe ra si to un ve wa".split()
 
@@ -97,7 +98,7 @@ class _Filler:
         ]
         return r.choice(one[:8] if top else one[3:])()
 
-    def page(self) -> str:
+    def page(self, bare: bool = False) -> str:
         r = self.r
         title = self.sentence(3, 9)
         before = "".join(self.around(True) for _ in range(r.randint(0, 4)))
@@ -119,8 +120,16 @@ class _Filler:
         ).format(mid)
         start = f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>"
         wrap = r.choice(["<body>{}</body></html>", "<body>{}</body></html>", "<body><div id='page'>{}</div></body></html>", "<body>{}"])
+        if bare:  # no element around the article; paragraphs of other elements, or of none
+            kind = r.randrange(3)
+            shape = (mid, re.sub("<(/?)p>", r"<\1div>", mid), re.sub("</?p>", "<br>", mid))[kind]
+            if kind < 2:
+                shape = re.sub(r"<(p|div|h[1-6]|ul|blockquote|table|figure|pre|header)(?=[ >])(?![^>]*gold=)", r"<\1 gold='1'", shape)
+            wrap = "<body gold='1'>{}</body></html>" if kind == 2 else r.choice(["<body>{}</body></html>", "{}"])
+            start = start if wrap != "{}" or r.random() < 0.5 else ""
         return (start if r.random() < 0.9 else "") + wrap.format(before + shape + after)
 
 
-def labelled_pages(n: int = 200, seed: int = 1) -> list[str]:
-    return [_Filler(seed * 100_003 + k).page() for k in range(n)]
+def labelled_pages(n: int = 200, seed: int = 1, bare: bool = False) -> list[str]:
+    """bare: pages whose article has no element of its own."""
+    return [_Filler(seed * 100_003 + k).page(bare) for k in range(n)]

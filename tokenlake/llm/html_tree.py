@@ -29,7 +29,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]++|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*+)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|style|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+# names and values in order, so that a name inside a value is none
+_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?|[\"'=]")
+_HINTED = frozenset("class id role itemprop".split())
 _TOKEN = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 
 # How HTML names its elements.
@@ -38,6 +40,8 @@ RAW = frozenset("script style noscript template textarea title iframe svg select
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img nobr math semantics mi mn mo ms mrow msup msub msubsup mfrac msqrt mroot mtext mstyle object canvas".split()
 )
+#: Dropped with what they hold, wherever they stand: a block goes on behind them.
+NEUTRAL = frozenset("script style noscript template iframe svg audio video".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
@@ -75,9 +79,11 @@ PLAIN, SECTION, MARKED, LIST, FURNITURE = range(5)
 class Page:
     """The tree of a page: parents before children, and text blocks in page order."""
 
-    __slots__ = ("parent", "tag", "hints", "hidden", "blocks", "words", "linked", "stops", "boiler", "gold")
+    __slots__ = ("parent", "tag", "hints", "hidden", "blocks", "words", "linked", "stops", "boiler", "gold", "labelled")
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, labelled: bool = False):
+        """labelled: elements may carry training marks, gold="1" or gold="0"; on other pages these mean nothing."""
+        self.labelled = labelled
         self.parent, self.tag, self.hints, self.hidden = [-1], ["#root"], [()], [False]
         self.words, self.linked, self.stops, self.boiler, self.gold = [0], [0], [0], [0], [None]
         self.blocks: list[tuple[int, str]] = []
@@ -94,6 +100,8 @@ class Page:
                 text = " ".join(_html.unescape("".join(run)).split())
                 if text:
                     node, n = stack[-1], text.count(" ") + 1
+                    if self.tag[node] in ("#root", "html", "body"):  # text of no element of its own is a paragraph
+                        node = add(node, "p", (), False, None)
                     self.blocks.append((node, text))
                     self.words[node] += n
                     self.linked[node] += min(n, linked)
@@ -102,6 +110,13 @@ class Page:
                 run.clear()
             linked = 0
 
+        def add(parent: int, tag: str, hints: tuple, hidden: bool, gold: bool | None) -> int:
+            for x, v in ((self.parent, parent), (self.tag, tag), (self.hints, hints), (self.hidden, hidden), (self.gold, gold)):
+                x.append(v)
+            for x in (self.words, self.linked, self.stops, self.boiler):
+                x.append(0)
+            return len(self.parent) - 1
+
         low = None
         for m in _PIECE.finditer(source):
             if m.start() < at:
@@ -123,8 +138,11 @@ class Page:
             if name == "br":
                 close_block()
                 continue
+            if name in NEUTRAL and ending:
+                continue
             if name in RAW and not ending:
-                close_block()
+                if name not in NEUTRAL:
+                    close_block()
                 if not m.group(0).endswith("/>"):
                     low = low if low is not None else source.lower()
                     if name == "head":
@@ -160,27 +178,23 @@ class Page:
                         break
             if name in VOID:
                 continue
-            self.parent.append(stack[-1])
-            self.tag.append(name)
             hints: list[int] = []
             hidden, gold = False, None
             attrs = m.group(3)
             if attrs:
                 for a in _ATTR.finditer(attrs):
+                    if a.group(1) is None:
+                        continue
                     key, value = a.group(1).lower(), a.group(2) or a.group(3) or a.group(4) or ""
-                    if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-                        hidden = True
-                    elif key != "style":
+                    if key in _HINTED:
                         hints.extend(HINT_OF[t] for t in (x.lower() for x in _TOKEN.findall(value)) if t in HINT_OF)
-                if "gold=" in attrs:
-                    gold = attrs[attrs.index("gold=") + 6] == "1"
-            self.hints.append(tuple(set(hints)))
-            self.hidden.append(hidden)
-            self.gold.append(gold)
-            for x in (self.words, self.linked, self.stops, self.boiler):
-                x.append(0)
+                    elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.lower().replace(" ", ""):
+                        hidden = True
+                    elif key == "gold" and self.labelled:
+                        gold = value == "1"
+            node = add(stack[-1], name, tuple(set(hints)), hidden, gold)
             if not m.group(0).endswith("/>") or name in CLOSES_P:
-                stack.append(len(self.parent) - 1)
+                stack.append(node)
         if at < len(source):
             run.append(source[at:])
         close_block()
@@ -257,8 +271,10 @@ def marginals(parent: list[int], unary: list[float], pairs: list) -> tuple[list[
 
 
 class Model:
-    def __init__(self, weight: np.ndarray, pairs: np.ndarray):
-        self.weight, self.pairs = weight.tolist(), np.exp(pairs).tolist()
+    """Weights and potentials; ``rest`` judges pages on which this model finds no element with content in it; it is trained on pages without an element around the article."""
+
+    def __init__(self, weight: np.ndarray, pairs: np.ndarray, rest: Model | None = None):
+        self.weight, self.pairs, self.rest = weight.tolist(), np.exp(pairs).tolist(), rest
 
     def content(self, page: Page) -> list[float]:
         active, kinds = page.features()
@@ -272,18 +288,22 @@ class Model:
         if not page.blocks:
             return ""
         p = self.content(page)
+        # an article's element is content with what is in it; without any, the page is of the other sort
+        whole = any(x >= 0.5 and p[page.parent[v]] >= 0.5 for v, x in enumerate(p) if v)
+        if self.rest and not whole:
+            p = self.rest.content(page)
         return "\n".join(t for v, t in page.blocks if p[v] >= 0.5)
 
 
-def train(pages: list[str], rounds: int = 50, rate: float = 0.5, decay: float = 0.002) -> Model:
+def train(pages: list[str], rounds: int = 50, rate: float = 0.5, decay: float = 0.002, bare: list[str] | None = None) -> Model:
     """Gradient ascent on the likelihood of labelled pages.
 
     Labelled pages mark elements with gold="1" (content) or gold="0"; other
-    elements take their parent's mark, and the root is not content.
+    elements take their parent's mark, and the root is not content. bare: labelled pages for ``rest``.
     """
     data = []
     for source in pages:
-        page = Page(source)
+        page = Page(source, labelled=True)
         gold: list[int] = []
         for v, g in enumerate(page.gold):
             gold.append(int(g) if g is not None else gold[page.parent[v]] if v else 0)
@@ -309,7 +329,7 @@ def train(pages: list[str], rounds: int = 50, rate: float = 0.5, decay: float =
         g2p += gp**2
         weight += rate * gw / np.sqrt(g2w)
         pairs += rate * gp / np.sqrt(g2p)
-    return Model(weight, pairs)
+    return Model(weight, pairs, train(bare, rounds, rate, decay) if bare else None)
 
 
 def extract(html: Column, model: Model) -> Column:

@@ -129,6 +129,25 @@ class Index:
         return out
 
 
+#: Squares of larger (or smaller) differences leave the range of doubles; codes keep vectors of such sizes in single precision.
+FAR = 100
+
+
+def scaled(x: np.ndarray, shift: int) -> np.ndarray:
+    """x times a power of two, in single precision, for codes."""
+    return np.ldexp(x.astype(np.float64), shift).astype(np.float32)
+
+
+def exact_distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision, of finite vectors of any size."""
+    most = max(np.abs(x).max(initial=0.0), np.abs(q).max(initial=0.0))
+    e = int(np.frexp(most)[1])
+    if abs(e) <= FAR:
+        return np.sqrt(((x - q) ** 2).sum(1))
+    # a power of two is exact but for what vanishes beside the largest
+    return np.ldexp(np.sqrt(((np.ldexp(x, -e) - np.ldexp(q, -e)) ** 2).sum(1)), e)
+
+
 def usable(vec: Column) -> Column:
     return vec.isNotNull() & (F.size(vec) > 0) & F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists(vec, lambda v: v != 0)
 
@@ -167,12 +186,15 @@ def search(table: DataFrame, scratch: Scratch, *, is_query, k: int = 10, target:
     first = rows.withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= k + 1)
     classes = first.groupBy("x").agg(F.min("uid").alias("class"), F.array_sort(F.collect_list(F.struct(F.col("id").isNull().alias("unnamed"), "id", "uid"))).alias("members"))
     classes = scratch.write(classes, "classes")
-    n = classes.count()
+    n, most = classes.agg(F.count("*"), F.max(F.array_max(F.transform("x", lambda v: F.abs(v).cast("double"))))).first()
+    size = int(np.frexp(most or 1.0)[1])
+    shift = -size if abs(size) > FAR // 4 else 0  # codes square them in single precision
     share = min(1.0, SAMPLE / n)
     picked = classes.where(F.pmod(F.xxhash64("x"), F.lit(1_000_003)) < F.lit(round(share * 1_000_003)))
-    sample = np.array([r["x"] for r in picked.orderBy(F.xxhash64("x"), "x").select("x").limit(2 * SAMPLE).collect()], np.float32)
+    sample = np.array([r["x"] for r in picked.orderBy(F.xxhash64("x"), "x").select("x").limit(2 * SAMPLE).collect()], np.float64)
     if not len(sample):
-        sample = np.array([classes.agg(F.min("x")).first()[0]], np.float32)
+        sample = np.array([classes.agg(F.min("x")).first()[0]], np.float64)
+    sample = scaled(sample, shift)
     fitted = Index(sample, n)
     n_probe = min(len(fitted.lists), max(least_probe, fitted.calibrate(sample, k, target)))
     short = fitted.shortlist(sample, n, k, SHORT_TARGET)
@@ -184,7 +206,7 @@ def search(table: DataFrame, scratch: Scratch, *, is_query, k: int = 10, target:
         ix = index.value
         for f in frames:
             if len(f):
-                x = stack(f["x"]).astype(np.float32)
+                x = scaled(stack(f["x"]), shift)
                 lists = ix.nearest(x, 1)[:, 0]
                 yield f[["class"]].assign(list=lists.astype(np.int32), code=[c.tobytes() for c in ix.encode(x, lists)])
 
@@ -199,7 +221,7 @@ def search(table: DataFrame, scratch: Scratch, *, is_query, k: int = 10, target:
         ix = index.value
         for f in frames:
             if len(f):
-                near = np.sort(ix.nearest(stack(f["x"]).astype(np.float32), n_probe), axis=1)
+                near = np.sort(ix.nearest(scaled(stack(f["x"]), shift), n_probe), axis=1)
                 out: dict[str, list] = {"uid": [], "bin": [], "lists": []}
                 for uid, lists in zip(f["uid"], near):
                     of = bins[lists]
@@ -222,7 +244,7 @@ def search(table: DataFrame, scratch: Scratch, *, is_query, k: int = 10, target:
     def distances(found: pd.DataFrame, asking: pd.DataFrame) -> np.ndarray:
         """Of each query to each class, infinite where its list is not probed."""
         codes = np.frombuffer(b"".join(found["code"]), np.uint8).reshape(len(found), -1)
-        q, of = stack(asking["x"]).astype(np.float32), found["list"].to_numpy()
+        q, of = scaled(stack(asking["x"]), shift), found["list"].to_numpy()
         who = np.repeat(np.arange(len(q)), asking["lists"].map(len).to_numpy())
         where = np.concatenate(asking["lists"].to_list())
         d = np.full((len(q), len(of)), np.inf, np.float32)
@@ -253,7 +275,7 @@ def search(table: DataFrame, scratch: Scratch, *, is_query, k: int = 10, target:
             of, size = found["class"].to_numpy(), found["size"].to_numpy()
             for i, (uid, qid) in enumerate(zip(asking["uid"], asking["id"])):
                 some = np.flatnonzero(close[i])
-                exact = np.sqrt(((x[some] - q[i]) ** 2).sum(1))
+                exact = exact_distances(x[some], q[i])
                 by = np.argsort(exact, kind="stable")
                 enough = np.searchsorted(np.cumsum(size[some[by]]), k + 1)  # one may be the query itself
                 if enough < len(by):

@@ -25,7 +25,7 @@ def tokenizers(spark: SparkSession) -> str:
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = html_tree.train(html_pages.labelled_pages())
+    model = html_tree.train(html_pages.labelled_pages(), bare=html_pages.labelled_pages(200, seed=2, bare=True))
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return pages.select("page_id", "url", html_tree.extract(F.col("html"), model).alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
 
