@@ -68,24 +68,35 @@ _HEX4 = "[0-9A-Fa-f]{1,4}"
 # the first characters are tried before any list of words
 _SECRET_HEAD = r"(?=[aAcCpPsStT])(?i:api[_-]?key|access[_-]?key|auth[_-]?token|client[_-]?secret|private[_-]?key|secret|token|password|passwd|pwd)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
 
+_VALUE = r"[^\s\"'<>]"
+_BEARER, _PEM = "[bB]earer ", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----\s{0,3}"
+#: What stands before a secret's value and stays.
+_HEADS = rf"(?:{_SECRET_HEAD}|{_BEARER}|{_PEM})"
+# whole words that make a number another thing
+_NOT = rf"(?<!{_ANY})"
+
 #: Kind, pattern; in order of preference.
 KINDS = (
-    ("secret", rf"{_SECRET_HEAD}[A-Za-z0-9_+/=.~-]{{8,}}+"),
-    ("email", r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,8}\.\p{L}{2,24}"),
+    # up to a blank or quote; short ones hold a digit
+    ("secret", rf"{_SECRET_HEAD}(?=[!-~]*[A-Za-z0-9])(?:{_VALUE}{{8,}}+|(?=[!-~]*[0-9]){_VALUE}{{4,}}+)"),
+    ("secret", rf"{_BEARER}(?:(?=[\w.~+/=-]*\d)[\w.~+/=-]{{8,}}+|[\w.~+/=-]{{20,}}+)"),
+    ("secret", rf"{_PEM}[A-Za-z0-9+/=]++(?:\s{{1,3}}[A-Za-z0-9+/=]++)*+"),
+    ("email", r"(?<![._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*\.\p{L}{2,}"),
     ("iban", rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?!{_ANY})"),
     ("ip6", rf"(?={_HEX4}:[0-9A-Fa-f:]|::[0-9A-Fa-f])(?:(?:{_HEX4}:){{7}}{_HEX4}|(?:{_HEX4}:){{6}}{_IP4}|(?:{_HEX4}(?::{_HEX4}){{0,6}})?::(?:(?:{_HEX4}:){{0,6}}(?:{_IP4}|{_HEX4}))?)(?!{_ANY}|:[0-9A-Fa-f:])"),
-    ("ip4", rf"(?<![.]|[vV][ .]|[vV]ersion )(?<![vV]){_IP4}"),
+    ("ip4", rf"(?<![.])(?<!{_NOT}[vV][ .])(?<!{_NOT}[vV]ersion ){_IP4}"),
     # before the kinds of digits, which would take the first digits of a hexadecimal key
     ("key", rf"(?:AKIA[0-9A-Z]{{16}}|gh[a-z]_[A-Za-z0-9]{{30,}}+|sk-[A-Za-z0-9_-]{{20,}}+|eyJ[\w-]{{10,}}+\.[\w-]{{10,}}+\.[\w-]{{10,}}+|[0-9a-f]{{32,}}+|[0-9A-F]{{32,}}+)(?!{_ANY})"),
+    ("ssn", r"(?:SSN|[sS]ocial [sS]ecurity(?: [nN]umber)?)[ :#]{1,3}\d{3} \d{2} \d{4}(?!\d)"),
     ("ssn", r"(?<!-)\d{3}-\d{2}-\d{4}(?!-?\d)"),
-    ("phone", r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)|(?<!(?:[oO]rder|[iI]nvoice|[tT]icket|[iI]tem|[pP]art|[iI][dD]|[nN]o|[nN]r)[ :#.]{0,2})(?:1[2-9]\d{9}|[2-9]\d{9}|0\d{9,10})(?!\d)"),
+    ("phone", r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)|(?<!(?<![\p{L}\p{N}])(?:[oO]rder|[iI]nvoice|[tT]icket|[iI]tem|[pP]art|[iI][dD]|[nN]o|[nN]r)[ :#.]{0,2})(?:1[2-9]\d{9}|[2-9]\d{9}|0\d{9,10})(?!\d)"),
     ("card", r"\d(?:[ -]?\d){12,18}(?!\d)"),
     ("titled", rf"(?=[\p{{Lu}}гκ])(?:{_TITLE})\.? {_CAP}(?: {_CAP})?"),
     ("named", rf"(?=\p{{Lu}})(?:{_GIVEN}) {_CAP}"),
 )
 PATTERN = rf"(?<!{_ANY})(?:" + "|".join(p for _, p in KINDS) + ")"
 #: A text that this does not fit holds no entity.
-GATE = rf"[0-9@]|(?=[\p{{Lu}}гκ])(?<!{_ANY})(?:{_TITLE}|{_GIVEN})\.? \p{{Lu}}|[=:](?<=[a-zA-Z][\"'\s]{{0,4}}[=:])|::[A-Fa-f]|AKIA|gh[a-z]_|sk-|eyJ|[a-f]{{32}}|[A-F]{{32}}"
+GATE = rf"[0-9@]|(?=[\p{{Lu}}гκ])(?<!{_ANY})(?:{_TITLE}|{_GIVEN})\.? \p{{Lu}}|[=:](?<=[a-zA-Z][\"'\s]{{0,4}}[=:])|::[A-Fa-f]|{_BEARER}|PRIVATE KEY|AKIA|gh[a-z]_|sk-|eyJ|[a-f]{{32}}|[A-F]{{32}}"
 
 _DIGITS = "0123456789"
 _ALPHABETS = (
@@ -267,7 +278,7 @@ def _parts(kind: Column, surface: Column) -> Column:
     title = F.regexp_replace(first, r"\.$", "")
     gender = F.when(title.isin(*TITLES["m"]), "m").when(title.isin(*TITLES["f"]), "f").otherwise("n")
     own = F.when(F.lower(F.element_at(words, 2)).isin(*[n.lower() for n in GIVEN["m"]]), "m").when(F.lower(F.element_at(words, 2)).isin(*[n.lower() for n in GIVEN["f"]]), "f").otherwise(gender)
-    value = F.regexp_replace(surface, rf"^{_SECRET_HEAD}", "")
+    value = F.regexp_replace(surface, rf"^{_HEADS}", "")
     # a North American number is the same with and without its country code
     number = F.when((F.char_length(digits) == 11) & digits.startswith("1"), F.regexp_replace(digits, "^1", "")).otherwise(digits)
     return (
@@ -304,7 +315,7 @@ def _written(kind: Column, surface: Column, fresh: Column) -> Column:
     one, words = F.element_at(fresh, 1), F.split(surface, " ")
     last = F.element_at(fresh, -1)
     two = F.concat(_cased(F.element_at(words, -2), one), F.lit(" "), _cased(F.element_at(words, -1), last))
-    head = F.regexp_extract(surface, rf"^{_SECRET_HEAD}", 0)
+    head = F.regexp_extract(surface, rf"^{_HEADS}", 0)
     digits = F.regexp_replace(surface, r"\D", "")
     ip6 = F.when(F.contains(surface, F.lit("::")), _ip6_short(one)).otherwise(one)
     code = F.when(F.char_length(digits) > F.char_length(one), F.substring(digits, F.lit(1), F.char_length(digits) - F.char_length(one))).otherwise("")
