@@ -37,3 +37,27 @@ def test_chat(spark):
     r = chat.decode_chat(_lines(spark, [{"kind": 0, "v": {"sessionId": "S", "requests": [request]}}, {"kind": 1, "k": ["requests", 1], "v": {"requestId": "r2", "slashCommand": {"name": "compact"}, "completionTokens": 5}}])).orderBy("origin_key").collect()
     assert (r[0]["prompt"], r[0]["completion"], r[0]["reasoning"], r[0]["calls"], r[0]["provider"], r[0]["model"], r[0]["session_id"]) == (5, 3, 17, 3, "github-copilot", "gpt-5", "S")
     assert (r[1]["completion"], r[1]["mode"], r[1]["output_estimated"]) == (5, "compaction", False)
+
+
+def test_sessions_over_many_batches(spark):
+    """A session's lines come in order over many batches, and several sessions share a partition."""
+    import json
+
+    from tokenlake.sources import chat
+
+    rows = []
+    for s in range(5):
+        rows.append((f"f{s}", 0, json.dumps({"kind": 0, "v": {"sessionId": f"s{s}", "requests": []}})))
+        rows += [(f"f{s}", i + 1, json.dumps({"kind": 1, "k": ["requests"], "v": [{"requestId": f"r{i % 120}", "completionTokens": i}]})) for i in range(300)]
+        rows.append((f"f{s}", 999, "no json"))
+    df = spark.createDataFrame(rows[::-1], "source_file string, line_no int, value string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = chat.replay_state(df).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
+    assert len(got) == 5 * 120
+    for r in got:
+        request = json.loads(r["request"])
+        last = max(i for i in range(300) if f"r{i % 120}" == request["requestId"])
+        assert request["completionTokens"] == last and json.loads(r["session"])["sessionId"] == "s" + r["source_file"][1:]

@@ -148,7 +148,7 @@ def decode_events(spark, sf_dir):
       stream AS (SELECT source_file, count(*) AS k FROM z WHERE a GROUP BY 1)
       SELECT source_file AS session_id, model, CAST(p AS BIGINT) AS prompt, CAST(c - rs * n AS BIGINT) AS completion, CAST(CASE WHEN whole > 0 THEN round(coalesce(ib, 0) * (p + c) / whole) ELSE 0 END AS BIGINT) AS input_bytes,
         CAST(CASE WHEN whole > 0 THEN round(ob * (p + c) / whole) ELSE 0 END AS BIGINT) AS output_bytes, CAST(users AS BIGINT) AS rounds, CAST(calls AS BIGINT) AS calls FROM x WHERE length(source_file) % 2 = 0
-      UNION ALL SELECT source_file, 'stream', k, NULL, NULL, NULL, NULL, NULL FROM stream WHERE length(source_file) % 2 = 1""",
+      UNION ALL SELECT source_file, 'stream', k, 0, 0, 0, 0, 0 FROM stream WHERE length(source_file) % 2 = 1""",
 )
 def decode_event_files(spark, sf_dir):
     """Every other file ends in metrics of two models, with caches; the rest are told by how many answers they have."""
@@ -167,7 +167,8 @@ def decode_event_files(spark, sf_dir):
     got = decoders.decode_event_files(made)
     exact = got.where("mode = 'session.shutdown'").select("session_id", "model", "prompt", "completion", "input_bytes", "output_bytes", "rounds", "calls")
     rest = got.where("mode is null").groupBy("session_id").agg(F.count("*").alias("prompt"))
-    return exact.unionByName(rest.withColumn("model", F.lit("stream")), allowMissingColumns=True)
+    zeros = {c: F.lit(0).cast("long") for c in exact.columns if c not in ("session_id", "model", "prompt")}
+    return exact.unionByName(rest.withColumns({"model": F.lit("stream")} | zeros))
 
 
 @_query(

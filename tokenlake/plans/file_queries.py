@@ -287,7 +287,7 @@ def report_bounds(spark, sf_dir):
       SELECT source, state, files, incomplete, records FROM (
         SELECT 'claude' AS source, 'ok' AS state, (SELECT count(DISTINCT conv_id) FROM n WHERE k = 0) AS files, (SELECT count(DISTINCT conv_id) FROM n WHERE k = 0 AND conv_id % 10 = 0) AS incomplete, (SELECT count(*) FROM a) AS records
         UNION ALL SELECT 'pi-agent', 'ok', (SELECT count(DISTINCT conv_id) FROM n WHERE k = 1), 0, (SELECT count(*) FROM p)
-        UNION ALL SELECT 'codex', 'missing', NULL, NULL, 0 UNION ALL SELECT 'opencode', 'failed', NULL, NULL, 0 UNION ALL SELECT 'copilot-cli', 'ok', (SELECT count(DISTINCT conv_id) FROM n WHERE k = 2), (SELECT count(DISTINCT conv_id) FROM n WHERE k = 2), 0)""",
+        UNION ALL SELECT 'codex', 'missing', 0, 0, 0 UNION ALL SELECT 'opencode', 'failed', 0, 0, 0 UNION ALL SELECT 'copilot-cli', 'ok', (SELECT count(DISTINCT conv_id) FROM n WHERE k = 2), (SELECT count(DISTINCT conv_id) FROM n WHERE k = 2), 0)""",
 )
 def collected_sources(spark, sf_dir):
     """Five sources: logs with cut lines, whole logs, no folder, tables that are none, logs that are no JSON at all."""
@@ -311,7 +311,7 @@ def collected_sources(spark, sf_dir):
     paths = {"claude": f"{folders['claude']}/*", "codex": folder(spark, "no-logs"), "pi-agent": f"{folders['pi-agent']}/*", "opencode": tables, "copilot-cli": f"{folders['copilot-cli']}/*"}
     records, status = collect.collect(spark, paths)
     counts = records.groupBy("source").agg(F.count("*").alias("records"))
-    return status.select("source", "state", "files", "incomplete").join(counts, "source", "left").na.fill(0, ["records"])
+    return status.select("source", "state", "files", "incomplete").join(counts, "source", "left").na.fill(0, ["files", "incomplete", "records"])
 
 
 # --- documents ------------------------------------------------------------

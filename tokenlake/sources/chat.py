@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -76,25 +78,43 @@ class Replay:
         return requests if isinstance(requests, list) else []
 
 
-def replay_state(lines: DataFrame) -> DataFrame:
-    """(source_file, n, request, session): JSON of each request in order, and of the final state without requests.
+_REPLAYED = "source_file string, n int, request string, session string"
 
-    A session's lines are replayed in order in one group; sessions run side by side.
-    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        replay = Replay()
-        for value in pdf.sort_values("line_no")["value"]:
+def _replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of whole sessions in order, session after session; of a session only its state is held."""
+    now, replay = None, Replay()
+
+    def done() -> Iterator[pa.RecordBatch]:
+        state = replay.state if isinstance(replay.state, dict) else {}
+        rest = json.dumps({k: v for k, v in state.items() if k != "requests"}, ensure_ascii=False)
+        requests = replay.result()
+        for i in range(0, len(requests), 100):
+            some = [json.dumps(r, ensure_ascii=False) for r in requests[i : i + 100]]
+            yield pa.record_batch(
+                [pa.array([now] * len(some)), pa.array(range(i, i + len(some)), pa.int32()), pa.array(some), pa.array([rest] * len(some))], names=["source_file", "n", "request", "session"]
+            )
+
+    for batch in batches:
+        for name, value in zip(batch.column("source_file").to_pylist(), batch.column("value")):
+            if name != now:
+                yield from done()
+                now, replay = name, Replay()
             try:
-                replay.line(json.loads(value))
+                replay.line(json.loads(value.as_py()))
             except ValueError:
                 continue
-        state = replay.state if isinstance(replay.state, dict) else {}
-        rest = json.dumps({k: v for k, v in state.items() if k != "requests"}, ensure_ascii=False)
-        rows = [(pdf["source_file"].iloc[0], i, json.dumps(r, ensure_ascii=False), rest) for i, r in enumerate(replay.result())]
-        return pd.DataFrame(rows, columns=["source_file", "n", "request", "session"])
+    yield from done()
+
+
+def replay_state(lines: DataFrame) -> DataFrame:
+    """(source_file, n, request, session): JSON of each request in order, and of the final state without requests.
 
-    return lines.select("source_file", "line_no", "value").groupBy("source_file").applyInPandas(run, "source_file string, n int, request string, session string")
+    A session's lines are replayed as they stream by, sorted within its partition, so a log
+    may be longer than a task's memory; sessions run side by side.
+    """
+    dealt = lines.where("value is not null").select("source_file", "line_no", "value").repartition("source_file").sortWithinPartitions("source_file", "line_no")
+    return dealt.mapInArrow(_replayed, _REPLAYED)
 
 
 def _at(v, *path):
