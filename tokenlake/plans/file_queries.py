@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
@@ -61,20 +62,21 @@ def family_files(spark, sf_dir):
 
 
 def _pricing_layers(spark, sf_dir) -> dict[str, DataFrame]:
-    """Two pricing files, made of suppliers: the second sets fields and prices anew for some."""
+    """Two layers of pricing files, made of suppliers: the second sets fields and prices anew for some."""
     s = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("name"), F.col("s_suppkey").alias("k"))
     own = lambda on, x, i: F.map_from_entries(F.collect_list(F.when(on, F.struct("name", F.struct(x.alias("multiplier"), i.alias("included"), F.create_map(F.lit("Big"), F.struct(F.lit("3").alias("multiplier"))).alias("models"))))))
     price = lambda on, i, w: F.collect_list(F.when(on, F.struct(F.col("name").alias("provider"), F.concat(F.lit("M"), (F.col("k") % 5).cast("string")).alias("model"), i.cast("string").alias("input"), w.cast("string").alias("cache_write"))))
     none, yes, k = F.lit(None).cast("string"), F.lit(True), F.col("k")
     name = F.create_map(F.lit("Big"), F.struct(F.lit("acme").alias("provider"), F.array(F.lit("big-1")).alias("aliases")))
+    files = s.groupBy(F.floor(k / 100).alias("part"))  # a file for each hundred suppliers
     layers = [
-        s.agg(F.to_json(F.struct(own(yes, (k % 9 + 1).cast("string"), F.lit(None).cast("boolean")).alias("providers"), price(yes, k + 1, F.lit(None)).alias("prices"))).alias("value")),
-        s.agg(F.to_json(F.struct(own(k % 2 == 0, none, k % 4 == 0).alias("providers"), name.alias("models"), price(k % 3 == 0, k + 2, k)  .alias("prices"))).alias("value")),
+        files.agg(F.to_json(F.struct(own(yes, (k % 9 + 1).cast("string"), F.lit(None).cast("boolean")).alias("providers"), price(yes, k + 1, F.lit(None)).alias("prices"))).alias("value")),
+        files.agg(F.to_json(F.struct(own(k % 2 == 0, none, k % 4 == 0).alias("providers"), F.first(name).alias("models"), price(k % 3 == 0, k + 2, k).alias("prices"))).alias("value")),
     ]
     paths = []
     for layer in layers:
         paths.append(folder(spark, "pricing"))
-        layer.coalesce(1).write.text(paths[-1])
+        layer.repartition("part").write.partitionBy("part").text(paths[-1])
     return workspaces.read_pricing(spark, paths)
 
 
@@ -559,6 +561,36 @@ def hourly_totals(spark, sf_dir):
     return streaming.hourly_totals(views.usage(spark, sf_dir))
 
 
+@_query(
+    "ingest_growing",
+    """SELECT conv_id // 10 AS part, CAST(0 AS BIGINT) AS retried, count(*) AS records, CAST(sum(1 + coalesce(length(text), 0)) AS BIGINT) AS tokens
+      FROM conversations WHERE role = 'assistant' AND (conv_id // 10) % 7 <> 6 GROUP BY 1""",
+)
+def ingest_growing(spark, sf_dir):
+    """A folder of logs in two states, each brought into a table: files that stay, grow, come and go; the second batch is tried twice."""
+    path, table = folder(spark, "growing"), f"usage_growing_{uuid.uuid4().hex}"
+    c = _table(spark, sf_dir, "conversations")
+    said = _js(type="assistant", message=_st(model="m", usage=_st(input_tokens=1 + F.coalesce(F.length("text"), F.lit(0)))))
+    told = _js(type="user", message=_st(role="user", content=F.col("text")))
+    part = F.floor(F.col("conv_id") / 10)
+    logs = c.select(part.alias("part"), "conv_id", "turn", F.when(F.col("role") == "assistant", said).otherwise(told).alias("value"))
+    k = F.col("part") % 7
+
+    def write(rows: DataFrame, mode: str) -> None:
+        ordered = rows.repartition("part").sortWithinPartitions("part", "conv_id", "turn").select("part", "value")
+        ordered.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("part").text(path)
+
+    # at first parts 4 and 5 lack, and 2 and 3 end early; in the end part 6 is one that says nothing
+    write(logs.where((k < 2) | (k == 6) | (k.isin(2, 3) & (F.coalesce("turn", F.lit(0)) < 2))), "error")
+    streaming.sync(spark, path, decoders.decode_claude, table, 0)
+    mute = logs.where(k == 6).groupBy("part").agg(F.lit(0).alias("conv_id"), F.lit(0).alias("turn"), F.first(F.lit("{}")).alias("value"))
+    write(logs.where(k.between(2, 5)).unionByName(mute), "overwrite")
+    streaming.sync(spark, path, decoders.decode_claude, table, 1)
+    retried = streaming.sync(spark, path, decoders.decode_claude, table, 1)
+    of = F.regexp_extract("source_file", "part=([0-9-]+)/", 1).cast("long").alias("part")
+    return spark.table(table).groupBy(of).agg(F.lit(retried).cast("long").alias("retried"), F.count("*").alias("records"), F.sum("prompt").cast("long").alias("tokens"))
+
+
 @_query("workspace_folders", "SELECT 'w' || c_custkey AS w, '/home/a b/' || c_mktsegment || '+' || c_custkey AS project_cwd, c_mktsegment || '+' || c_custkey AS project_name FROM customer")
 def workspace_folders(spark, sf_dir):
     """Workspaces from the JSON of their folders, percent-encoded."""

@@ -46,8 +46,8 @@ def write_snapshots(daily: DataFrame, path: str) -> None:
 
 
 def write_latest(latest: DataFrame, path: str) -> None:
-    """Active routes in order, in one file: as many rows as there are routes."""
-    latest.orderBy("provider", "model").coalesce(1).write.csv(path, header=True, nullValue="", emptyValue="")
+    """Active routes in order, over as many files as ranges of them."""
+    latest.orderBy("provider", "model").write.csv(path, header=True, nullValue="", emptyValue="")
 
 
 def write_families(families: DataFrame, path: str) -> None:
