@@ -1,7 +1,9 @@
 """Plain versions of the contracts, for small inputs."""
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -80,6 +82,14 @@ def contamination(docs, items):
     return out
 
 
+def lm_base(rows):
+    """doc_id -> (tokens, base score to 6 digits), counts from the training documents."""
+    of = {i: words(t) + [None] for i, t in rows}
+    count = Counter(w for i, ws in of.items() if zlib.crc32(str(i).encode()) % 10 for w in ws)
+    n, v = sum(count.values()), len(count)
+    return {i: (len(ws), round(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 6)) for i, ws in of.items()}
+
+
 def repeats(docs, n=400):
     """rows of (doc_id, text) -> list of (doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
     texts = [(t or "").encode() for _, t in docs]

@@ -5,9 +5,11 @@ import random
 
 import pytest
 
-from tokenlake.llm import html_pages, html_tree, ivfpq
+from tokenlake.llm import html_pages, html_tree, ivfpq, minhash
 from tokenlake.llm.common import Scratch
 
+from . import brute
+
 
 @pytest.fixture(scope="module")
 def model():
@@ -75,3 +77,26 @@ def test_leaks(spark):
         assert got[i] == text
     assert got[10].startswith("-----BEGIN RSA PRIVATE KEY-----\n") and got[10].endswith("\n-----END RSA PRIVATE KEY-----")
     assert got[11].startswith("SSN ") and got[8].startswith("Authorization: Bearer ")
+
+
+@pytest.mark.parametrize("size", [2, 5, 1024])
+def test_open_buckets_in_small_blocks(spark, tmp_path, monkeypatch, size):
+    """Chains in which only neighbours are alike, and branches just too far away, with blocks of few members."""
+    rng, texts = random.Random(5), []
+    for chain in range(3):
+        at = [f"w{i}" for i in range(80)] if chain < 2 else texts[20].split()
+        if chain:  # off the first chain, not linked with it
+            for i in range(0, 80, 20 if chain == 1 else 12):
+                at[i] = f"b{chain}-{i}"
+        for step in range(40):
+            at = list(at)
+            at[rng.randrange(80)] = f"c{chain}-{step}"
+            texts.append(" ".join(at))
+    ids = rng.sample(range(1000), len(texts))
+    rows = list(zip(ids, texts))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "docs"))
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", size)
+    out = minhash.near_duplicates(spark.read.parquet(str(tmp_path / "docs")), Scratch(spark, "t")).collect()
+    want = brute.near_duplicates(rows)
+    assert len({c for _, c in want.values()}) < len(rows)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == want

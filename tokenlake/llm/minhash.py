@@ -16,7 +16,9 @@
    in another component then.
 5. Buckets whose members are still in different components could hold links
    that no hub showed. Their members are compared in blocks, minima first,
-   then full sets; only links that join components come out. Pairs within a
+   then full sets; only links that join components come out. The blocks of a
+   bucket's largest component do not meet one another, so a hot bucket costs
+   its members times those outside that component. Pairs within a
    component are not looked at, and no bucket is capped.
 6. Components come from alternating large-star and small-star.
 
@@ -263,12 +265,20 @@ def near_duplicates_of(rows: DataFrame, scratch: Scratch) -> DataFrame:
     rooted = scratch.write(
         _rooted(held.select("band", "key", "id"), roots, "id", "root").join(some.select(F.col("row_id").alias("id"), F.col("n_shingles")), "id"), "rooted"
     )
-    parts = F.greatest(F.ceil(F.count("*") / BLOCK_MEMBERS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
-    open_ = rooted.groupBy("band", "key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n"), parts.alias("parts"))
-    open_ = open_.where((F.col("a") != F.col("b")) & (F.col("n") > 2)).select("band", "key", "parts")
-    open_ = scratch.write(open_, "open")
-    mine = rooted.join(open_, ["band", "key"]).withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("p", q).alias("x"), F.greatest("p", q).alias("y")))
+    by_root = scratch.write(rooted.groupBy("band", "key", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")), "by-root")
+    blocks = lambda n, s: F.greatest(F.ceil(n / BLOCK_MEMBERS), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    main = F.max_by(F.struct("root", "n", "s"), F.struct("n", "root")).alias("main")
+    open_ = by_root.groupBy("band", "key").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("roots"), main).where("roots > 1 and n > 2")
+    # a bucket of more than a block: first the blocks of its main component, which do not meet one another, then the others'
+    split = blocks(F.col("n"), F.col("s")) > 1
+    mains = F.when(split, blocks(F.col("main.n"), F.col("main.s"))).otherwise(0)
+    others = F.when(split, blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s"))).otherwise(1)
+    open_ = scratch.write(open_.select("band", "key", F.col("main.root").alias("main"), mains.alias("mains"), others.alias("others")), "open")
+    mine = rooted.join(open_, ["band", "key"]).withColumn("inner", (F.col("mains") > 0) & (F.col("root") == F.col("main")))
+    deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    mine = mine.withColumn("p", F.when(F.col("inner"), deal(F.col("mains"))).otherwise(F.col("mains") + deal(F.col("others"))))
+    met = F.sequence(F.when(F.col("inner"), F.col("mains")).otherwise(0), F.col("mains") + F.col("others") - 1)
+    meets = F.transform(met, lambda q: F.struct(F.least("p", q).alias("x"), F.greatest("p", q).alias("y")))
     dealt = mine.select("band", "key", "id", "root", "p", F.explode(meets).alias("xy")).select(
         "band", "key", "id", "root", "xy.x", "xy.y", F.when(F.col("p") == F.col("xy.x"), 0).otherwise(1).alias("half")
     )
