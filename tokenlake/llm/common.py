@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +35,20 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
+_OPENED: ContextVar[list | None] = ContextVar("opened", default=None)
+
+
+@contextmanager
+def opening() -> Iterator[list[Scratch]]:
+    """The Scratches that this thread opens meanwhile, for who clears them; other threads have their own."""
+    opened: list[Scratch] = []
+    before = _OPENED.set(opened)
+    try:
+        yield opened
+    finally:
+        _OPENED.reset(before)
+
+
 class Scratch:
     """Tables written under the cluster's shared checkpoint folder, to cut lineage.
 
@@ -51,6 +68,8 @@ class Scratch:
         self.root = f"{root.rstrip('/')}/tokenlake-{name}-{uuid.uuid4().hex}"
         self.n = 0
         Scratch.opened.append(self)
+        if (mine := _OPENED.get()) is not None:
+            mine.append(self)
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write df and return a DataFrame that reads it."""
