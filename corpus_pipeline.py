@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenlake.llm import decontaminate, minhash, mixing, pii, toxicity
-from tokenlake.llm.common import Scratch, table
+from tokenlake.llm.common import Scratch, opening, table
 
 
 def _others(docs: DataFrame) -> list[str]:
@@ -77,11 +77,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each is written and read again before the next."""
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
-        opened = len(Scratch.opened)
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = scratch.write(docs, name)
-            for done in Scratch.opened[opened:]:
-                done.clear()
-            del Scratch.opened[opened:]
+        with opening() as opened:
+            docs = stage(spark, docs, sf_dir)
+            if k + 1 < len(STAGES):
+                docs = scratch.write(docs, name)
+                for done in opened:
+                    done.clear()
     return docs
