@@ -57,8 +57,6 @@ class Scratch:
     on a single machine, as in tests; on a cluster that is an error.
     """
 
-    opened: list[Scratch] = []
-
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -67,7 +65,6 @@ class Scratch:
         root = root or spark.conf.get("spark.sql.warehouse.dir")
         self.root = f"{root.rstrip('/')}/tokenlake-{name}-{uuid.uuid4().hex}"
         self.n = 0
-        Scratch.opened.append(self)
         if (mine := _OPENED.get()) is not None:
             mine.append(self)
 
