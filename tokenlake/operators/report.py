@@ -101,16 +101,22 @@ def report(usage: DataFrame, roots: DataFrame, dims: list[str], bucket: str = "d
     }).withColumn("sessions", F.col("root_sessions") + F.col("sub_agent_sessions")).withColumnsRenamed({f"_{d}": f"key_{d}" for d in dims})
 
 
+def added(*costs: str) -> Column:
+    """The exact sum of at most five cost parts: sums of decimal(38,15) would give up a digit of scale each, these stay at 15."""
+    first, *rest = (F.col(c).cast("decimal(34,15)") for c in costs)
+    return sum(rest, first).cast("decimal(38,15)")
+
+
 def with_cost(agg: DataFrame) -> DataFrame:
-    return agg.withColumn("cost", sum((F.col(c) for c in COSTS[1:]), F.col(COSTS[0])))
+    return agg.withColumn("cost", added(*COSTS))
 
 
 def project_unit(agg: DataFrame, unit: str = "tokens", split_input: bool = False) -> DataFrame:
     """The six measures in tokens, bytes (input and output only) or cost."""
     if unit == "cost":
         out = with_cost(agg).withColumns({
-            "input": F.col("prompt_cost") if split_input else F.col("prompt_cost") + F.col("cache_read_cost") + F.col("cache_write_cost"),
-            "output": F.col("completion_cost") + F.col("reasoning_cost"), "reasoning": F.col("reasoning_cost"),
+            "input": F.col("prompt_cost") if split_input else added("prompt_cost", "cache_read_cost", "cache_write_cost"),
+            "output": added("completion_cost", "reasoning_cost"), "reasoning": F.col("reasoning_cost"),
             "cache_read": F.col("cache_read_cost"), "cache_write": F.col("cache_write_cost"), "total": F.col("cost"),
         })
         return out
@@ -148,8 +154,7 @@ def averages(agg: DataFrame, by: str) -> DataFrame:
 def cost_split(priced: DataFrame, dims: list[str], by: str, bucket: str = "day") -> DataFrame:
     """Cost of each group split by a second dimension, in rows; cost_per_map() folds them."""
     dims = dimensions(dims)
-    total = sum((F.col(c) for c in COSTS[1:]), F.col(COSTS[0]))
-    rows = priced.where(F.col(COSTS[0]).isNotNull()).select(*[key_column(d, bucket).alias(f"key_{d}") for d in dims], key_column(by, bucket).alias("split"), total.alias("cost"))
+    rows = priced.where(F.col(COSTS[0]).isNotNull()).select(*[key_column(d, bucket).alias(f"key_{d}") for d in dims], key_column(by, bucket).alias("split"), added(*COSTS).alias("cost"))
     return rows.groupBy(*[f"key_{d}" for d in dims], "split").agg(F.sum("cost").alias("cost"))
 
 

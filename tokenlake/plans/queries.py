@@ -293,14 +293,15 @@ def asof_prices(spark, sf_dir):
 
 
 def _micros(cost: Column) -> Column:
-    return F.floor(cost.cast("decimal(38,15)") * 1_000_000).cast("long")
+    # 30 digits times 7 keep the scale of 15, and what a long holds
+    return F.floor(cost.cast("decimal(30,15)") * 1_000_000).cast("long")
 
 
 def _cost_query(mode: str):
     @_query(f"cost_{mode}", f"WITH RECURSIVE {_PRICED} SELECT coalesce(provider, '-') AS key_provider, canonical AS key_model, CAST(floor(coalesce(sum({_COST[mode]}), 0)) AS BIGINT) AS cost_micros, count({_COST[mode]}) AS priced FROM priced GROUP BY ALL")
     def run(spark, sf_dir):
         c = pricing.cost(_priced(spark, sf_dir), mode)
-        total = sum((F.col(x) for x in report.COSTS[1:]), F.col(report.COSTS[0]))
+        total = report.added(*report.COSTS)
         return c.groupBy(F.coalesce("provider", F.lit("-")).alias("key_provider"), F.col("canonical").alias("key_model")).agg(
             _micros(F.coalesce(F.sum(total), F.lit(0))).alias("cost_micros"), F.count(total).alias("priced")
         )
