@@ -144,7 +144,7 @@ def cost_map(spark, sf_dir):
 
     s = report.cost_split(pricing.cost(core._priced(spark, sf_dir), "mixed"), ["source"], "provider")
     m = report.cost_per_map(s)
-    text = F.array_join(F.transform(F.map_entries("cost_per"), lambda e: F.concat(e["key"], F.lit("="), F.floor(e["value"] * 1_000_000).cast("long").cast("string"))), ",")
+    text = F.array_join(F.transform(F.map_entries("cost_per"), lambda e: F.concat(e["key"], F.lit("="), core._micros(e["value"]).cast("string"))), ",")
     return m.select("key_source", text.alias("cost_per"))
 
 
