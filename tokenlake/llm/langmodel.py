@@ -14,10 +14,10 @@ context (from the document's start: all of them). Windows of many documents
 form batches with a causal mask. P(id) is P(group of classes) P(class | group)
 P(id | class); the first two are softmaxes of the layer's output added to the
 logs of their shares after the previous id. The counts of ids and of pairs of
-ids come from all training documents. The attention weights themselves are
-trained by Adam on at most SAMPLE_DOCS training documents, the least by a hash,
-of longer ones on a passage of about SAMPLE_BYTES at a place drawn by hash; that
-bound is a parameter, everything counted is not.
+ids come from all training documents. The attention weights start from a fit on
+at most SAMPLE_DOCS of them and are then trained on every window of every training
+document, each once: in rounds, in which tasks train on their rows and the mean
+of their weights, by ids seen, goes on. So they depend on how rows are dealt, a little.
 
 Edge cases: a null or empty text has one token, its end; null ids are scored
 and learned from, not held out; repeated rows are rows of their own; an empty
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ SAMPLE_DOCS, SAMPLE_BYTES = 1500, 50_000
 WINDOW, SCORED = 32, 16
 DIM, HIDDEN, OWN, TAIL, GROUP, EMBED = 16, 32, 1000, 24, 64, 2048
 BATCH = 256
+#: Rounds in which all training documents are learned from, the first one's rate; weights are summed as whole numbers of 1 / UNIT.
+PASSES, RATE, UNIT = 4, 0.002, 1 << 20
 FLUSH = 1_000_000
 BLOCK = 1_500_000
 _LOW = np.frombuffer(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)), np.uint8)
@@ -345,63 +348,96 @@ class Attention:
         inputs, targets = window(inputs, WINDOW)[::SCORED], window(targets, WINDOW)[::SCORED, WINDOW - SCORED :]
         some = np.flatnonzero((targets >= 0).any(axis=1))
         r = np.random.default_rng(seed)
-        m1 = {k: np.zeros_like(v) for k, v in self.p.items()}
-        m2 = {k: np.zeros_like(v) for k, v in self.p.items()}
-        loss, scale = 0.0, np.float32(1 / np.sqrt(DIM))
+        adam, loss = Adam(self.p), 0.0
         for step in range(1, steps + 1):
             pick = some[r.integers(0, len(some), batch)]
-            x_in, t = inputs[pick], targets[pick].ravel()
-            p, b = self.p, batch
-            # forward
-            x = p["E"][x_in]
-            xq = np.ascontiguousarray(x[:, WINDOW - SCORED :])
-            q, k, v = xq @ p["Wq"], x @ p["Wk"], x @ p["Wv"]
-            a = np.exp(np.minimum(q @ k.transpose(0, 2, 1) * scale + p["B"] + self.later, np.float32(80))) * (x_in != self.pad)[:, None, :]
-            a /= a.sum(axis=2, keepdims=True) + np.float32(1e-6)
-            z = np.concatenate([xq, a @ v], axis=2).reshape(-1, 2 * DIM)
-            h = np.maximum(z @ p["W1"] + p["b1"], 0)
-            before, kl, at = x_in[:, WINDOW - SCORED :].ravel(), self.klass[t], np.arange(len(t))
-            g_of, c_of, live = kl // GROUP, kl % GROUP, (t >= 0).astype(np.float32)
-            n = max(1.0, float(live.sum()))
-            dg = _softmax(h @ p["Wg"] + self.log_group[before])
-            dc = _softmax(np.einsum("nh,nhc->nc", h, p["Wc"][g_of]) + self.log_class[before, g_of])
-            seen = -float(((np.log(dg[at, g_of] + 1e-12) + np.log(dc[at, c_of] + 1e-12)) * live).sum()) / n
+            seen, g = self._gradients(inputs[pick], targets[pick].ravel())
             loss = 0.98 * loss + 0.02 * seen if step > 1 else seen
-            # backward
-            dg[at, g_of] -= 1
-            dc[at, c_of] -= 1
-            dg *= (live / n)[:, None]
-            dc *= (live / n)[:, None]
-            g = {"Wg": h.T @ dg, "Wc": np.zeros_like(p["Wc"])}
-            for j in np.unique(g_of):
-                mine = g_of == j
-                g["Wc"][j] = h[mine].T @ dc[mine]
-            dh = (dg @ p["Wg"].T + np.einsum("nc,nhc->nh", dc, p["Wc"][g_of])) * (h > 0)
-            g["W1"], g["b1"] = z.T @ dh, dh.sum(0)
-            dz = (dh @ p["W1"].T).reshape(b, SCORED, 2 * DIM)
-            dxq, dctx = dz[:, :, :DIM], dz[:, :, DIM:]
-            da, dv = dctx @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dctx
-            ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-            g["B"] = ds.sum(0)
-            ds *= scale
-            dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-            flat = x.reshape(-1, DIM)
-            g["Wk"], g["Wv"] = flat.T @ dk.reshape(-1, DIM), flat.T @ dv.reshape(-1, DIM)
-            g["Wq"] = xq.reshape(-1, DIM).T @ dq.reshape(-1, DIM)
-            dx = dk @ p["Wk"].T + dv @ p["Wv"].T
-            dx[:, WINDOW - SCORED :] += dxq + dq @ p["Wq"].T
-            by = np.argsort(x_in, axis=None, kind="stable")
-            cuts = np.flatnonzero(np.diff(x_in.ravel()[by], prepend=-1))
-            g["E"] = np.zeros_like(p["E"])
-            g["E"][x_in.ravel()[by[cuts]]] = np.add.reduceat(dx.reshape(-1, DIM)[by], cuts)
-            lr = rate * min(1.0, step / 50) * (0.05 + 0.95 * (1 - step / steps))
-            for name, grad in g.items():
-                m1[name] += 0.1 * (grad - m1[name])
-                m2[name] += 0.01 * (grad * grad - m2[name])
-                self.p[name] -= (lr * (m1[name] / (1 - 0.9**step)) / (np.sqrt(m2[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            adam.step(g, rate * min(1.0, step / 50) * (0.05 + 0.95 * (1 - step / steps)))
         self.close()
         return loss
 
+    def windows(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs (windows x WINDOW) and targets (windows x SCORED) of every window that scores an id."""
+        inputs, targets, _ = self.laid_out(ids, first)
+        view = np.lib.stride_tricks.sliding_window_view
+        inputs, targets = view(inputs, WINDOW)[::SCORED], view(targets, WINDOW)[::SCORED, WINDOW - SCORED :]
+        some = (targets >= 0).any(axis=1)
+        return inputs[some], targets[some]
+
+    def _gradients(self, x_in: np.ndarray, t: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss by id of a batch of windows, and its gradients."""
+        p, b, scale = self.p, len(x_in), np.float32(1 / np.sqrt(DIM))
+        # forward
+        x = p["E"][x_in]
+        xq = np.ascontiguousarray(x[:, WINDOW - SCORED :])
+        q, k, v = xq @ p["Wq"], x @ p["Wk"], x @ p["Wv"]
+        a = np.exp(np.minimum(q @ k.transpose(0, 2, 1) * scale + p["B"] + self.later, np.float32(80))) * (x_in != self.pad)[:, None, :]
+        a /= a.sum(axis=2, keepdims=True) + np.float32(1e-6)
+        z = np.concatenate([xq, a @ v], axis=2).reshape(-1, 2 * DIM)
+        h = np.maximum(z @ p["W1"] + p["b1"], 0)
+        before, kl, at = x_in[:, WINDOW - SCORED :].ravel(), self.klass[t], np.arange(len(t))
+        g_of, c_of, live = kl // GROUP, kl % GROUP, (t >= 0).astype(np.float32)
+        n = max(1.0, float(live.sum()))
+        dg = _softmax(h @ p["Wg"] + self.log_group[before])
+        # places in order of their groups, so that a group is one product
+        by = np.argsort(g_of, kind="stable")
+        cuts = np.searchsorted(g_of[by], np.arange(self.n_groups + 1)).tolist()
+        own = [(j, slice(lo, hi)) for j, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if hi > lo]
+        hs, c_by = h[by], c_of[by]
+        dc = np.take(self.log_class.reshape(-1, GROUP), (before * self.n_groups + g_of)[by], axis=0)
+        for j, s in own:
+            dc[s] += hs[s] @ p["Wc"][j]
+        dc = _softmax(dc)
+        loss = -float((np.log(dg[at, g_of] + 1e-12) * live).sum() + (np.log(dc[at, c_by] + 1e-12) * live[by]).sum()) / n
+        # backward
+        dg[at, g_of] -= 1
+        dc[at, c_by] -= 1
+        dg *= (live / n)[:, None]
+        dc *= (live[by] / n)[:, None]
+        g = {"Wg": h.T @ dg, "Wc": np.zeros_like(p["Wc"])}
+        dhs = np.empty_like(hs)
+        for j, s in own:
+            g["Wc"][j] = hs[s].T @ dc[s]
+            dhs[s] = dc[s] @ p["Wc"][j].T
+        dh = dg @ p["Wg"].T
+        dh[by] += dhs
+        dh *= h > 0
+        g["W1"], g["b1"] = z.T @ dh, dh.sum(0)
+        dz = (dh @ p["W1"].T).reshape(b, SCORED, 2 * DIM)
+        dxq, dctx = dz[:, :, :DIM], dz[:, :, DIM:]
+        da, dv = dctx @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dctx
+        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+        g["B"] = ds.sum(0)
+        ds *= scale
+        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+        flat = x.reshape(-1, DIM)
+        g["Wk"], g["Wv"] = flat.T @ dk.reshape(-1, DIM), flat.T @ dv.reshape(-1, DIM)
+        g["Wq"] = xq.reshape(-1, DIM).T @ dq.reshape(-1, DIM)
+        dx = dk @ p["Wk"].T + dv @ p["Wv"].T
+        dx[:, WINDOW - SCORED :] += dxq + dq @ p["Wq"].T
+        by = np.argsort(x_in, axis=None, kind="stable")
+        cuts = np.flatnonzero(np.diff(x_in.ravel()[by], prepend=-1))
+        g["E"] = np.zeros_like(p["E"])
+        g["E"][x_in.ravel()[by[cuts]]] = np.add.reduceat(dx.reshape(-1, DIM)[by], cuts)
+        return loss, g
+
+
+class Adam:
+    """Adam over named arrays, which it changes in place."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p, self.n = p, 0
+        self.m1, self.m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+
+    def step(self, g: dict[str, np.ndarray], rate: float) -> None:
+        self.n += 1
+        for name, grad in g.items():
+            m1, m2 = self.m1[name], self.m2[name]
+            m1 += 0.1 * (grad - m1)
+            m2 += 0.01 * (grad * grad - m2)
+            self.p[name] -= (rate * (m1 / (1 - 0.9**self.n)) / (np.sqrt(m2 / (1 - 0.99**self.n)) + 1e-8)).astype(np.float32)
+
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
     e = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -489,6 +525,70 @@ def _without_ends(ids: np.ndarray, begin: np.ndarray, ends: np.ndarray) -> tuple
     return ids[keep], begin - np.concatenate([[0], np.cumsum(cut)])
 
 
+def _refining(subwords, attention, rate: float):
+    """Task: one pass of Adam over every window of its rows, from the given weights; (place, weight x targets in units of UNIT), and (-1, targets)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sub, model = subwords.value, copy(attention.value)
+        model.p = {k: v.copy() for k, v in model.p.items()}  # a worker's next task starts from the broadcast again
+        adam, r, n = Adam(model.p), np.random.default_rng(5), 0
+        left: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def steps(last: bool) -> None:
+            x, t = (np.concatenate(c) for c in zip(*left))
+            left.clear()
+            by = r.permutation(len(x))
+            full = len(x) if last else len(x) // BATCH * BATCH
+            for i in range(0, full, BATCH):
+                some = by[i : min(i + BATCH, full)]
+                # a last, smaller batch counts as its share
+                adam.step(model._gradients(x[some], t[some].ravel())[1], rate * min(1.0, (adam.n + 1) / 20) * len(some) / BATCH)
+            if full < len(x):
+                left.append((x[by[full:]], t[by[full:]]))
+
+        for b in batches:
+            for _, _n, some, word, which, first in _words(b.column("text")):
+                left.append(model.windows(*_stream(sub, some, word, which, first)))
+                n += int((left[-1][1] >= 0).sum())
+                if sum(len(x) for x, _ in left) >= BATCH:
+                    steps(False)
+        if left:
+            steps(True)
+        if n:
+            flat = np.concatenate([model.p[k].ravel() for k in sorted(model.p)]).astype(float)
+            v = np.append(np.round(flat * UNIT).astype(np.int64) * n, n)
+            yield pa.record_batch([pa.array(np.append(np.arange(len(flat)), -1).astype(np.int32)), pa.array(v)], names=["place", "v"])
+
+    return run
+
+
+def refine(learned: DataFrame, sub, model: Attention) -> int:
+    """Train the model further on all windows of all texts of ``learned``, each once; gives the number of ids learned from.
+
+    In each of PASSES rounds the tasks train on their rows of that round, from the same weights,
+    and the mean of their weights, by the ids they saw, goes on; no row goes elsewhere, and the driver gets one model a round.
+    """
+    sc, seen = learned.sparkSession.sparkContext, 0
+    part = F.pmod(F.xxhash64(F.lit("round"), "doc_id", "text"), F.lit(PASSES))
+    for k in range(PASSES):
+        attention = sc.broadcast(model)
+        rows = learned.where(part == k).select(F.coalesce("text", F.lit("")).alias("text"))
+        made = rows.mapInArrow(_refining(sub, attention, RATE * (1 - k / PASSES)), "place int, v long").groupBy("place").agg(F.sum("v").alias("v")).toArrow()
+        attention.destroy()
+        if not made.num_rows:
+            continue
+        by = np.argsort(made.column("place").to_numpy())
+        n, *flat = made.column("v").to_numpy()[by]
+        flat, at = np.array(flat, float) / (UNIT * float(n)), 0
+        for name in sorted(model.p):
+            size = model.p[name].size
+            model.p[name] = flat[at : at + size].reshape(model.p[name].shape).astype(np.float32)
+            at += size
+        seen += int(n)
+    model.close()
+    return seen
+
+
 def score(docs: DataFrame, scratch: Scratch, tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
@@ -517,7 +617,7 @@ def score(docs: DataFrame, scratch: Scratch, tokenizer: str = TOKENIZER) -> Data
     by = np.argsort(keys)
     hot = sc.broadcast((keys[by], logs[by]))
 
-    # the attention weights: a bounded sample of training documents, by hash
+    # the attention weights: they start from a bounded sample and learn from all training documents
     fit = sample(learned, n_docs).toArrow()
     texts, ends = fit.column("text").combine_chunks(), fit.column("ends").to_numpy()
     model = Attention(id_counts)
@@ -534,8 +634,7 @@ def score(docs: DataFrame, scratch: Scratch, tokenizer: str = TOKENIZER) -> Data
     if parts:
         ids = np.concatenate(parts)
         model.train(ids, np.concatenate([*begins, [len(ids)]]))
-    else:
-        model.close()
+    refine(learned, sub, model)
     attention = sc.broadcast(model)
 
     fields = "rid long, doc_id long, n_tokens long, known long, base double, score double, words array<long>, counts array<int>"
