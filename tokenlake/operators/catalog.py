@@ -38,7 +38,13 @@ def resolve_catalog(routes: DataFrame, aliases: dict[str, str], scoped: dict[tup
     An alias scoped to the provider wins; a name that is scoped to others only is
     unknown; then global aliases; then the rules in order, in up to PASSES
     passes, looking for an alias after every change. ``rolling`` are aliases.
+    Each distinct (provider, model) is resolved once and joined back.
     """
+    pairs = _resolve_pairs(routes.select("provider", "model").distinct(), aliases, scoped, rolling).withColumnsRenamed({"provider": "_p", "model": "_m"})
+    return routes.join(pairs, F.col("provider").eqNullSafe(F.col("_p")) & F.col("model").eqNullSafe(F.col("_m")), "left").drop("_p", "_m")
+
+
+def _resolve_pairs(routes: DataFrame, aliases: dict[str, str], scoped: dict[tuple[str, str], str], rolling: set[str]) -> DataFrame:
     found, name = alias_map(aliases), normal(F.col("model"))
     own = alias_map({f"{p}\x1f{a}": c for (p, a), c in scoped.items()})
     others = F.array(*[F.lit(a) for _, a in scoped]) if scoped else F.array().cast("array<string>")
@@ -54,7 +60,8 @@ def resolve_catalog(routes: DataFrame, aliases: dict[str, str], scoped: dict[tup
 
     start = F.struct(name.alias("name"), F.lit(None).cast("string").alias("rule"))
     end = F.reduce(F.sequence(F.lit(0), F.lit(PASSES * len(RULES) - 1)), start, step)
-    df = routes.withColumns({"_end": end, "_mine": mine, "_name": name})
+    # a generator is not copied into the expressions and filters above it, so the rules run once a name
+    df = routes.withColumn("_end", F.explode(F.array(end))).withColumns({"_mine": mine, "_name": name})
     foreign, exact = F.array_contains(others, F.col("_name")), F.try_element_at(found, F.col("_name"))
     guess = F.when(F.col("_end.rule").isNotNull() & ~F.array_contains(others, F.col("_end.name")), F.try_element_at(found, F.col("_end.name")))
     empty = F.col("_name").isNull() | (F.col("_name") == "")
