@@ -16,6 +16,15 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/tokenlake-{name}-{uuid.uuid4().hex}"
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df with each key's rows in one task and the keys over all tasks, to write a file for each key.
+
+    Such a write costs by files, not by bytes, so the number of tasks is given: adaptive execution would join small ones into one.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in a new folder and read again; removed() deletes it."""
     path = folder(df.sparkSession, name)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import json_text
-from ..functions.storage import folder
+from ..functions.storage import dealt, folder
 from ..operators import catalog, incremental, report
 from ..sources import chat, collect, decoders, lines, price_files, transcripts, workspaces
 from ..streaming import usage as streaming
@@ -307,7 +307,7 @@ def collected_sources(spark, sf_dir):
         whole = logs.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("l"), F.max("end").alias("end"))
         folders[source] = folder(spark, f"logs-{source}")
         # a folder a conversation; a session's log is one file
-        whole.select("conv_id", F.concat_ws("\n", F.transform("l", lambda x: x["line"]), F.col("end")).alias("value")).repartition("conv_id").write.partitionBy("conv_id").text(folders[source])
+        dealt(whole.select("conv_id", F.concat_ws("\n", F.transform("l", lambda x: x["line"]), F.col("end")).alias("value")), "conv_id").write.partitionBy("conv_id").text(folders[source])
     tables = folder(spark, "tables")
     c.select("text").write.text(f"{tables}/message.parquet")
     paths = {"claude": f"{folders['claude']}/*", "codex": folder(spark, "no-logs"), "pi-agent": f"{folders['pi-agent']}/*", "opencode": tables, "copilot-cli": f"{folders['copilot-cli']}/*"}
@@ -577,7 +577,7 @@ def ingest_growing(spark, sf_dir):
     k = F.col("part") % 7
 
     def write(rows: DataFrame, mode: str) -> None:
-        ordered = rows.repartition("part").sortWithinPartitions("part", "conv_id", "turn").select("part", "value")
+        ordered = dealt(rows, "part").sortWithinPartitions("part", "conv_id", "turn").select("part", "value")
         ordered.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("part").text(path)
 
     # at first parts 4 and 5 lack, and 2 and 3 end early; in the end part 6 is one that says nothing
