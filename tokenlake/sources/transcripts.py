@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.json_text import json_text
+from ..functions.storage import dealt
 from .lines import field
 
 ROLES = ("user", "assistant", "developer", "system")
@@ -50,4 +51,4 @@ def transcript_events(lines: DataFrame) -> DataFrame:
 def write_transcripts(rows: DataFrame, path: str, session: str = "source_file") -> None:
     """One folder for each session; characters that a file name can't hold become '_'."""
     name = F.translate(F.col(session), '/\\:*?"<>|', "_" * 9)
-    rows.withColumn("session_file", name).repartition("session_file").sortWithinPartitions("session_file", "line_no").write.partitionBy("session_file").json(path)
+    dealt(rows.withColumn("session_file", name), "session_file").sortWithinPartitions("session_file", "line_no").write.partitionBy("session_file").json(path)
