@@ -25,10 +25,10 @@ def dealt(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in a new folder and read again; removed() deletes it."""
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df written as Parquet in a new folder, parted by its last columns if they are named, and read again; removed() deletes it."""
     path = folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

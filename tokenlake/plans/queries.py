@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..functions.storage import folder
+from ..functions.storage import folder, removed, stored
 from ..operators import activity, names, price_history, pricing, report, sessions
 from ..streaming import usage as usage_stream
 from . import views
@@ -489,8 +489,8 @@ def aligned_series(spark, sf_dir):
 
 # --- streams --------------------------------------------------------------
 
-#: Files of one arrival, which are read together.
-FILES = 4
+#: Files of one arrival, which are read together: so many at least, and more, up to one for each task, where all hold FILE_ROWS rows.
+FILES, FILE_ROWS = 4, 100
 
 
 @_query(
@@ -509,10 +509,14 @@ def hourly_stream(spark, sf_dir):
     """
     usage = views.usage(spark, sf_dir)
     batch = F.least(F.floor(F.dayofmonth("ts") / 8) + F.when(F.col("reasoning") % 50 == 7, 2).when(F.col("reasoning") % 50 == 8, 1).otherwise(0), F.lit(4))
-    made = usage.withColumn("batch", batch.cast("int"))
+    made = stored(usage.withColumn("batch", batch.cast("int")), "days", "batch")  # the input is read once
+    sizes = [r["count"] for r in made.where("batch is not null").groupBy("batch").count().collect()]  # five at most
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    files = max(FILES, min(tasks, min(sizes) // FILE_ROWS)) if len(sizes) == 5 else FILES
     source, into = folder(spark, "arriving"), folder(spark, "hours")
     for k in range(5):  # one after the other, as they would arrive
-        made.where(F.col("batch") == k).drop("batch").repartition(FILES).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(usage.schema).option("maxFilesPerTrigger", FILES).parquet(source)
+        made.where(F.col("batch") == k).drop("batch").repartition(files).write.mode("append").parquet(source)
+    removed(made)
+    stream = spark.readStream.schema(usage.schema).option("maxFilesPerTrigger", files).parquet(source)
     usage_stream.closed_hours(stream, into, folder(spark, "hours-state")).awaitTermination()
     return spark.read.parquet(into)
