@@ -121,26 +121,16 @@ class Subwords:
         return np.concatenate([np.array(x, np.int32) for x in parts]), np.array([len(x) for x in parts])
 
 
-def _spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and end of each word, as textbytes.words() counts them."""
-    mask = tb.NOT_BLANK[data]
-    begin = mask.copy()
-    begin[1:] &= ~mask[:-1]
-    inner = offs[1:-1]
-    inner = inner[inner < len(data)]
-    begin[inner] = mask[inner]
-    last = mask.copy()
-    last[:-1] &= ~mask[1:] | begin[1:]
-    return np.flatnonzero(begin), np.flatnonzero(last) + 1
-
-
 def _words(texts: pa.Array) -> Iterator[tuple]:
     """Blocks: first row, rows, distinct hashes, where one word of each is (bytes, starts, ends), which of them each word is, first word of each row."""
     for i, j, data, offs in tb.blocks(texts, BLOCK):
-        hashes, first = tb.words(data, offs, tb.NOT_BLANK)
-        lo, hi = _spans(data, offs)
-        some, place, which = np.unique(hashes, return_index=True, return_inverse=True)
-        yield i, j - i, some, (data, lo[place], hi[place]), which, first
+        lo, hi = tb.spans(data, offs, tb.NOT_BLANK)
+        hashes = tb.hashes(data, lo, hi)
+        by = np.argsort(hashes)
+        new = np.diff(hashes[by], prepend=~hashes[by[:1]]) != 0
+        place, which = by[new], np.empty(len(by), np.int64)
+        which[by] = np.cumsum(new) - 1
+        yield i, j - i, hashes[place], (data, lo[place], hi[place]), which, np.searchsorted(lo, offs)
 
 
 #: A pair of subword ids is the first times this, plus the second; the id after the end starts a document.
@@ -366,60 +356,78 @@ class Attention:
         return inputs[some], targets[some]
 
     def _gradients(self, x_in: np.ndarray, t: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss by id of a batch of windows, and its gradients."""
-        p, b, scale = self.p, len(x_in), np.float32(1 / np.sqrt(DIM))
+        """Mean loss by id of a batch of windows, and its gradients.
+
+        As in close(), what an input contributes by itself comes from tables over all inputs.
+        """
+        p, lead, scale = self.p, WINDOW - SCORED, 1 / float(np.sqrt(DIM))
+        e, (b, n) = p["E"], (len(x_in), len(t))
         # forward
-        x = p["E"][x_in]
-        xq = np.ascontiguousarray(x[:, WINDOW - SCORED :])
-        q, k, v = xq @ p["Wq"], x @ p["Wk"], x @ p["Wv"]
-        a = np.exp(np.minimum(q @ k.transpose(0, 2, 1) * scale + p["B"] + self.later, np.float32(80))) * (x_in != self.pad)[:, None, :]
-        a /= a.sum(axis=2, keepdims=True) + np.float32(1e-6)
-        z = np.concatenate([xq, a @ v], axis=2).reshape(-1, 2 * DIM)
-        h = np.maximum(z @ p["W1"] + p["b1"], 0)
-        before, kl, at = x_in[:, WINDOW - SCORED :].ravel(), self.klass[t], np.arange(len(t))
-        g_of, c_of, live = kl // GROUP, kl % GROUP, (t >= 0).astype(np.float32)
-        n = max(1.0, float(live.sum()))
-        dg = _softmax(h @ p["Wg"] + self.log_group[before])
+        by_kv, by_own = np.concatenate([p["Wk"], p["Wv"]], axis=1), np.concatenate([p["Wq"] * scale, p["W1"][:DIM]], axis=1)
+        kv_of = np.concatenate([e @ by_kv, np.ones((len(e), 1), e.dtype)], axis=1)
+        kv_of[self.pad, DIM:] = 0  # adds nothing to a mean
+        own_of = e @ by_own
+        before = np.ascontiguousarray(x_in[:, lead:]).ravel()
+        kv, own = np.take(kv_of, x_in, axis=0), np.take(own_of, before, axis=0)
+        k, v1, q = kv[:, :, :DIM], kv[:, :, DIM:], own[:, :DIM].reshape(b, SCORED, DIM)
+        a = q @ k.transpose(0, 2, 1)
+        a += p["B"] + self.later
+        np.exp(np.minimum(a, 80, out=a) if a.max(initial=0) > 80 else a, out=a)
+        c = (a @ v1).reshape(n, DIM + 1)
+        share = 1 / (c[:, DIM:] + np.float32(1e-6))
+        context = c[:, :DIM] * share
+        h = context @ p["W1"][DIM:]
+        h += own[:, DIM:]
+        h += p["b1"]
+        np.maximum(h, 0, out=h)
         # places in order of their groups, so that a group is one product
-        by = np.argsort(g_of, kind="stable")
+        kl = self.klass[t]
+        g_of = kl // GROUP
+        by = np.argsort(g_of.astype(np.uint8 if self.n_groups < 256 else np.int32), kind="stable")
         cuts = np.searchsorted(g_of[by], np.arange(self.n_groups + 1)).tolist()
-        own = [(j, slice(lo, hi)) for j, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if hi > lo]
-        hs, c_by = h[by], c_of[by]
-        dc = np.take(self.log_class.reshape(-1, GROUP), (before * self.n_groups + g_of)[by], axis=0)
-        for j, s in own:
-            dc[s] += hs[s] @ p["Wc"][j]
-        dc = _softmax(dc)
-        loss = -float((np.log(dg[at, g_of] + 1e-12) * live).sum() + (np.log(dc[at, c_by] + 1e-12) * live[by]).sum()) / n
+        groups = [(j, slice(lo, hi)) for j, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if hi > lo]
+        hs, g_of, c_of, before_by = np.take(h, by, axis=0), g_of[by], kl[by] % GROUP, before[by]
+        live = (t[by] >= 0).astype(h.dtype)
+        live /= max(1.0, float(live.sum()))
+        dg = hs @ p["Wg"]
+        dg += np.take(self.log_group, before_by, axis=0)
+        dc = np.empty((n, GROUP), h.dtype)
+        for j, s in groups:
+            np.matmul(hs[s], p["Wc"][j], out=dc[s])
+        dc += np.take(self.log_class.reshape(-1, GROUP), before_by * self.n_groups + g_of, axis=0)
+        loss = -float(_softmax_step(dg, g_of, live) + _softmax_step(dc, c_of, live))
         # backward
-        dg[at, g_of] -= 1
-        dc[at, c_by] -= 1
-        dg *= (live / n)[:, None]
-        dc *= (live[by] / n)[:, None]
-        g = {"Wg": h.T @ dg, "Wc": np.zeros_like(p["Wc"])}
-        dhs = np.empty_like(hs)
-        for j, s in own:
-            g["Wc"][j] = hs[s].T @ dc[s]
-            dhs[s] = dc[s] @ p["Wc"][j].T
-        dh = dg @ p["Wg"].T
-        dh[by] += dhs
-        dh *= h > 0
-        g["W1"], g["b1"] = z.T @ dh, dh.sum(0)
-        dz = (dh @ p["W1"].T).reshape(b, SCORED, 2 * DIM)
-        dxq, dctx = dz[:, :, :DIM], dz[:, :, DIM:]
-        da, dv = dctx @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dctx
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-        g["B"] = ds.sum(0)
-        ds *= scale
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        flat = x.reshape(-1, DIM)
-        g["Wk"], g["Wv"] = flat.T @ dk.reshape(-1, DIM), flat.T @ dv.reshape(-1, DIM)
-        g["Wq"] = xq.reshape(-1, DIM).T @ dq.reshape(-1, DIM)
-        dx = dk @ p["Wk"].T + dv @ p["Wv"].T
-        dx[:, WINDOW - SCORED :] += dxq + dq @ p["Wq"].T
-        by = np.argsort(x_in, axis=None, kind="stable")
-        cuts = np.flatnonzero(np.diff(x_in.ravel()[by], prepend=-1))
-        g["E"] = np.zeros_like(p["E"])
-        g["E"][x_in.ravel()[by[cuts]]] = np.add.reduceat(dx.reshape(-1, DIM)[by], cuts)
+        g = {"Wg": hs.T @ dg, "Wc": np.zeros_like(p["Wc"])}
+        dhs = dg @ p["Wg"].T
+        more = np.empty_like(hs)
+        for j, s in groups:
+            np.matmul(hs[s].T, dc[s], out=g["Wc"][j])
+            np.matmul(dc[s], p["Wc"][j].T, out=more[s])
+        dhs += more
+        dhs *= hs > 0
+        d_own = np.empty((n, DIM + HIDDEN), h.dtype)
+        d_own[by, DIM:] = dhs
+        dh = d_own[:, DIM:]
+        g["b1"] = dhs.sum(0)
+        dc = dh @ p["W1"][DIM:].T
+        dc *= share
+        d_sums = np.empty((n, DIM + 1), h.dtype)  # of the weighted values and of the weights
+        d_sums[:, :DIM] = dc
+        np.negative(np.einsum("ij,ij->i", dc, context), out=d_sums[:, DIM])
+        d_sums = d_sums.reshape(b, SCORED, DIM + 1)
+        d_kv = np.empty((b, WINDOW, 2 * DIM), h.dtype)
+        d_kv[:, :, DIM:] = a.transpose(0, 2, 1) @ d_sums[:, :, :DIM]
+        a *= d_sums @ v1.transpose(0, 2, 1)
+        g["B"] = a.sum(0)
+        d_own[:, :DIM] = (a @ k).reshape(n, DIM)
+        d_kv[:, :, :DIM] = a.transpose(0, 2, 1) @ q
+        d_kv[x_in == self.pad, DIM:] = 0
+        d_kv = d_kv.reshape(-1, 2 * DIM)
+        wk_v, wq_1 = np.take(e, x_in.ravel(), axis=0).T @ d_kv, np.take(e, before, axis=0).T @ d_own
+        g["Wk"], g["Wv"], g["Wq"], g["W1"] = wk_v[:, :DIM], wk_v[:, DIM:], wq_1[:, :DIM] * scale, np.concatenate([wq_1[:, DIM:], context.T @ dh])
+        dx = (d_kv @ by_kv.T).reshape(b, WINDOW, DIM)
+        dx[:, lead:] += (d_own @ by_own.T).reshape(b, SCORED, DIM)
+        g["E"] = _by_input(x_in.ravel(), dx.reshape(-1, DIM), len(e))
         return loss, g
 
 
@@ -434,14 +442,38 @@ class Adam:
         self.n += 1
         for name, grad in g.items():
             m1, m2 = self.m1[name], self.m2[name]
-            m1 += 0.1 * (grad - m1)
-            m2 += 0.01 * (grad * grad - m2)
-            self.p[name] -= (rate * (m1 / (1 - 0.9**self.n)) / (np.sqrt(m2 / (1 - 0.99**self.n)) + 1e-8)).astype(np.float32)
-
-
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    e = np.exp(logits - logits.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+            m1 *= 0.9
+            m1 += 0.1 * grad
+            m2 *= 0.99
+            m2 += 0.01 * (grad * grad)
+            root = m2 / (1 - 0.99**self.n)
+            np.sqrt(root, out=root)
+            root += 1e-8
+            np.divide(m1, root, out=root)
+            root *= rate / (1 - 0.9**self.n)
+            self.p[name] -= root
+
+
+def _by_input(of: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by input, of n inputs."""
+    by = np.argsort(of.astype(np.uint16) if n <= 1 << 16 else of, kind="stable")
+    cuts = np.flatnonzero(np.diff(of[by], prepend=-1))
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    out[of[by[cuts]]] = np.add.reduceat(np.take(rows, by, axis=0), cuts)
+    return out
+
+
+def _softmax_step(logits: np.ndarray, at: np.ndarray, weight: np.ndarray) -> float:
+    """The weighted sum of the log softmax at one place of each row; logits become the gradients of minus that sum."""
+    if logits.max(initial=0) > 60:
+        logits -= logits.max(axis=1, keepdims=True)
+    place = np.arange(len(at)) * logits.shape[1] + at
+    own = np.take(logits, place)
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    logits *= (weight / total)[:, None]
+    logits.ravel()[place] -= weight
+    return float(weight @ (own - np.log(total)))
 
 
 _ONES = np.ones(GROUP, np.float32)
